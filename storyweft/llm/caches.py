@@ -20,8 +20,12 @@ class WordCache(dict):
         value = self.old.pop(word, None)
         if value is None:
             value = self.make(word)
+        self.put(word, value)
+        return value
+
+    def put(self, word: Any, value: Any) -> None:
+        """Store a value; when the generation is full, it becomes the old one."""
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[word] = value
-        return value

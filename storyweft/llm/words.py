@@ -7,8 +7,11 @@ code points. A word is identified by a 64-bit hash, and a shingle by a hash of i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
 
@@ -122,9 +125,42 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> tuple[np.ndarra
         word = h[np.minimum(start + k, max(h.size - 1, 0))] if h.size else np.zeros(total, np.uint64)
         value = np.where(here, value * np.uint64(0xD6E8FEB86659FD93) + word, value)
     value = mix(value)
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    ends = np.cumsum(made)
+    for first_at, last_at in zip(ends - made, ends, strict=True):
+        value[first_at:last_at].sort()
     keep = np.ones(total, bool)
     keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     value, owner = value[keep], owner[keep]
     return value, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+
+
+def split_by_bytes(batch: pa.RecordBatch, column: int, limit: int = 6_000_000) -> list[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about ``limit`` bytes each; a longer text stands alone."""
+    _, offsets = string_buffers(batch.column(column))
+    out, first = [], 0
+    while first < batch.num_rows:
+        last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
+        last = min(max(last, first + 1), batch.num_rows)
+        out.append(batch.slice(first, last - first))
+        first = last
+    return out
+
+
+def ids_by_word(texts: pa.Array, lookup: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets): each text's ids, from those of its words between single spaces.
+
+    ``lookup`` maps distinct words to little-endian unsigned 32-bit ids; it sees each word of these
+    texts once.
+    """
+    lists = pc.split_pattern(texts, " ")
+    at = lists.offsets.to_numpy()
+    coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+    parts = lookup(coded.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    pool = np.frombuffer(b"".join(parts), "<u4")
+    word = coded.indices.to_numpy()
+    n = sizes[word]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    ids = pool[np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], n)]
+    return ids, ends[at - at[0]]
