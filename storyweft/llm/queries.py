@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from storyweft.llm import packing, sentencepiece_bpe
+from storyweft.llm import packing, sentencepiece_bpe, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards."""
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), 40)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records into seekable bundles, and read back from them."""
+    index = warc.archive(_table(spark, sf_dir, "pages"))
+    return warc.read_bundles(index, payloads=False)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with begin and end ids, and decoded again."""
     docs = _table(spark, sf_dir, "documents")
@@ -26,6 +36,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_warc": op2_warc,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_packing": op8_packing,
 }
