@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storyweft.llm import packing, sentencepiece_bpe, sharding, warc
+from storyweft.llm import langid, packing, sentencepiece_bpe, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(divisor: int) -> Column:
+    """Remainder of the CRC-32 of doc_id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), 40)
@@ -23,6 +29,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(index, payloads=False)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents outside fold 2 of 4."""
+    docs = _table(spark, sf_dir, "documents")
+    models = langid.train(docs.filter(_fold(4) != 2))
+    return langid.identify(docs, models).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with begin and end ids, and decoded again."""
     docs = _table(spark, sf_dir, "documents")
@@ -38,6 +51,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
+    "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_packing": op8_packing,
 }
