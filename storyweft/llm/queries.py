@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm import langid, packing, sentencepiece_bpe, sharding, warc
+from storyweft.llm import langid, packing, pii, sentencepiece_bpe, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and discovered spans of personal data in every text."""
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.learn_patterns(docs))
+    counts = [F.size(pii.of_kind(F.col("base"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 tokens."""
     docs = _table(spark, sf_dir, "documents")
@@ -53,6 +61,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_pii": op6_pii,
     "op8_packing": op8_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
