@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm import langid, packing, pii, sentencepiece_bpe, sharding, warc
+from storyweft.llm import jaccard_join, langid, packing, pii, sentencepiece_bpe, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by shingle Jaccard similarity of 0.75 or more."""
+    return jaccard_join.similarity_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
@@ -63,5 +68,6 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
     "op8_packing": op8_packing,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
