@@ -246,3 +246,16 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names)
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, lang_pred string, score double, rejected boolean")
+
+
+def filter_identified(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The rows whose language is not rejected, with all their columns. A narrow job."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in split_by_bytes(whole, at, 2_000_000):
+                yield batch.filter(pa.array(~shared.value.predict(batch.column(at))[2]))
+
+    return docs.mapInArrow(run, docs.schema)

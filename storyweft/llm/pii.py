@@ -238,3 +238,13 @@ def masked(text: Column, spans: Column) -> Column:
 
     end = F.aggregate(by_start, start, step)
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text))))
+
+
+def mask_documents(docs: DataFrame, patterns: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+    """All rows and columns, with personal data in the texts masked; a null text stays null."""
+    held = "_spans_of_personal_data"  # computed once, used several times
+    text, base = F.col(text_col), F.col(held)
+    found = docs.withColumn(held, base_spans(text))
+    if patterns:
+        found = found.withColumn(held, F.concat(base, discovered_spans(text, base, patterns)))
+    return found.withColumn(text_col, F.when(text.isNotNull(), masked(text, base))).drop(held)

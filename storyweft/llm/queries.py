@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm import embedding_dedup, hilbert, jaccard_join, langid, packing, pii, sentencepiece_bpe, sharding, warc
+from storyweft.llm import embedding_dedup, gru_lm, hilbert, jaccard_join, langid, packing, pii, sentencepiece_bpe, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(index, payloads=False)
 
 
+def op3_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every text, learned from the documents outside fold 2 of 7."""
+    return gru_lm.score_documents(_table(spark, sf_dir, "documents"), _fold(7) != 2)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the documents outside fold 2 of 4."""
     docs = _table(spark, sf_dir, "documents")
@@ -74,6 +79,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
+    "op3_gru_lm": op3_gru_lm,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
