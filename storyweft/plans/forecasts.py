@@ -141,9 +141,9 @@ def _(t: Tables):
     return _R(ends.select(F.col("narrative_id").alias("source_id"), "predicted", Q.trend_of(F.col("predicted"), F.col("first"), 0.1).alias("trend"), Q.risk_level(F.col("predicted")).alias("risk")), "predicted")
 
 
-@query("t21_predict_evolution", f"WITH {_METRICS} SELECT narrative_id, dimension, ROUND(greatest(0.0, least(10.0, latest + slope * 7)), 6) AS yhat, CASE WHEN slope > 0.1 THEN 'rapidly increasing' WHEN slope > 0.05 THEN 'increasing' WHEN slope > 0.01 THEN 'slightly increasing' WHEN slope >= -0.01 THEN 'stable' WHEN slope >= -0.05 THEN 'slightly decreasing' WHEN slope >= -0.1 THEN 'decreasing' ELSE 'rapidly decreasing' END AS direction, CASE WHEN slope > 0 AND latest < 8.5 AND ceil(round((8.5 - latest) / slope, 6)) <= 30 THEN CAST(ceil(round((8.5 - latest) / slope, 6)) AS BIGINT) END AS days_to_limit FROM metrics")
+@query("t21_predict_evolution", f"WITH {_METRICS} SELECT narrative_id, dimension, ROUND(greatest(0.0, least(10.0, latest + slope * 7)), 6) AS yhat, CASE WHEN slope > 0.1 THEN 'rapidly increasing' WHEN slope > 0.05 THEN 'increasing' WHEN slope > 0.01 THEN 'slightly increasing' WHEN slope >= -0.01 THEN 'stable' WHEN slope >= -0.05 THEN 'slightly decreasing' WHEN slope >= -0.1 THEN 'decreasing' ELSE 'rapidly decreasing' END AS direction, CASE WHEN slope > 0 AND latest < 8.5 AND ceil(round((8.5 - latest) / slope, 6)) <= 30 THEN CAST(ceil(round((8.5 - latest) / slope, 6)) AS DOUBLE) END AS days_to_limit FROM metrics")
 def _(t: Tables):
-    return _R(P.predict_evolution(P.trend_metrics(long_scores(t)), 7), "yhat")
+    return _R(P.predict_evolution(P.trend_metrics(long_scores(t)), 7), "yhat").withColumn("days_to_limit", F.col("days_to_limit").cast("double"))
 
 
 @query("t22_trending_complexity", f"WITH {_METRICS} SELECT narrative_id, ROUND(slope, 6) AS slope, ROUND(acceleration, 6) AS acceleration, latest, CASE WHEN latest < 8.5 THEN CAST(ceil(round((8.5 - latest) / slope, 6)) AS BIGINT) ELSE 0 END AS days_to_limit FROM metrics WHERE dimension = 'overall' AND slope > 0.05 ORDER BY metrics.slope DESC, narrative_id LIMIT 20")
@@ -189,7 +189,7 @@ def _(t: Tables):
     return P.pattern_shift(m).select("narrative_id", "dimension", "shifted")
 
 
-@query("t27_insights", f"""WITH {_METRICS}, i AS (SELECT narrative_id, dimension, array_to_string(list_filter([CASE WHEN abs(slope) > 0.02 THEN dimension || CASE WHEN slope > 0 THEN ' is rising' ELSE ' is falling' END END, CASE WHEN r2 > 0.7 THEN dimension || ' follows a steady line' END, CASE WHEN abs(acceleration) > 0.1 THEN dimension || CASE WHEN acceleration > 0 THEN ' is speeding up' ELSE ' is slowing down' END END, CASE WHEN latest >= 8 THEN dimension || ' is very high' END], x -> x IS NOT NULL), '; ') AS insight FROM metrics) SELECT * FROM i WHERE insight <> ''""")
+@query("t27_insights", f"""WITH {_METRICS}, i AS (SELECT narrative_id, dimension, array_to_string(list_filter([CASE WHEN abs(slope) > 0.02 THEN dimension || CASE WHEN slope > 0 THEN ' is rising' ELSE ' is falling' END END, CASE WHEN r2 > 0.7 THEN dimension || ' follows a steady line' END, CASE WHEN abs(acceleration) > 0.1 THEN dimension || CASE WHEN acceleration > 0 THEN ' is speeding up' ELSE ' is slowing down' END END, CASE WHEN latest >= 8 THEN dimension || ' is very high' END], lambda x: x IS NOT NULL), '; ') AS insight FROM metrics) SELECT * FROM i WHERE insight <> ''""")
 def _(t: Tables):
     return P.insights(P.trend_metrics(long_scores(t)))
 
