@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None, dates: str = "") -> Callable:
                     break
             text = SQL_VIEWS + text
             if dates:
-                text = "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates.split()) + f") FROM ({text})"
+                text = "SELECT * REPLACE (" + ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in dates.split()) + f") FROM ({text})"
             ORACLE_SQL[name] = text
         return build
 
