@@ -34,7 +34,7 @@ def _(t: Tables):
     return _alerts(t).filter("exceeded > 0").select("narrative_id", "day", L.message(F.col("narrative_id"), F.col("dimensions")).alias("message"), L.channels(F.col("priority")).alias("channels"))
 
 
-@query("l6_newest_critical", f"WITH {_EXCEEDED} SELECT narrative_id AS id, day AS at FROM alerts WHERE priority = 'critical' AND exceeded > 0 ORDER BY at DESC, id LIMIT 20", dates="at")
+@query("l6_newest_critical", f"""WITH {_EXCEEDED} SELECT narrative_id AS id, day AS "at" FROM alerts WHERE priority = 'critical' AND exceeded > 0 ORDER BY "at" DESC, id LIMIT 20""", dates="at")
 def _(t: Tables):
     return L.newest(_alerts(t).filter("priority = 'critical' AND exceeded > 0").select(F.col("narrative_id").alias("id"), F.col("day").alias("at")), 20)
 
@@ -44,13 +44,13 @@ def _(t: Tables):
     return L.by_priority(_alerts(t))
 
 
-@query("l8_notifications", f"WITH {_EXCEEDED}, c AS (SELECT narrative_id AS id, day AS at, unnest(CASE priority WHEN 'critical' THEN ['email', 'sms', 'dashboard'] WHEN 'high' THEN ['email', 'dashboard'] ELSE ['dashboard'] END) AS channel FROM alerts WHERE exceeded > 0) SELECT id, at, channel FROM c", dates="at")
+@query("l8_notifications", f"""WITH {_EXCEEDED}, c AS (SELECT narrative_id AS id, day AS "at", unnest(CASE priority WHEN 'critical' THEN ['email', 'sms', 'dashboard'] WHEN 'high' THEN ['email', 'dashboard'] ELSE ['dashboard'] END) AS channel FROM alerts WHERE exceeded > 0) SELECT id, "at", channel FROM c""", dates="at")
 def _(t: Tables):
     rows = _alerts(t).filter("exceeded > 0").select(F.col("narrative_id").alias("id"), F.col("day").alias("at"), L.channels(F.col("priority")).alias("channels"))
     return L.notifications(rows)
 
 
-@query("o5_merged_alerts", "WITH a AS (SELECT instance_id AS id, detected_at AS at, platform AS kind FROM instances), k AS (SELECT * FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY kind ORDER BY at DESC, id) <= 5) SELECT id, at, kind FROM k ORDER BY at DESC, id LIMIT 20", dates="at")
+@query("o5_merged_alerts", """WITH a AS (SELECT instance_id AS id, detected_at AS "at", platform AS kind FROM instances), k AS (SELECT * FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY kind ORDER BY "at" DESC, id) <= 5) SELECT id, "at", kind FROM k ORDER BY "at" DESC, id LIMIT 20""", dates="at")
 def _(t: Tables):
     return L.newest(t.instances.select(F.col("instance_id").alias("id"), F.col("detected_at").alias("at"), F.col("platform").alias("kind")), 20, "kind", 5)
 
