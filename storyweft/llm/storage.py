@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of a session that has no setting.
+_OWN: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """URI of a new folder name below ``spark.checkpoint.dir``; where that is unset (local runs), a temporary one is set."""
+    """URI of a new folder name below ``spark.checkpoint.dir``; where that is unset (local runs), below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='storyweft-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='storyweft-')}")
+        base = _OWN[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
