@@ -241,7 +241,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in split_by_bytes(whole, 1, 2_000_000):
+            for batch in split_by_bytes(whole, 1, 1_000_000):
                 lang, score, rejected = shared.value.predict(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names)
 
@@ -255,7 +255,7 @@ def filter_identified(docs: DataFrame, models: Models, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in split_by_bytes(whole, at, 2_000_000):
+            for batch in split_by_bytes(whole, at, 1_000_000):
                 yield batch.filter(pa.array(~shared.value.predict(batch.column(at))[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -50,7 +50,7 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.words = WordCache(self._word, 400_000)
+        self.words = WordCache(self._word, 150_000)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -222,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
         for whole in batches:
-            for batch in split_by_bytes(whole, 1):
+            for batch in split_by_bytes(whole, 1, 2_000_000):
                 ids, at = tokenizer.encode(batch.column(1))
                 for k, doc in enumerate(batch.column(0).to_pylist()):
                     own = ids[at[k] : at[k + 1]].tobytes() + end
