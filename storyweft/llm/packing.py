@@ -26,7 +26,6 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from storyweft.llm.caches import WordCache
 from storyweft.llm.words import ids_by_word, split_by_bytes
 
 WINDOW = 4096
@@ -36,13 +35,14 @@ MAX_OPEN = 1024
 
 
 class WordTokenizer:
-    """Ids of whole texts by the ``tokenizers`` library, each distinct word encoded once.
+    """Ids of whole texts by the ``tokenizers`` library, each distinct word of a slice encoded once.
 
     This tokenizer lower-cases, drops white space and never joins tokens across it, so words
-    between spaces are independent.
+    between spaces are independent; so are a letter and the comma or full stop behind it. The words
+    of the last slices are kept, in two generations of at most ``size`` words and one slice each.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, size: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,36 +50,47 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.words = WordCache(self._word, 150_000)
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _word(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2] < "\u0250" and word[-2] != "\u0130":
-            return self.words[word[:-1]] + self.words[word[-1]]  # a mark after a letter is a token of its own
-        return self._encode(word).tobytes()
-
-    def lookup(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words. New words of Latin letters are encoded together, as one text."""
-        known, old = self.words, self.words.old
-        new = {w[:-1] if w[-1:] in (",", ".") else w for w in words if w not in known and w not in old}
-        new = [w for w in new if w.isalpha() and max(w) < "\u0250" and "\u0130" not in w and w not in known and w not in old]
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            ids = self._encode(" ".join(part))
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1  # each of these words is one run of letters
+        self.size = size
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words met for the first time: words of Latin letters together, as one text, all others one by one."""
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0250" and "\u0130" not in w]
+        for k in range(0, len(plain), 10_000):
+            part = plain[k : k + 10_000]
+            ids = self._encoded([" ".join(part)])[0]
+            cuts = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)  # each of these words is one run of letters
             raw, start = ids.tobytes(), 0
-            for word, end in zip(part, (4 * cuts).tolist(), strict=True):
-                known.put(word, raw[start:end])
+            for word, end in zip(part, cuts.tolist(), strict=True):
+                yield word, raw[start:end]
                 start = end
-        return list(map(known.__getitem__, words))
+        known = set(plain)
+        others = [w for w in words if w not in known]
+        for k in range(0, len(others), 10_000):
+            part = others[k : k + 10_000]
+            yield from zip(part, (ids.tobytes() for ids in self._encoded(part)), strict=True)
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        known, old = self.known, self.old
+        missing = [w for w in words if w not in known]
+        known.update((w, old[w]) for w in missing if w in old)
+        known.update(self._new([w for w in missing if w not in old]))
+        out = list(map(known.__getitem__, words))
+        if len(known) > self.size:
+            self.known, self.old = {}, known
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts' ids; null texts have none."""
         texts = texts.fill_null("")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a special token could appear by lower-casing
             texts = pc.ascii_lower(texts)
+            texts = pc.replace_substring_regex(texts, "([a-zß-öø-ÿ])([,.])", r"\1 \2")
         return ids_by_word(pc.replace_substring(texts, "\n", " "), self.lookup)
 
 
