@@ -19,10 +19,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_CODE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15
-_STEP_INVERSE = pow(_STEP, -1, 2**64)
-_BLOCK = 1 << 16
+_POSITIONS = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,24 +33,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def _letter_codes(cells: np.ndarray) -> np.ndarray:
+    """A code for each (position << 8 | byte)."""
+    return mix((cells.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_UP = _powers(_STEP, _BLOCK)
-_DOWN = _powers(_STEP_INVERSE, _BLOCK)
-
-
-def _power_at(table: np.ndarray, base: int, at: np.ndarray) -> np.ndarray:
-    """base ** at for positions beyond the table, from the table and its block power."""
-    high = at >> 16
-    out = table[at & (_BLOCK - 1)]
-    if high.size and high.max() > 0:
-        out = out * _powers(pow(base, _BLOCK, 2**64), int(high.max()) + 1)[high]
-    return out
+_CODES = _letter_codes(np.arange(_POSITIONS << 8))
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +77,24 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, lower-cased A-Z: a polynomial over the bytes from prefix sums, then mixed."""
+    """64-bit hash of each word, lower-cased A-Z: the mixed sum of one code for each byte and its place in the word.
+
+    The codes of different places are unrelated, so no rearrangement of a word's bytes keeps its sum.
+    """
     if begin.size == 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(raw.size, dtype=np.int64)
-    sums = np.zeros(raw.size + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[_LOWER[raw]] * _power_at(_UP, _STEP, at), out=sums[1:])
-    h = (sums[end] - sums[begin]) * _power_at(_DOWN, _STEP_INVERSE, begin)
-    return mix(h + (end - begin).astype(np.uint64))
+    size = end - begin
+    first = np.cumsum(size) - size
+    letters = _LOWER[raw]
+    letters = letters[~_SEPARATOR[raw]]  # those of the words, one after another
+    cells = np.arange(letters.size, dtype=np.int64) - np.repeat(first, size)
+    cells <<= 8
+    cells |= letters
+    codes = _CODES.take(cells, mode="clip")
+    if size.max() > _POSITIONS:
+        far = np.flatnonzero(cells >= _CODES.size)
+        codes[far] = _letter_codes(cells[far])
+    return mix(np.add.reduceat(codes, first) + size.astype(np.uint64))
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
