@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join by a token-group matrix.
 
-A text's set holds its distinct five-word shingles, as 64-bit hashes. Sets link when their Jaccard
+A text's set holds its distinct five-word shingles, as 64-bit hashes (two different shingles share
+one by chance only, about once in 10 ** 19 pairs). Sets link when their Jaccard
 similarity reaches ``PERCENT`` %. The join answers with components; it finds every link between
 different sets without listing the pairs.
 
@@ -40,10 +41,10 @@ from storyweft.llm.words import SHINGLE_WORDS, mix, shingle_sets, split_by_bytes
 PERCENT = 75
 #: A shingle is hot when it makes up more than this share of all; hot ones come last in every set's order.
 HOT_SHARE = 1e-6
-#: A flush of this many shingles reports those that it has at least so often.
-FLUSH, REPORT = 1_000_000, 16
-#: Shingles that one bucket is to hold; sets of one group that one side of a cell holds.
-BUCKET, CELL = 3_000_000, 768
+#: Shingles held between flushes; a task reports what it has met at least so often, by a table of so many counters.
+FLUSH, REPORT, COUNTERS = 1_000_000, 16, 1 << 21
+#: Shingles that one bucket is to hold; sets of one group that one side of a cell holds; groups of one token that meet in a task.
+BUCKET, CELL, MEETING = 3_000_000, 768, 64
 HOT_CLASS = 63
 
 _U8, _U64 = np.uint8, np.uint64
@@ -73,16 +74,27 @@ def _set_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: (id, n, key) of each text, and (null, count, token) of shingles that are frequent in a flush."""
+    """Rows of two kinds: (id, n, key) of each text, and (null, count, token) of shingles that are frequent in a task.
+
+    A task counts shingles by their low bits, over all that it reads; one whose counter has reached
+    ``REPORT`` is reported with each flush. So a shingle that is never reported occurs in fewer than
+    ``REPORT`` sets of every task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        counters = np.zeros(COUNTERS, np.uint32)
 
         def frequent() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, _U64), np.zeros(0, int))
-            keep = counts >= REPORT
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([False] * int(keep.sum()), pa.bool_()), pa.nulls(int(keep.sum()), pa.int64()), pa.array(counts[keep], pa.int64()), pa.array(_signed(tokens[keep]))], ["is_text", "id", "n", "key"])
+            at = (tokens & _U64(COUNTERS - 1)).astype(np.int64)
+            before = counters[at]
+            np.add.at(counters, at, counts.astype(np.uint32))
+            after = counters[at]
+            keep = after >= REPORT
+            counts = np.where(before < REPORT, after, counts)[keep]  # the first report brings what came before
+            return pa.RecordBatch.from_arrays([pa.array([False] * counts.size, pa.bool_()), pa.nulls(counts.size, pa.int64()), pa.array(counts, pa.int64()), pa.array(_signed(tokens[keep]))], ["is_text", "id", "n", "key"])
 
         for ids, hashes, offsets in _texts(batches):
             held.append(hashes)
@@ -293,15 +305,29 @@ def _open_cell(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def meetings(rows: DataFrame, sizes: DataFrame, percent: int, meeting: int = MEETING) -> DataFrame:
+    """Distinct pairs of groups (one < two) that share a token and whose sets' sizes can link.
+
+    The groups of one token are dealt to chunks of about ``meeting``; every two chunks meet under a
+    key of their own, so no key gathers all groups of a frequent token.
+    """
+    chunks = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / meeting).alias("chunks"))
+    dealt = rows.join(chunks, "token").join(sizes.select("group", "least", "most"), "group").withColumn("own", F.pmod(F.xxhash64("group"), F.col("chunks")))
+    facing = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    left = dealt.select("token", F.col("own").alias("i"), facing.alias("j"), F.col("group").alias("one"), F.col("least").alias("least_one"), F.col("most").alias("most_one"))
+    right = dealt.select("token", facing.alias("i"), F.col("own").alias("j"), F.col("group").alias("two"), F.col("least").alias("least_two"), F.col("most").alias("most_two"))
+    fits = (F.col("most_one") * 100 >= F.col("least_two") * percent) & (F.col("most_two") * 100 >= F.col("least_one") * percent)
+    return left.join(right, ["token", "i", "j"]).filter((F.col("one") < F.col("two")) & fits).select("one", "two").distinct()
+
+
 def links(able: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     """Edges (a, b) that span the components of the sets' similarity graph."""
     sizes = able.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
     sizes = stored(sizes, "jaccard-groups")
     rows = stored(matrix(able), "jaccard-matrix")
-    met = rows.select("token", F.col("group").alias("one")).join(rows.select("token", F.col("group").alias("two")), "token").filter("one < two").select("one", "two").distinct()
-    one, two = (sizes.select(F.col("group").alias(x), F.ceil(F.col("sets") / cell).alias(f"chunks_{x}"), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}")) for x in ("one", "two"))
-    fits = (F.col("most_one") * 100 >= F.col("least_two") * percent) & (F.col("most_two") * 100 >= F.col("least_one") * percent)
-    across = met.join(one, "one").join(two, "two").filter(fits).select("one", "two", "chunks_one", "chunks_two")
+    met = meetings(rows, sizes, percent)
+    one, two = (sizes.select(F.col("group").alias(x), F.ceil(F.col("sets") / cell).alias(f"chunks_{x}")) for x in ("one", "two"))
+    across = met.join(one, "one").join(two, "two").select("one", "two", "chunks_one", "chunks_two")
     inner = one.join(sizes.filter("sets > 1").select(F.col("group").alias("one")), "one").select("one", F.col("one").alias("two"), "chunks_one", F.col("chunks_one").alias("chunks_two"))
     pairs = across.unionByName(inner)
     # Each side of a pair in chunks; a chunk meets every chunk of the other side, within a group every later one.
