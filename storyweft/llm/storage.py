@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: The folder of a session that has no setting.
+#: The folder of a local session that has no setting.
 _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """URI of a new folder name below ``spark.checkpoint.dir``; where that is unset (local runs), below a temporary one."""
+    """URI of a new folder name below ``spark.checkpoint.dir``; where a local session hasn't set it, below a temporary one.
+
+    On a cluster a temporary folder would be another one on each machine, so there the setting is required.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='storyweft-')}")
         base = _OWN[0]
