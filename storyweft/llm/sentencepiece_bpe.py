@@ -8,7 +8,8 @@ table of last pieces is filled left to right, and the ids are read from its end
 time linear in the word, without a merge queue.
 
 Pieces of the model hold the space mark only at their start, so words are independent and are
-memoised. Runs of spaces, whose merges all have one score, go through the plain merge order.
+memoised. Merges within a run of spaces all have one score, so the compatibility of a run's pieces
+with what follows them is decided by encoding the pair.
 
 Defined cases: a null or empty text gives the begin and end ids alone; characters outside the
 vocabulary fall back to byte pieces; repeated rows give repeated results; no rows give no rows.
@@ -28,6 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from storyweft.llm.caches import WordCache
+from storyweft.llm.words import split_by_bytes
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -63,7 +65,7 @@ class PrefixTableBpe:
         self.parts: dict[str, tuple[str, str]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece in list(self.ids):
-            if len(piece) > 1 and not piece.startswith(SPACE * 2):
+            if len(piece) > 1:
                 halves = self._last_merge(piece)
                 if halves is None:
                     continue  # no order of merges leads to it
@@ -121,6 +123,8 @@ class PrefixTableBpe:
         left, right = self.pieces[pair >> 32], self.pieces[pair & 0xFFFFFFFF]
         if left not in self.ids:  # a byte piece
             return True
+        if left.endswith(SPACE):  # merges of spaces tie: the definition itself
+            return self.merge_order(left + right) == [left, right]
         limit = (len(self.rank), 0)
         while True:
             across = self.rank.get(left + right)
@@ -138,12 +142,6 @@ class PrefixTableBpe:
 
     def _segment(self, segment: str) -> array:
         """Ids of one word with its leading space mark."""
-        if segment.startswith(SPACE * 2):
-            out = array("I")
-            for piece in self.merge_order(segment):
-                i = self.ids.get(piece)
-                out.extend((i,) if i is not None else self._bytes(piece))
-            return out
         # last[k]: the last piece of the prefix that ends with character k; -1 for a character outside
         # the vocabulary, and at the end of the list, which is also what precedes the first character.
         last = [-1] * (len(segment) + 1)
@@ -219,7 +217,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(model_file)
-        for batch in batches:
+        for batch in (part for whole in batches for part in split_by_bytes(whole, 1)):
             counts, id_sums, text_sums, kept = [], [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "")
