@@ -7,12 +7,15 @@ vectors on either side of its rank in every ordering; what the windows hold is c
 precision, and the windows' best are merged.
 
 Orderings are cut into blocks of a fixed number of ranks. A query visits the blocks that its window
-meets, as one row for each, and a task compares one block with its visitors, so a task's memory
-doesn't grow with the table. Equal vectors are one point of the index that keeps its smallest ids, so
-a vector of which there are many copies fills no window.
+meets, as one row for each; a block's visitors are dealt to tasks of bounded size, each of which has
+the block and compares it with a few visitors at a time, so a task's memory doesn't grow with the
+table. Equal vectors are one point of the index that keeps its smallest ids, so a vector of which
+there are many copies fills no window, and all queries with one vector are one search.
 
-Vectors without structure have no near neighbours in any projection: there only wide windows find
-them, hence the default reach. On vectors that cluster a smaller one is enough.
+Many curves with narrow windows find more than few with wide ones. With the defaults a query is
+compared with at most ``2 * CURVES * REACH`` = 0.86 times as many vectors as there are, on vectors without
+any structure, where no projection keeps neighbours together; on vectors that cluster a far smaller
+reach is enough.
 
 Defined cases: a vector that is null, empty or zero, or holds null or non-finite components takes no
 part, nor does a row without id; vectors of another length than a query's are no candidates; equal
@@ -29,11 +32,12 @@ from pyspark.sql.window import Window
 
 from storyweft.llm.storage import stored
 
-CURVES = 6
-#: Share of all points that a query looks at on either side of its place in an ordering.
-REACH = 0.16
+CURVES = 24
+#: Share of all points that a query looks at on either side of its place in an ordering, and points at least.
+REACH, LEAST = 0.018, 64
 DIRECTIONS, BITS = 6, 10
-BLOCK = 4096
+#: Points of a block; visitors of a task; visitors compared at a time.
+BLOCK, VISITORS, SLICE = 4096, 4096, 256
 SEED = 11
 
 
@@ -125,44 +129,72 @@ def order_points(pts: DataFrame, curves: int) -> DataFrame:
     return ranked.join(pts.select("point", "vector"), "point")
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, reach: float = REACH, block: int = BLOCK) -> DataFrame:
+def _best(scores: np.ndarray, ids: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of each row's highest finite scores, all that tie with the last one among them by id."""
+    if scores.shape[1] > best:
+        least = -np.partition(-scores, best - 1, axis=1)[:, best - 1]
+        row, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    else:
+        row, at = np.nonzero(scores > -np.inf)
+    score = scores[row, at]
+    order = np.lexsort((ids[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    place = np.arange(row.size) - np.searchsorted(row, row)
+    keep = place < best
+    return row[keep], ids[at[keep]], score[keep]
+
+
+def compare(visitors: pa.Table, block: pa.Table, window: int, best: int) -> pa.Table:
+    """(asked, point, score): the best of a block for each visitor, within the visitors' windows."""
+    out: list[list] = [[], [], []]
+    if visitors.num_rows and block.num_rows:
+        lengths, others = (np.asarray(c.combine_chunks().value_lengths()) for c in (visitors.column("own_vector"), block.column("vector")))
+        for n in np.unique(lengths):
+            own, other = visitors.filter(pa.array(lengths == n)), block.filter(pa.array(others == n))
+            if not other.num_rows:
+                continue
+            b, nb = _units(other.column("vector"))
+            ranks, ids = other.column("rank").to_numpy(), other.column("point").to_numpy()
+            for first in range(0, own.num_rows, SLICE):
+                part = own.slice(first, SLICE)
+                a, na = _units(part.column("own_vector"))
+                score = (a @ b.T) / (na[:, None] * nb[None, :])
+                score[np.abs(part.column("own_rank").to_numpy()[:, None] - ranks[None, :]) > window] = -np.inf
+                row, point, kept = _best(score, ids, best)
+                out[0].append(part.column("asked").to_numpy()[row])
+                out[1].append(point)
+                out[2].append(kept)
+    cols = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
+    return pa.table({"asked": cols[0], "point": cols[1], "score": cols[2]})
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, reach: float = REACH, block: int = BLOCK, visitors: int = VISITORS) -> DataFrame:
     """(query_id, rank, id, score): for the rows that ``queries`` selects, their k nearest found among all others."""
     pts = stored(points(vectors, id_col, vector_col, k + 1), "curve-points")
     ranked = stored(order_points(pts, curves), "curve-ranks")
     total = pts.count()
-    window = max(k + 1, int(np.ceil(reach * total)))
+    window = max(k + 1, LEAST, int(np.ceil(reach * total)))
     asked = vectors.filter(queries).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("vector")).filter(F.col("query_id").isNotNull() & usable(F.col("vector"))).distinct()
-    # A query stands where its own point stands.
-    placed = asked.join(ranked.select("curve", "rank", "vector"), "vector").select("query_id", "vector", "curve", "rank")
+    asked = stored(asked.join(pts.select("point", "vector"), "vector").select("query_id", F.col("point").alias("asked")), "curve-asked")
+    # A query stands where its own point stands; one search for each point.
+    placed = asked.select("asked").distinct().join(ranked.select(F.col("point").alias("asked"), "vector", "curve", "rank"), "asked")
     low, high = F.greatest(F.lit(0), F.col("rank") - window), F.least(F.lit(total - 1), F.col("rank") + window)
-    visits = placed.select("query_id", "vector", F.col("curve").alias("own_curve"), F.col("rank").alias("own_rank"), F.explode(F.sequence(F.floor(low / block), F.floor(high / block))).alias("own_block"))
+    visits = placed.select("asked", "vector", "curve", F.col("rank").alias("own_rank"), F.explode(F.sequence(F.floor(low / block), F.floor(high / block))).alias("block"))
     members = ranked.select("point", "vector", "curve", "rank", F.floor(F.col("rank") / block).alias("block"))
+    key = ["curve", "block"]
+    parts = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / visitors).alias("parts"))
+    parts = stored(parts, "curve-visits")
+    dealt = visits.join(parts, key).select(F.col("curve").alias("own_curve"), F.col("block").alias("own_block"), F.pmod(F.xxhash64("asked"), F.col("parts")).alias("own_part"), "asked", "own_rank", F.col("vector").alias("own_vector"))
+    shown = members.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     best = k + 1  # a query may find its own point
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            lengths_l, lengths_r = (np.asarray(t.column("vector").combine_chunks().value_lengths()) for t in (left, right))
-            for n in np.unique(lengths_l):
-                own, other = left.filter(pa.array(lengths_l == n)), right.filter(pa.array(lengths_r == n))
-                if not other.num_rows:
-                    continue
-                (a, na), (b, nb) = _units(own.column("vector")), _units(other.column("vector"))
-                by_point = np.argsort(other.column("point").to_numpy())
-                b, nb, ranks, ids = b[by_point], nb[by_point], other.column("rank").to_numpy()[by_point], other.column("point").to_numpy()[by_point]
-                score = (a @ b.T) / (na[:, None] * nb[None, :])
-                far = np.abs(own.column("own_rank").to_numpy()[:, None] - ranks[None, :]) > window
-                score[far] = -np.inf
-                top = np.argsort(-score, axis=1, kind="stable")[:, :best]  # equal scores by id
-                good = np.take_along_axis(score, top, 1) > -np.inf
-                out[0].append(np.repeat(own.column("query_id").to_numpy(), good.sum(axis=1)))
-                out[1].append(ids[top][good])
-                out[2].append(np.take_along_axis(score, top, 1)[good])
-        cols = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"query_id": cols[0], "point": cols[1], "score": cols[2]})
-
-    found = visits.groupBy("own_curve", "own_block").cogroup(members.groupBy("curve", "block")).applyInArrow(compare, "query_id long, point long, score double")
-    found = found.groupBy("query_id", "point").agg(F.max("score").alias("score"))
-    found = found.join(pts.select("point", F.explode("ids").alias("id")), "point").filter("id <> query_id")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return compare(left, right, window, best)
+
+    found = dealt.groupBy("own_curve", "own_block", "own_part").cogroup(shown.groupBy(*key, "part")).applyInArrow(run, "asked long, point long, score double")
+    found = found.groupBy("asked", "point").agg(F.max("score").alias("score"))
+    near = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "point"))
+    found = found.withColumn("near", near).filter(F.col("near") <= best)
+    found = asked.join(found, "asked").join(pts.select("point", F.explode("ids").alias("id")), "point").filter("id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.select("query_id", place.cast("int").alias("rank"), F.col("id").alias(id_col), "score").filter(F.col("rank") <= k)
