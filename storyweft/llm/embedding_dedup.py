@@ -69,7 +69,9 @@ def assign(nodes: DataFrame, cells: dict[tuple[int, int], np.ndarray], threshold
     """Each vector at home in its cell and as a guest where a linked one may be at home."""
     shared = nodes.sparkSession.sparkContext.broadcast(cells)  # bounded by the sample
     sine = float(np.sqrt(1 - threshold**2)) + 1e-9
-    schema = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("guest", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("vector", pa.list_(pa.float32()))])
+    single = nodes.schema["vector"].dataType.elementType.simpleString() == "float"  # else all digits are kept
+    kind = pa.list_(pa.float32() if single else pa.float64())
+    schema = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("guest", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("vector", kind)])
 
     def run(batches):
         for batch in batches:
@@ -90,9 +92,9 @@ def assign(nodes: DataFrame, cells: dict[tuple[int, int], np.ndarray], threshold
                     guest = cell != home[at]
                 part = own.take(pa.array(at))
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, label), pa.int64()), pa.array(np.full(n, dim), pa.int32()), pa.array(cell, pa.int32()), pa.array(guest), part.column("node"), part.column("copies"), part.column("vector").cast(pa.list_(pa.float32()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, label), pa.int64()), pa.array(np.full(n, dim), pa.int32()), pa.array(cell, pa.int32()), pa.array(guest), part.column("node"), part.column("copies"), part.column("vector").cast(kind)], schema=schema)
 
-    return nodes.select("label", "node", "copies", "vector").mapInArrow(run, "label long, dim int, cell int, guest boolean, node long, copies long, vector array<float>")
+    return nodes.select("label", "node", "copies", "vector").mapInArrow(run, f"label long, dim int, cell int, guest boolean, node long, copies long, vector array<{'float' if single else 'double'}>")
 
 
 def _compare(table: pa.Table, threshold: float) -> pa.Table:
