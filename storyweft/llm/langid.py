@@ -4,7 +4,10 @@ One character model per language is estimated on a bounded sample of labelled te
 share one table per order: the sorted hashes of all character n-grams seen in any language, with
 every language's interpolated log-probability beside them, and the sorted hashes of all contexts
 with their back-off weights. A text gets the language of the lowest cross-entropy per character.
-It is rejected when even that is higher than held-back texts of the language ever come near.
+It is rejected when even that is far above what held-back texts of the language have: entropies
+scatter about a language's median, the more the shorter the text, by a scale that all languages share;
+the limit is a multiple of a high quantile of that scatter. Median, scale and quantile are drawn towards
+pooled or usual values as far as held-back texts are few, so rejection works alike at every size.
 
 Texts are folded first: letters are lower-cased, runs of anything else become one space.
 
@@ -26,14 +29,18 @@ from pyspark.sql import functions as F
 from storyweft.llm.words import split_by_bytes, string_buffers
 
 ORDER = 4
-#: Bounds of the training sample: texts of a language, and characters of a text (a longer one is not trained on).
+#: Bounds of the training sample: texts of a language, and characters of a text (of a longer one an excerpt, its place drawn by the id's hash).
 SAMPLE_TEXTS = 800
 SAMPLE_CHARS = 20_000
 #: Each so-manieth sampled text is held back to calibrate rejection.
 CALIBRATION = 5
-#: How far above the highest cross-entropy of held-back texts a text may lie, in nats per character:
-#: so far in any case, and by so much more over the square root of its length, as short texts vary more.
-MARGIN, SHORT_MARGIN = 1.0, 6.0
+#: From so many characters on, entropies scatter by text rather than by length.
+LONG = 400
+#: The quantile of held-back scatter that a text may exceed so many times before it is rejected.
+QUANTILE, TIMES = 0.99, 2.0
+#: Usual scale in nats (times the root of 1 / length + 1 / LONG) and quantile, and as how many held-back texts they count
+#: (the quantile as more, as only the share beyond it tells of it).
+USUAL_SCALE, USUAL_QUANTILE, WEIGHT = 0.6, 6.0, 20
 #: Nats of log-likelihood ratio count for the score as if a text had this many characters.
 SCORE_CHARS = 20.0
 _BASE = 0x100000001B3
@@ -102,7 +109,12 @@ class Models:
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     floor: float
-    limits: np.ndarray
+    medians: np.ndarray
+    spread: float
+
+    def limits(self, best: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Highest cross-entropy accepted for texts of the given languages and lengths."""
+        return self.medians[best] + self.spread * _width(letters)
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy in nats per character by language, letters) of each text."""
@@ -141,7 +153,27 @@ class Models:
         score = 1 / np.exp(-SCORE_CHARS * (entropy - low[:, None])).sum(axis=1)
         none = letters == 0
         names = np.where(none, "und", np.array(self.languages, object)[best])
-        return names.tolist(), np.where(none, 0.0, score), none | (low > self.limits[best] + SHORT_MARGIN / np.sqrt(np.maximum(letters, 1)))
+        return names.tolist(), np.where(none, 0.0, score), none | (low > self.limits(best, letters))
+
+
+def _width(letters: np.ndarray) -> np.ndarray:
+    """How far entropies of texts of a length scatter, up to a factor."""
+    return np.sqrt(1 / np.maximum(letters, 1) + 1 / LONG)
+
+
+def _calibrated(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """(median by language, spread) from the held-back (entropies, letters) of each language."""
+    pooled = np.concatenate([e for e, _ in held]) if held else np.zeros(0)
+    middle = float(np.median(pooled)) if pooled.size else 0.0
+    medians = np.array([(len(e) * np.median(e) + WEIGHT / 4 * middle) / (len(e) + WEIGHT / 4) if len(e) else middle for e, _ in held])
+    scatter = np.concatenate([(e - m) / _width(n) for (e, n), m in zip(held, medians, strict=True)]) if held else np.zeros(0)
+
+    def shrunk(value: float, usual: float, weight: float) -> float:
+        return (scatter.size * value + weight * usual) / (scatter.size + weight)
+
+    scale = shrunk(1.4826 * float(np.median(np.abs(scatter))) if scatter.size else 0.0, USUAL_SCALE, WEIGHT)
+    quantile = shrunk(float(np.quantile(scatter / scale, QUANTILE)) if scatter.size else 0.0, USUAL_QUANTILE, WEIGHT / (1 - QUANTILE))
+    return medians, TIMES * quantile * scale
 
 
 def _counts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,17 +242,21 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Models:
             backoff.append(weights)
         else:
             floor += float(weights[0].mean())
-    models = Models(languages, keys, logp, contexts, backoff, floor, np.full(len(languages), np.inf))
+    models = Models(languages, keys, logp, contexts, backoff, floor, np.zeros(len(languages)), 0.0)
+    measured = []
     for j, x in enumerate(languages):
-        own = models.entropies(pa.array(held[x], pa.string()))[0][:, j] if held[x] else np.zeros(0)
-        if own.size >= 20:
-            models.limits[j] = own.max() + MARGIN
+        entropy, letters = models.entropies(pa.array(held[x], pa.string()))
+        measured.append((entropy[letters > 0, j], letters[letters > 0]))
+    models.medians, models.spread = _calibrated(measured)
     return models
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Models:
     """Models from about ``sample_texts`` texts of each language, drawn by a hash of the id: a fixed bound, whatever the table's size."""
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}") & (F.length(text_col) <= sample_chars)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("draw"))
+    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    excess = F.greatest(F.length(text_col) - sample_chars, F.lit(0))
+    excerpt = F.substring(F.col(text_col), (F.pmod(draw, excess + 1) + 1).cast("int"), F.lit(sample_chars))
+    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(lang_col).alias("lang"), excerpt.alias("text"), draw.alias("draw"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return fit({})
