@@ -1,17 +1,19 @@
 r"""Personal data: fixed patterns, and bootstrapped contextual extraction, in column expressions only.
 
 *Base* spans follow four fixed patterns, leftmost and non-overlapping by kind. They are the seeds.
-The words before a seed are its lexical pattern. Patterns and the identifier-like tokens they
-introduce (*instances*) form a graph, which Spark scores in rounds: a pattern is as good as the
-share of all the different words it introduces that are believed instances, an instance as good as
-its patterns together say. Everyday words introduce too much else to be believed.
-Patterns that end above a threshold, with enough different seeds behind them, discover further
-identifiers: tokens of the same shape that the fixed patterns don't match.
+The words before an identifier are its lexical pattern. One pass over the texts gives the graph of
+patterns and the identifier-like tokens they introduce (*instances*), seeds and look-alikes, whatever
+their context. Spark scores the graph in rounds: an instance is believed as far as its patterns say
+(a seed fully); a pattern is as good as the lower confidence bound of its believed instances against
+the everyday words that it also introduces. Instances that come to be believed lend support to further
+patterns, which need no seed of their own, and so on until no pattern is added. Believed patterns
+discover identifiers that the fixed patterns don't match.
 
 Edges of the graph are aggregated to distinct (kind, pattern, instance) before any join, so copies
-of a text count once. A pattern must introduce a fixed share of a kind's seeds to be believed, hence
-at most ``1 / MIN_SHARE`` patterns of a kind are brought to the driver and compiled into one
-expression; texts are then searched where they are read.
+of a text count once. A pattern must introduce a fixed share of a kind's seeds, or of all its
+instances, hence at most ``2 / MIN_SHARE`` patterns of a kind are brought to the driver and compiled
+into one expression; texts are then searched where they are read. No threshold is a number of rows:
+a pattern with few instances fails by its wide confidence interval, on tables of every size.
 
 Positions are counted in code points, ends exclusive: the text is split at the matches, and the
 lengths of parts and matches add up to the positions.
@@ -43,6 +45,9 @@ _PATTERNS = {
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
+#: What a text must hold for a base pattern to match at all: a literal, or an expression that is quick to search.
+_HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+
 #: Shapes of identifiers that a trusted context may introduce beyond the base patterns.
 _CANDIDATES = {
     "email": r"[A-Za-z0-9._%+-]{2,64}(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{2,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]{2,63}){1,4}",
@@ -50,12 +55,24 @@ _CANDIDATES = {
     "card": r"[0-9]{4}(?:[._/][0-9]{4}){3}",
     "phone": r"\(?[0-9]{2,4}\)?[ ./-]?[0-9]{3,4}[ ./-]?[0-9]{3,4}",
 }
+#: A part of each shape that is rare and quick to search.
+_TRACES = {
+    "email": r"[ \])]at[ \[(]?[ \])]?[A-Za-z0-9-]{2,63}(?: ?[\[(] ?dot| dot |\.[A-Za-z0-9-])|[\[(] ?at ?[\])]",
+    "ip": r":[0-9A-Fa-f]{0,4}:",
+    "card": r"[0-9][._/][0-9]{4}[._/]",
+    "phone": r"[0-9]{3}[ ./-]?[0-9]{3}",
+}
 #: The lexical pattern of a span: one or two words before it, the last ending in a letter or a colon.
 _CONTEXT_WORDS = r"(?:(?<![^\s])[\p{L}]{1,30}\s)?[\p{L}]{2,30}:?\s"
+#: Characters before a span that its pattern is taken from.
+_WINDOW = 64
 
-ROUNDS = 4
-#: A believed pattern's least score, least number of different seeds, and least share of its kind's seeds.
-MIN_SCORE, MIN_SEEDS, MIN_SHARE = 0.6, 20, 0.005
+#: Rounds of belief at most; the loop ends before when no pattern is added.
+ROUNDS = 10
+#: A believed pattern's least score, and the least share of its kind's seeds, or of all its instances, that it introduces.
+MIN_SCORE, MIN_SHARE = 0.6, 0.005
+#: Square of the normal quantile of the confidence bound (95 %, two-sided).
+_Z2 = 1.96**2
 
 
 def _digits(text: Column) -> Column:
@@ -104,12 +121,11 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, value) of the base matches, by kind as listed, then start."""
-    own = []
-    for kind in KINDS:
-        # A cheap test first: most texts hold no match at all.
-        spans = _kept(matches(text, _PATTERNS[kind], kind), kind)
-        own.append(F.when(text.rlike(_PATTERNS[kind].replace(r"\G|", "")), spans).otherwise(_no_spans()))
-    return F.concat(*own)
+    own = {kind: _kept(matches(text, _PATTERNS[kind], kind), kind) for kind in KINDS}
+    # Cheap tests first: most texts hold no match at all, and most hold no digit.
+    hint = {kind: text.contains(_HINTS[kind]) & text.rlike(_PATTERNS[kind].replace(r"\G|", "")) for kind in KINDS}
+    numbers = F.concat(*(F.when(hint[kind], own[kind]).otherwise(_no_spans()) for kind in KINDS[1:]))
+    return F.concat(F.when(hint["email"], own["email"]).otherwise(_no_spans()), F.when(text.rlike("[0-9]"), numbers).otherwise(_no_spans()))
 
 
 def _kept(spans: Column, kind: str) -> Column:
@@ -130,22 +146,29 @@ def _context(before: Column) -> Column:
     return F.lower(F.trim(F.regexp_extract(before, f"({_CONTEXT_WORDS})$", 1)))
 
 
+_EDGE = "array<struct<kind:string,pattern:string,instance:bigint,seed:boolean>>"
+
+
+def _edge(text: Column, s: Column, seed: bool) -> Column:
+    """One edge of the graph: a span and the words before it."""
+    before = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - _WINDOW), F.least(F.lit(_WINDOW), s["start"]))
+    return F.struct(s["kind"].alias("kind"), _context(before).alias("pattern"), F.xxhash64(s["value"]).alias("instance"), F.lit(seed).alias("seed"))
+
+
+def _look_alikes(text: Column, kind: str) -> Column:
+    """Array of edges: the look-alikes of a kind that follow a word, and the words before each."""
+    spans = matches(text, rf"(?<=[\p{{L}}:]\s){_CANDIDATES[kind]}(?![\p{{L}}0-9@])", kind)
+    return F.when(text.rlike(_TRACES[kind]), F.transform(spans, lambda s: _edge(text, s, False))).otherwise(F.array()).cast(_EDGE)
+
+
 def _edges(texts: DataFrame) -> DataFrame:
-    """Distinct (kind, pattern, instance, seed): what base matches and look-alikes stand behind which words."""
-    window = 64
-    seeds = texts.select("text", F.explode("base").alias("s")).select(
-        F.col("s.kind").alias("kind"),
-        _context(F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - window), F.least(F.lit(window), F.col("s.start")))).alias("pattern"),
-        F.xxhash64("s.value").alias("instance"),
-        F.lit(True).alias("seed"),
-    )
-    out = seeds
-    for kind in KINDS:
-        shape = f"{_CONTEXT_WORDS}(?:{_CANDIDATES[kind]})(?![\\p{{L}}0-9@])"
-        hits = texts.filter(F.col("text").rlike(shape)).select(F.explode(F.regexp_extract_all("text", F.lit(f"({_CONTEXT_WORDS})({_CANDIDATES[kind]})(?![\\p{{L}}0-9@])"), F.lit(0))).alias("hit"))
-        split = f"^({_CONTEXT_WORDS})(.*)$"
-        out = out.unionByName(hits.select(F.lit(kind).alias("kind"), F.lower(F.trim(F.regexp_extract("hit", split, 1))).alias("pattern"), F.xxhash64(F.regexp_extract("hit", split, 2)).alias("instance"), F.lit(False).alias("seed")))
-    return out.filter(F.col("pattern") != "").groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
+    """Distinct (kind, pattern, instance, seed): what base matches and look-alikes stand behind which words; one pass over (text, base)."""
+    text = F.col("text")
+    numbers = F.when(text.rlike("[0-9]"), F.concat(*(_look_alikes(text, kind) for kind in KINDS[1:]))).otherwise(F.array().cast(_EDGE))
+    found = F.concat(F.transform("base", lambda s: _edge(text, s, True)).cast(_EDGE), _look_alikes(text, "email"), numbers)
+    # An outer explode: before a plain one Spark would filter by the array's size and so search the texts again.
+    rows = texts.select(F.explode_outer(found).alias("e")).select("e.*")
+    return rows.filter(F.col("pattern") != "").groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
 def _spoken(patterns: list[str]) -> str:
@@ -153,38 +176,66 @@ def _spoken(patterns: list[str]) -> str:
     return "|".join(re.escape(w).replace(r"\ ", r"\s") for w in sorted(patterns, key=lambda w: (-len(w), w)))
 
 
-def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE) -> dict[str, list[str]]:
-    """Believed lexical patterns by kind; at most ``1 / min_share`` of each."""
+def _introduced(hits: Column, kind: str, spoken: str) -> Column:
+    return F.transform(hits, lambda hit: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(F.regexp_extract(hit, rf"^({spoken})\s", 1), r"\s", " ").alias("pattern"), F.xxhash64(hit).alias("word")))
+
+
+def _everyday(texts: DataFrame, listed: dict[str, list[str]]) -> DataFrame:
+    """(kind, pattern, others): how many different words a pattern introduces that have no identifier's shape."""
+    found = []
+    for kind, words in listed.items():
+        spoken = _spoken(words)
+        shape = f"(?:{_CANDIDATES[kind]})(?![\\p{{L}}0-9@])|{_PATTERNS[kind]}"
+        hits = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}])(?:{spoken})\s(?!{shape})\S+"), F.lit(0))
+        found.append(_introduced(hits, kind, spoken))
+    rows = texts.select(F.explode_outer(F.concat(*found)).alias("e")).select("e.*").filter("kind is not null").distinct()
+    return rows.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("others"))
+
+
+def _bound(good: Column, bad: Column) -> Column:
+    """Lower end of Wilson's confidence interval of the share of the good."""
+    n = good + bad
+    p = good / n
+    return (p + _Z2 / (2 * n) - F.sqrt(_Z2 * (p * (1 - p) + _Z2 / (4 * n)) / n)) / (1 + _Z2 / n)
+
+
+def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_share: float = MIN_SHARE) -> dict[str, list[str]]:
+    """Believed lexical patterns by kind; at most ``2 / min_share`` of each."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    edges = stored(_edges(texts), "pii-edges")
+    texts = docs.select(text.alias("text"))
+    edges = stored(_edges(texts.withColumn("base", base_spans(F.col("text")))), "pii-edges")
     # Patterns that could ever be believed: their number is bounded, and so is every join below.
-    totals = edges.groupBy("kind").agg(F.count_if("seed").alias("kind_seeds"))
+    totals = edges.groupBy("kind").agg(F.count_if("seed").alias("kind_seeds"), F.count(F.lit(1)).alias("kind_instances"))
     support = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("instances"))
-    able = support.join(F.broadcast(totals), "kind").filter((F.col("seeds") >= min_seeds) & (F.col("seeds") >= F.col("kind_seeds") * min_share)).select("kind", "pattern", "seeds", "instances")
-    able = stored(able, "pii-patterns")
-    if able.isEmpty():
+    large = ((F.col("seeds") > 0) & (F.col("seeds") >= F.col("kind_seeds") * min_share)) | (F.col("instances") >= F.col("kind_instances") * min_share)
+    hopeful = _bound(F.col("instances").cast("double"), F.lit(0.0)) >= min_score  # if all that it introduces were believed
+    able = stored(support.join(F.broadcast(totals), "kind").filter(large & hopeful).select("kind", "pattern"), "pii-patterns")
+    listed: dict[str, list[str]] = {}
+    for row in able.collect():  # as many as are believed at most
+        listed.setdefault(row["kind"], []).append(row["pattern"])
+    if not listed:
         return {}
-    listed = [r["pattern"] for r in able.select("pattern").distinct().collect()]  # as many as are believed at most
-    following = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}])(?:{_spoken(listed)})\s\S+"), F.lit(0))).alias("hit"))
-    introduced = following.select(F.regexp_extract("hit", rf"^({_spoken(listed)})\s", 1).alias("words"), F.xxhash64("hit").alias("h"))
-    introduced = introduced.groupBy(F.regexp_replace("words", "\\s", " ").alias("pattern")).agg(F.countDistinct("h").alias("words"))
-    able = stored(able.join(introduced, "pattern", "left").select("kind", "pattern", "seeds", F.greatest("instances", F.coalesce("words", F.lit(0))).alias("introduced")), "pii-able")
-    able = F.broadcast(able)  # at most 1 / min_share patterns of each of four kinds
-    graph = stored(edges.join(able.select("kind", "pattern", "introduced"), ["kind", "pattern"]), "pii-graph")
-    score = able.select("kind", "pattern", (F.col("seeds") / F.col("introduced")).alias("score"))
+    able = stored(able.join(_everyday(texts, listed), ["kind", "pattern"], "left").fillna(0, ["others"]), "pii-able")
+    graph = stored(edges.join(F.broadcast(able), ["kind", "pattern"]), "pii-graph")
+    believed: dict[str, list[str]] = {}
+    trusted = able.limit(0).select("kind", "pattern", F.lit(0.0).alias("score"))
     for _ in range(rounds):
+        doubt = F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999))))
         belief = (
-            graph.join(F.broadcast(score), ["kind", "pattern"])
+            graph.join(F.broadcast(trusted), ["kind", "pattern"], "left")
             .groupBy("kind", "instance")
-            .agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))).alias("doubt"))
+            .agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
             .select("kind", "instance", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(1.0) - F.exp("doubt")).alias("belief"))
         )
-        score = stored(graph.join(belief, ["kind", "instance"]).groupBy("kind", "pattern", "introduced").agg((F.sum("belief") / F.first("introduced")).alias("score")).drop("introduced"), "pii-round")
-    out: dict[str, list[str]] = {}
-    for row in score.filter(F.col("score") >= min_score).orderBy("kind", "pattern").collect():
-        out.setdefault(row["kind"], []).append(row["pattern"])
-    return out
+        good = F.sum("belief")
+        scored = graph.join(belief, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.when(good > 0, _bound(good, F.first("others").cast("double"))).otherwise(0.0).alias("score"))
+        trusted = stored(scored.filter(F.col("score") >= min_score), "pii-round")
+        before, believed = believed, {}
+        for row in trusted.orderBy("kind", "pattern").collect():
+            believed.setdefault(row["kind"], []).append(row["pattern"])
+        if believed == before:
+            break
+    return believed
 
 
 def _without_lead(spans: Column, lead: str) -> Column:
