@@ -5,11 +5,12 @@ for all other words make up the model's vocabulary, dealt to classes by frequenc
 a class, then a word of the class. A rare word's probability is that of the symbol times the word's
 own share among rare words (add one), so the model is a distribution over all words.
 
-Training is truncated backpropagation through time in numpy. In each round every partition trains a
-copy of the model on its part of a fresh slice of the training texts, a fixed share of them, so the
-work grows with the corpus; Spark averages the copies, block by block, weighted by their tokens.
-Scoring carries the recurrent state through a whole text, whatever its length; texts run side by
-side in lanes.
+Training is truncated backpropagation through time in numpy, one pass over all training texts: each
+belongs to one round by its id. In each round every partition trains a copy of the model on its texts
+of that round; Spark averages the copies and their Adagrad sums, block by block, weighted by their
+tokens, in a tree of groups of bounded size. Texts run side by side in lanes; in training those of more
+than ``LONGEST`` tokens are cut into parts, and no token is left out. Scoring carries the recurrent
+state through a whole text, whatever its length.
 
 Counts of words that make up more than ``FREQUENT_SHARE`` of all tokens (at most its inverse of them)
 are broadcast; those of all others meet the documents that hold them in buckets of words.
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from storyweft.llm.storage import stored
 from storyweft.llm.words import split_by_bytes, string_buffers, word_hashes, word_spans
 
-VOCABULARY, CLASSES, HIDDEN = 4096, 64, 32
-ROUNDS, SLICES = 3, 50
-LANES, WINDOW, RATE = 32, 16, 0.08
+VOCABULARY, CLASSES, HIDDEN = 4096, 32, 32
+#: Averages over all partitions; copies averaged at a time.
+ROUNDS, FAN = 4, 64
+#: Most lanes in training, tokens that a lane is to have, steps of a window, Adagrad's rate, longest part of a text.
+LANES, LANE_TOKENS, WINDOW, RATE, LONGEST = 256, 512, 24, 0.05, 2048
 SCORING_LANES = 512
 FREQUENT_SHARE = 1e-6
 #: Tokens between flushes of counts; rare words that a bucket is to hold.
@@ -104,177 +107,275 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * 0.5) * 0.5 + 0.5
 
 
+@dataclass
+class Lanes:
+    """Texts run side by side: a grid of steps and lanes in step-major order, lanes by falling length."""
+
+    at: np.ndarray  # place of each token in the grid
+    base: np.ndarray  # where each step starts
+    before: np.ndarray  # symbol before each place
+    fresh: np.ndarray  # whether a text starts there
+
+    @staticmethod
+    def of(symbols: np.ndarray, offsets: np.ndarray, end: int, lanes: int) -> Lanes:
+        length = np.diff(offsets)
+        loads = np.zeros(min(lanes, max(1, len(length))), np.int64)
+        place = np.empty(len(length), np.int64)  # where a text starts in its lane
+        lane = np.empty(len(length), np.int64)
+        order = np.argsort(-length, kind="stable")
+        # Rounds of one text for each lane, emptiest lanes first, keep the lanes about level.
+        for first in range(0, len(order), len(loads)):
+            some = order[first : first + len(loads)]
+            free = np.argsort(loads, kind="stable")[: len(some)]
+            place[some], lane[some] = loads[free], free
+            loads[free] += length[some]
+        rank = np.argsort(np.argsort(-loads, kind="stable"))
+        lane, loads = rank[lane], -np.sort(-loads)
+        owner = np.repeat(np.arange(len(length)), length)
+        step = np.arange(symbols.size) - np.repeat(offsets[:-1], length) + place[owner]
+        active = np.searchsorted(-loads, -np.arange(loads.max(initial=0)), side="left") if loads.size else np.zeros(0, int)
+        base = np.concatenate(([0], np.cumsum(active)))
+        at = base[step] + lane[owner]
+        own = np.concatenate(([end], symbols[:-1]))
+        starts = np.zeros(symbols.size, bool)
+        starts[offsets[:-1]] = True
+        own[starts] = end
+        before, fresh = np.empty_like(own), np.empty(symbols.size, bool)
+        before[at], fresh[at] = own, starts
+        return Lanes(at, base, before, fresh)
+
+    @property
+    def steps(self) -> int:
+        return len(self.base) - 1
+
+
+def class_borders(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Where each class of the symbols (by falling count) starts: classes of about equal sums of the counts' roots, so frequent words stand in small ones."""
+    mass = np.cumsum(np.sqrt(counts + 1))
+    borders = np.searchsorted(mass, mass[-1] * np.arange(1, classes) / classes) + 1
+    return np.unique(np.concatenate(([0], np.minimum(borders, len(counts)), [len(counts)])))
+
+
 class Gru:
-    """Parameters: input table by symbol (three gates), recurrent matrix, class and word outputs."""
+    """Parameters: input table by symbol (candidate, reset, update), recurrent matrix (reset, update, candidate), class and word outputs as rows, the bias last."""
 
     def __init__(self, counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.hidden, size = hidden, len(counts)
-        self.classes = min(classes, size)
-        self.width = -(-size // self.classes)
-        self.classes = -(-size // self.width)
-        smooth = np.concatenate((np.log(counts + 1), np.full(self.classes * self.width - size, -1e9))).reshape(self.classes, self.width)
+        self.borders = class_borders(counts, min(classes, size))
+        self.classes = len(self.borders) - 1
+        self.own = np.repeat(np.arange(self.classes, dtype=np.int16), np.diff(self.borders))  # class of each symbol
+        smooth = np.log(counts + 1)
+        mass = np.logaddexp.reduceat(smooth, self.borders[:-1])
         f = np.float32
         self.p = {
             "input": rng.normal(0, 0.3, (size, 3 * hidden)).astype(f),
             "recurrent": rng.normal(0, 1 / math.sqrt(hidden), (hidden, 3 * hidden)).astype(f),
-            "class_w": np.zeros((hidden, self.classes), f),
-            "class_b": np.logaddexp.reduce(smooth, axis=1).astype(f),
-            "word_w": np.zeros((self.classes, hidden, self.width), f),
-            "word_b": smooth.astype(f),
+            "class": np.column_stack((np.zeros((self.classes, hidden)), mass - np.logaddexp.reduce(mass))).astype(f),
+            "word": np.column_stack((np.zeros((size, hidden)), smooth - mass[self.own])).astype(f),
         }
+        #: Sums of squared gradients; one for each row of the input and the word table.
+        self.sums = {name: np.zeros_like(x) for name, x in self.p.items()} | {name: np.zeros((size, 1), f) for name in ("input", "word")}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.p.values()])
+        return np.concatenate([x.ravel() for part in (self.p, self.sums) for x in part.values()])
 
     def load(self, flat: np.ndarray) -> Gru:
         at = 0
-        for name, x in self.p.items():
-            self.p[name] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
-            at += x.size
+        for part in (self.p, self.sums):
+            for name, x in part.items():
+                part[name] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
         return self
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(r, z, n, recurrent part of n, new state)."""
+        """(reset and update gates, candidate, its recurrent part, new state)."""
         k = self.hidden
         g = h @ self.p["recurrent"]
-        rz = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-        r, z = rz[:, :k], rz[:, k:]
-        gn = g[:, 2 * k :]
-        n = np.tanh(x[:, 2 * k :] + r * gn)
-        return r, z, n, gn, n + z * (h - n)
+        rz, gn = g[:, : 2 * k], g[:, 2 * k :]
+        rz += x[:, k:]
+        rz *= 0.5
+        np.tanh(rz, out=rz)
+        rz *= 0.5
+        rz += 0.5
+        n = rz[:, :k] * gn
+        n += x[:, :k]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= rz[:, k:]
+        new += n
+        return rz, n, gn, new
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after its state."""
-        own, word = targets // self.width, targets % self.width
-        out = np.empty(len(targets))
-
-        def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[np.arange(len(at)), at]
-            return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
-
-        block = 8192  # as much as stays in a core's cache
+        own, out = self.own[targets], np.empty(len(targets))
+        states = np.column_stack((states, np.ones(len(states), np.float32)))
+        block = 4096  # as much as stays in a core's cache
         for a in range(0, len(targets), block):
-            out[a : a + block] = log_softmax_at(states[a : a + block] @ self.p["class_w"] + self.p["class_b"], own[a : a + block])
+            out[a : a + block] = _chosen(self.p["class"], states[a : a + block], own[a : a + block])
         order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(self.classes + 1))
         for c in range(self.classes):
+            s, e = self.borders[c], self.borders[c + 1]
+            if e - s == 1:
+                continue  # a class of one word
             for a in range(cuts[c], cuts[c + 1], block):
                 rows = order[a : min(a + block, cuts[c + 1])]
-                out[rows] += log_softmax_at(states[rows] @ self.p["word_w"][c] + self.p["word_b"][c], word[rows])
+                out[rows] += _chosen(self.p["word"][s:e], states[rows], targets[rows] - s)
         return out
 
     def score(self, symbols: np.ndarray, offsets: np.ndarray, end: int, lanes: int = SCORING_LANES) -> np.ndarray:
         """Natural log-likelihood of each text; a lane runs its texts one after another, the longest first."""
-        length = np.diff(offsets)
-        loads = np.zeros(min(lanes, max(1, len(length))), np.int64)
-        place = np.empty(len(length), np.int64)  # where a text starts in its lane
-        lane = np.empty(len(length), np.int64)
-        order = np.argsort(-length, kind="stable")
-        # Rounds of one text for each lane, emptiest lanes first, keep the lanes about level.
-        for first in range(0, len(order), len(loads)):
-            some = order[first : first + len(loads)]
-            free = np.argsort(loads, kind="stable")[: len(some)]
-            place[some], lane[some] = loads[free], free
-            loads[free] += length[some]
-        rank = np.argsort(np.argsort(-loads, kind="stable"))
-        lane, loads = rank[lane], -np.sort(-loads)
-        # Position of each token in a grid of steps and lanes, kept as step-major order.
-        owner = np.repeat(np.arange(len(length)), length)
-        step = np.arange(symbols.size) - np.repeat(offsets[:-1], length) + place[owner]
-        active = np.searchsorted(-loads, -np.arange(loads.max(initial=0)), side="left") if loads.size else np.zeros(0, int)
-        base = np.concatenate(([0], np.cumsum(active)))
-        at = base[step] + lane[owner]
-        before = np.concatenate(([end], symbols[:-1]))
-        starts = np.zeros(symbols.size, bool)
-        starts[offsets[:-1]] = True
-        before[starts] = end
-        grid_in, fresh = np.empty_like(before), np.empty(symbols.size, bool)
-        grid_in[at], fresh[at] = before, starts
+        if len(offsets) < 2:
+            return np.zeros(0)
+        grid = Lanes.of(symbols, offsets, end, lanes)
         states = np.empty((symbols.size, self.hidden), np.float32)
-        h = np.zeros((len(loads), self.hidden), np.float32)
-        for t, n in enumerate(active):
-            a, b = base[t], base[t + 1]
-            now = h[:n]
-            new = fresh[a:b]
+        h = np.zeros((grid.base[1], self.hidden), np.float32)
+        for t in range(grid.steps):
+            a, b = grid.base[t], grid.base[t + 1]
+            now, new = h[: b - a], grid.fresh[a:b]
             if new.any():
                 now = np.where(new[:, None], np.float32(0), now)
-            h = self.step(self.p["input"][grid_in[a:b]], now)[4]
+            h = self.step(self.p["input"][grid.before[a:b]], now)[3]
             states[a:b] = h
-        logp = self.log_probabilities(states[at], symbols)
-        return np.add.reduceat(logp, offsets[:-1]) if len(length) else np.zeros(0)
+        return np.add.reduceat(self.log_probabilities(states[grid.at], symbols), offsets[:-1])
 
-    def train(self, symbols: np.ndarray, starts: np.ndarray, end: int, sums: dict[str, np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> None:
-        """One pass of truncated backpropagation over a run of texts, cut into lanes; Adagrad steps."""
-        steps = symbols.size // lanes
-        if steps < 2:
+    def train(self, symbols: np.ndarray, offsets: np.ndarray, end: int, lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> None:
+        """One pass of truncated backpropagation over texts, whole or in parts, every token once; Adagrad steps."""
+        if len(offsets) < 2:
             return
-        grid = symbols[: steps * lanes].reshape(lanes, steps).T
-        fresh = starts[: steps * lanes].reshape(lanes, steps).T
-        before = np.vstack((np.full((1, lanes), end), grid[:-1]))
-        before = np.where(fresh, end, before)
-        h, k = np.zeros((lanes, self.hidden), np.float32), self.hidden
-        for a in range(0, steps, window):
-            b = min(a + window, steps)
-            trace = []
-            for t in range(a, b):
-                now = np.where(fresh[t][:, None], np.float32(0), h)
-                r, z, n, gn, h = self.step(self.p["input"][before[t]], now)
-                trace.append((now, r, z, n, gn, h))
-            states = np.concatenate([x[5] for x in trace])
-            d_states, gradients = self._output_gradients(states, grid[a:b].ravel())
-            d_states = d_states.reshape(b - a, lanes, k)
-            d_u = np.zeros_like(self.p["recurrent"])
-            d_x = np.empty((b - a, lanes, 3 * k), np.float32)
-            d_h = np.zeros((lanes, k), np.float32)
-            for t in range(b - a - 1, -1, -1):
-                now, r, z, n, gn, _ = trace[t]
-                d = d_h + d_states[t]
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (now - n) * z * (1 - z)
-                dr = dn * gn * r * (1 - r)
-                dg = np.concatenate((dr, dz, dn * r), axis=1)
-                d_x[t] = np.concatenate((dr, dz, dn), axis=1)
-                d_u += now.T @ dg
-                d_h = d * z + dg @ self.p["recurrent"].T
-                d_h[fresh[a + t]] = 0
-            gradients["recurrent"] = (slice(None), np.clip(d_u, -5, 5))
-            used, inverse = np.unique(before[a:b].ravel(), return_inverse=True)
-            d_in = np.zeros((used.size, 3 * k), np.float32)
-            np.add.at(d_in, inverse, d_x.reshape(-1, 3 * k))
-            gradients["input"] = (used, d_in)
-            for name, (where, g) in gradients.items():
-                sums[name][where] += g * g
-                self.p[name][where] -= rate * g / np.sqrt(sums[name][where] + 1e-6)
-
-    def _output_gradients(self, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Gradients of the mean loss by state and by output parameters."""
-        m = len(targets)
-        own, word = targets // self.width, targets % self.width
-        logits = h @ self.p["class_w"] + self.p["class_b"]
-        q = np.exp(logits - logits.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(m), own] -= 1
-        q /= LANES
-        d_h = q @ self.p["class_w"].T
-        used = np.unique(own)
-        d_w = np.zeros((used.size, self.hidden, self.width), np.float32)
-        d_b = np.zeros((used.size, self.width), np.float32)
-        for i, c in enumerate(used):
-            rows = np.flatnonzero(own == c)
-            logits = h[rows] @ self.p["word_w"][c] + self.p["word_b"][c]
-            s = np.exp(logits - logits.max(axis=1, keepdims=True))
-            s /= s.sum(axis=1, keepdims=True)
-            s[np.arange(rows.size), word[rows]] -= 1
-            s /= LANES
-            d_h[rows] += s @ self.p["word_w"][c].T
-            d_w[i], d_b[i] = h[rows].T @ s, s.sum(axis=0)
-        return d_h, {"class_w": (slice(None), h.T @ q), "class_b": (slice(None), q.sum(axis=0)), "word_w": (used, d_w), "word_b": (used, d_b)}
-
-
-def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, slices: int = SLICES) -> Gru:
-    """Train on a share of ``rounds / slices`` of the texts (columns ``id`` and ``text``), averaging in each round."""
+        grid, k = Lanes.of(symbols, offsets, end, lanes), self.hidden
+        targets = np.empty_like(symbols)
+        targets[grid.at] = symbols
+        h = np.zeros((grid.base[1], k), np.float32)
+        for first in range(0, grid.steps, window):
+            last = min(first + window, grid.steps)
+            low, high = grid.base[first], grid.base[last]
+            m = high - low
+            cuts = (grid.base[first : last + 1] - low).tolist()
+            before, fresh = grid.before[low:high], grid.fresh[low:high]
+            x = self.p["input"][before]
+            rz, n, gn = np.empty((m, 2 * k), np.float32), np.empty((m, k), np.float32), np.empty((m, k), np.float32)
+            held, states = np.empty((m, k), np.float32), np.empty((m, k), np.float32)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                now = held[a:b]
+                now[:] = h[: b - a]
+                new = fresh[a:b]
+                if new.any():
+                    now[new] = 0
+                rz[a:b], n[a:b], gn[a:b], h = self.step(x[a:b], now)
+                states[a:b] = h
+            d_states = self._learn_outputs(states, targets[low:high], rate)
+            # By the state: of the candidate, the gates, and the candidate's recurrent part.
+            r, z = rz[:, :k], rz[:, k:]
+            by = np.empty((m, 3 * k), np.float32)
+            np.multiply(1 - z, 1 - n * n, out=by[:, :k])
+            np.multiply(by[:, :k] * gn, r * (1 - r), out=by[:, k : 2 * k])
+            np.multiply(held - n, z * (1 - z), out=by[:, 2 * k :])
+            d = np.empty((m, 4 * k), np.float32)  # candidate, reset, update, candidate's recurrent part
+            back = np.ascontiguousarray(self.p["recurrent"].T)
+            d_h = np.zeros((cuts[-1] - cuts[-2], k), np.float32)
+            for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+                d_now = d_states[a:b]
+                d_now[: len(d_h)] += d_h
+                out = d[a:b]
+                np.multiply(by[a:b].reshape(b - a, 3, k), d_now[:, None, :], out=out[:, : 3 * k].reshape(b - a, 3, k))
+                np.multiply(out[:, :k], r[a:b], out=out[:, 3 * k :])
+                d_h = out[:, k:] @ back
+                d_h += d_now * z[a:b]
+                new = fresh[a:b]
+                if new.any():
+                    d_h[new] = 0
+            self._learn("recurrent", np.s_[:], np.clip(held.T @ d[:, k:], -5, 5), rate)
+            order = np.argsort(before.astype(np.int16) if len(self.own) < 2**15 else before, kind="stable")
+            used, starts = np.unique(before[order], return_index=True)
+            self._learn("input", used, np.add.reduceat(d[order, : 3 * k], starts, axis=0), rate)
+
+    def _learn(self, name: str, where: slice | np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        """One Adagrad step of a part of one parameter; the gradient is used up."""
+        total = self.sums[name][where]
+        total = total + ((gradient * gradient).mean(axis=1, keepdims=True) if self.sums[name].shape[1] < gradient.shape[1] else gradient * gradient)
+        self.sums[name][where] = total
+        gradient *= np.float32(rate) / np.sqrt(total + np.float32(1e-8))
+        self.p[name][where] -= gradient
+
+    def _learn_outputs(self, h: np.ndarray, targets: np.ndarray, rate: float) -> np.ndarray:
+        """Step the output parameters; the gradient of the mean loss by state, before that step."""
+        m, own = len(targets), self.own[targets]
+        share = np.float32(1 / m)
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        states = np.column_stack((h, np.ones(m, np.float32)))[order]
+        cuts, word = np.searchsorted(own, np.arange(self.classes + 1)), targets[order] - self.borders[own]
+        q = _errors(self.p["class"], states, own, share)
+        d_states = q.T @ self.p["class"]
+        self._learn("class", np.s_[:], q @ states, rate)
+        for c in np.flatnonzero(np.diff(cuts)):
+            s, e, a, b = self.borders[c], self.borders[c + 1], cuts[c], cuts[c + 1]
+            if e - s == 1:
+                continue
+            q = _errors(self.p["word"][s:e], states[a:b], word[a:b], share)
+            d_states[a:b] += q.T @ self.p["word"][s:e]
+            self._learn("word", np.s_[s:e], q @ states[a:b], rate)
+        d_h = np.empty_like(h)
+        d_h[order] = d_states[:, :-1]
+        return d_h
+
+
+def _odds(weights: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unnormalised probabilities, their sums): a row for each output, a column for each state."""
+    with np.errstate(over="ignore"):
+        out = weights @ states.T
+        np.exp(out, out=out)
+        total = out.sum(axis=0)
+    if not (np.isfinite(total).all() and total.min() > 0):  # beyond single precision
+        out = weights @ states.T
+        out -= out.max(axis=0)
+        np.exp(out, out=out)
+        total = out.sum(axis=0)
+    return out, total
+
+
+def _chosen(weights: np.ndarray, states: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of one output after each state."""
+    odds, total = _odds(weights, states)
+    return np.log(np.maximum(odds[at, np.arange(len(at))], np.float32(1e-37)) / total)
+
+
+def _errors(weights: np.ndarray, states: np.ndarray, at: np.ndarray, share: np.float32) -> np.ndarray:
+    """Gradient by each logit of ``share`` times the loss."""
+    odds, total = _odds(weights, states)
+    odds *= share / total
+    odds[at, np.arange(len(at))] -= share
+    return odds
+
+
+def _parts(tokens: np.ndarray, offsets: np.ndarray, longest: int) -> np.ndarray:
+    """Offsets that also cut texts of more than ``longest`` tokens into parts."""
+    length = np.diff(offsets)
+    n = -(-length // longest)
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    return np.append(np.repeat(offsets[:-1], n) + place * longest, offsets[-1])
+
+
+def averaged(copies: DataFrame, partitions: int) -> DataFrame:
+    """(block, values): means of all copies' blocks weighted by tokens, in groups of ``FAN`` copies at each level."""
+
+    def mean(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("weight").to_pylist(), table.column("values").to_pylist(), strict=True))
+        total = sum(w for _, w, _ in rows)
+        values = sum(np.frombuffer(v, np.float32) * (w / total) for _, w, v in rows)
+        return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([rows[0][0] // FAN], pa.int64()), "weight": pa.array([total], pa.int64()), "values": pa.array([values.astype(np.float32).tobytes()], pa.binary())})
+
+    while partitions > 1:
+        copies = copies.groupBy("block", F.floor(F.col("part") / FAN).alias("group")).applyInArrow(mean, copies.schema)
+        partitions = -(-partitions // FAN)
+    return copies
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Gru:
+    """Train on all texts (columns ``id`` and ``text``): one slice of them in each round, after which the partitions' copies are averaged."""
     context = texts.sparkSession.sparkContext
     model = Gru(vocabulary.counts)
     total = model.flat().size
@@ -282,30 +383,26 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, slices
         shared = context.broadcast((vocabulary, model))  # bounded by the vocabulary's size
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
             vocabulary, start = shared.value
             own = Gru(vocabulary.counts).load(start.flat())
-            sums = {name: np.zeros_like(x) for name, x in own.p.items()}
             seen = 0
             for whole in batches:
-                for batch in split_by_bytes(whole, 0, 1_000_000):
+                for batch in split_by_bytes(whole, 0, 4_000_000):
                     tokens, offsets = tokens_of(batch.column(0))
-                    starts = np.zeros(tokens.size, bool)
-                    starts[offsets[:-1]] = True
-                    own.train(vocabulary.encode(tokens), starts, vocabulary.end, sums)
+                    lanes = max(4, min(LANES, tokens.size // LANE_TOKENS))
+                    own.train(vocabulary.encode(tokens), _parts(tokens, offsets, LONGEST), vocabulary.end, lanes)
                     seen += tokens.size
             if seen:
                 flat = own.flat()
                 blocks = range(0, flat.size, _PARAMETER_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([seen] * len(blocks), pa.int64()), pa.array([flat[b : b + _PARAMETER_BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "weight", "values"])
-
-        def average(table: pa.Table) -> pa.Table:
-            rows = sorted(zip(table.column("weight").to_pylist(), table.column("values").to_pylist(), strict=True))
-            mean = sum(w * np.frombuffer(v, np.float32).astype(float) for w, v in rows) / sum(w for w, _ in rows)
-            return pa.table({"block": table.column("block").slice(0, 1), "values": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+                part = pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), part, pa.array([seen] * len(blocks), pa.int64()), pa.array([flat[b : b + _PARAMETER_BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "part", "weight", "values"])
 
-        part = texts.filter(F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(slices)) == k).select("text")
-        copies = part.mapInArrow(run, "block long, weight long, values binary")
-        rows = copies.groupBy("block").applyInArrow(average, "block long, values binary").collect()  # one model
+        part = texts.filter(F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(rounds)) == k).select("text")
+        copies = part.mapInArrow(run, "block long, part long, weight long, values binary")
+        rows = averaged(copies, part.rdd.getNumPartitions()).select("block", "values").collect()  # one model
         if rows:
             flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(rows, key=lambda r: r["block"])])
             assert flat.size == total

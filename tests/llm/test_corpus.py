@@ -102,14 +102,18 @@ def test_language_model(spark, docs, edge, empty):
             base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in own)
             assert r["n_tokens"] == len(own) and r["n_known"] == sum(w in counts for w in own) and r["train_tokens"] == total
             assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["held_out"] == held[r["doc_id"]] and r["score"] <= 0
+    got = gru_lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), learns).collect()
+    unseen = [r for r in got if r["held_out"]]
+    assert sum(r["score"] > r["base_score"] for r in unseen) >= 0.95 * len(unseen)
+    assert sum(r["score"] - r["base_score"] for r in unseen) >= 0.1 * sum(r["n_tokens"] for r in unseen)
     assert gru_lm.score_documents(empty, learns, rounds=1).count() == 0
 
 
 def test_gru_is_a_distribution_and_keeps_state():
     rng = np.random.default_rng(0)
     model = gru_lm.Gru(rng.integers(1, 50, 90).astype(float), hidden=8, classes=7)
-    model.p["word_w"] += rng.normal(0, 0.3, model.p["word_w"].shape).astype(np.float32)
-    model.p["class_w"] += rng.normal(0, 0.3, model.p["class_w"].shape).astype(np.float32)
+    model.p["word"] += rng.normal(0, 0.3, model.p["word"].shape).astype(np.float32)
+    model.p["class"] += rng.normal(0, 0.3, model.p["class"].shape).astype(np.float32)
     states = rng.normal(size=(1, 8)).astype(np.float32).repeat(90, axis=0)
     assert np.exp(model.log_probabilities(states, np.arange(90))).sum() == pytest.approx(1, abs=1e-4)
     texts = [rng.integers(0, 90, n) for n in (1, 50, 7, 300, 2)]
@@ -118,12 +122,42 @@ def test_gru_is_a_distribution_and_keeps_state():
     for t, got in zip(texts, together, strict=True):
         h, want, before = np.zeros((1, 8), np.float32), 0.0, 0
         for x in t:
-            h = model.step(model.p["input"][[before]], h)[4]
+            h = model.step(model.p["input"][[before]], h)[3]
             want += model.log_probabilities(h, np.array([x]))[0]
             before = x
         assert got == pytest.approx(want, rel=1e-4)
 
 
+def test_gru_gradients():
+    rng = np.random.default_rng(4)
+    model = gru_lm.Gru(rng.integers(1, 30, 40).astype(float), hidden=6, classes=5)
+    for name in ("word", "class"):
+        model.p[name] += rng.normal(0, 0.5, model.p[name].shape).astype(np.float32)
+    start = {name: x.astype(float) for name, x in model.p.items()}
+    texts = [rng.integers(0, 40, n) for n in (3, 9, 5)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    symbols = np.concatenate(texts)
+
+    def loss(p):
+        model.p = {name: x.copy() for name, x in p.items()}
+        return -model.score(symbols, offsets, 7, lanes=2).sum() / symbols.size
+
+    steps = {}
+    model.p = {name: x.astype(np.float32) for name, x in start.items()}
+    model._learn = lambda name, where, gradient, rate: steps.setdefault(name, []).append((where, gradient.copy()))
+    model.train(symbols, offsets, 7, lanes=2, window=100)
+    for name, x in start.items():
+        found = np.zeros_like(x)
+        for where, gradient in steps[name]:
+            found[where] += gradient
+        for at in rng.choice(x.size, 25):
+            moved = {n: y.copy() for n, y in start.items()}
+            moved[name].flat[at] += 1e-4
+            up = loss(moved)
+            moved[name].flat[at] -= 2e-4
+            assert found.flat[at] == pytest.approx((up - loss(moved)) / 2e-4, abs=2e-4)
+
+
 def test_language_id(docs, edge, empty):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     models = langid.train(docs.filter(fold != 2))
