@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder in ``spark.checkpoint.dir``; a temporary one is set only where that is unset (local runs)."""
+    """Checkpoint to the folder in ``spark.checkpoint.dir``; a temporary one is set only where a local session has none."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="storyweft-"))
     return df.checkpoint()

@@ -8,15 +8,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Common words that mark English (fixed values).
-ENGLISH_MARKERS = ("the", "and", "of", "to", "in", "is", "that", "for", "it", "with")
-#: Patterns of four classes of entities (fixed values).
+ENGLISH_MARKERS = ("the", "and", "is", "in", "it", "to", "that", "of", "for", "on")
+#: Four classes of entities: pattern, and the group that is the entity (fixed values).
 ENTITY_PATTERNS = {
-    "url": r"https?://[A-Za-z0-9./_-]+",
-    "mention": r"@[A-Za-z0-9_]+",
-    "hashtag": r"#[A-Za-z0-9_]+",
-    "name": r"[A-Z][a-z]+ [A-Z][a-z]+",
+    "persons": (r"(?:[A-Z][a-z]+ ){1,2}[A-Z][a-z]+", 0),
+    "organizations": (r"(?:[A-Z][a-z]+ ){2,}(?:Inc|LLC|Ltd|Corp|Corporation|Company|Group)", 0),
+    "locations": (r"(?:in|at|from|to) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1),
+    "dates": (r"\b(?:\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{2,4}|\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2})\b", 0),
 }
-_DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "yyyyMMdd")
+#: Date formats in the order in which they are tried (fixed values); one digit is enough for a day or month.
+DATE_FORMATS = (
+    "yyyy-M-d",
+    "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d'T'H:m:s'Z'",
+    "yyyy-M-d H:m:s",
+    "d-M-yyyy",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "MMMM d, yyyy",
+    "d MMMM yyyy",
+    "yyyy/M/d",
+)
+#: Hosts that are known to be credible (fixed values).
+CREDIBLE_HOSTS = (
+    "reuters.com",
+    "apnews.com",
+    "bbc.co.uk",
+    "bbc.com",
+    "nytimes.com",
+    "wsj.com",
+    "washingtonpost.com",
+    "economist.com",
+    "nature.com",
+    "science.org",
+    "nasa.gov",
+    "nih.gov",
+    "cdc.gov",
+    "who.int",
+)
 
 
 def clean_text(text: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -62,13 +91,14 @@ def detect_language(text: Column, least: int = 3) -> Column:
 
 def entities(text: Column, kind: str) -> Column:
     """Array of distinct entities of a class, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), F.lit(0))))
+    pattern, group = ENTITY_PATTERNS[kind]
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
 
 
 def normalize_date(text: Column) -> Column:
-    """ISO form of a date in one of ten formats; any other text as it is."""
-    parsed = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in _DATE_FORMATS))
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss"), text)
+    """ISO form of a date in one of ten formats; null for an empty one, any other text as it is."""
+    parsed = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
+    return F.when(text != "", F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss"), text))
 
 
 def truncated(text: Column, length: int) -> Column:
@@ -127,29 +157,35 @@ def page_links(html: Column, base: Column) -> Column:
 
 
 def credibility_score(url: Column, text: Column, links: Column) -> Column:
-    """Weights .4 domain tier, .3 length, .15 lexical diversity, .15 links, rounded to two places."""
+    """Weights .4 domain tier, .3 length, .15 lexical diversity, .15 number of links, rounded to two places."""
     host = F.coalesce(domain(url), F.lit(""))
-    tier = F.when(host.rlike(r"\.(gov|edu)$"), 0.85).when(host.rlike(r"\.(org|int)$"), 0.7).when(host.rlike(r"(blogspot|wordpress|medium)\."), 0.4).otherwise(0.5)
-    n = F.length(text)
-    size = F.when(n >= 5000, 0.9).when(n >= 1000, 0.7).when(n >= 300, 0.5).otherwise(0.3)
-    own = words(text)
-    diversity = F.when(F.size(own) > 0, F.size(F.array_distinct(own)) / F.size(own)).otherwise(F.lit(0.0))
-    linked = F.when(links >= 10, 0.8).when(links >= 3, 0.6).otherwise(0.4)
-    return F.round(0.4 * tier + 0.3 * size + 0.15 * diversity + 0.15 * linked, 2)
-
-
-def relevance(text: Column, keywords: Sequence[str], threshold: float) -> Column:
-    """Keyword occurrences over words times ten, at most 1; 0 below the threshold."""
-    own = words(text)
-    hits = sum((F.size(F.filter(own, _equals(k))) for k in keywords), F.lit(0))
-    score = F.when(F.size(own) > 0, F.least(F.lit(1.0), hits / F.size(own) * 10)).otherwise(F.lit(0.0))
+    known = F.lit(False)
+    for name in CREDIBLE_HOSTS:
+        known = known | host.contains(name)
+    tier = F.when(known, 0.9).when(host.contains(".gov"), 0.85).when(host.contains(".edu"), 0.8).when(host.contains(".org"), 0.7).otherwise(0.5)
+    size = F.when(F.length(text) > 1000, 0.7).otherwise(0.5)
+    own = split_words(text)
+    diversity = F.when(F.size(own) > 0, F.least(F.lit(1.0), 2 * F.size(F.array_distinct(own)) / F.size(own))).otherwise(F.lit(0.0))
+    cited = F.when(links > 5, 0.8).when(links > 0, 0.6).otherwise(0.4)
+    return F.round(0.4 * tier + 0.3 * size + 0.15 * diversity + 0.15 * cited, 2)
+
+
+def split_words(text: Column) -> Column:
+    """Array of lower-cased words between white space, with their punctuation."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def relevance(text: Column, keywords: Sequence[str], threshold: float = 0.01) -> Column:
+    """Occurrences of keywords, within words too, over words times ten, at most 1; 0 below the threshold."""
+    low = F.lower(text)
+    hits = F.lit(0.0)
+    for word in (k.lower() for k in keywords):
+        hits = hits + (F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / len(word)
+    n = F.size(split_words(text))
+    score = F.when(n > 0, F.least(F.lit(1.0), hits / n * 10)).otherwise(F.lit(0.0))
     return F.when(score >= threshold, score).otherwise(F.lit(0.0))
 
 
-def _equals(word: str):
-    return lambda w: w == word
-
-
 def evidence_hash(*columns: Column) -> Column:
     """SHA-256 of the canonical JSON of columns (in the order given: sort names first)."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)

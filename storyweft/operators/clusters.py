@@ -26,9 +26,9 @@ def evolved_flag(members: DataFrame, since: str, least: int = 10, share: float =
 
 
 def cluster_listing(assigned: DataFrame) -> DataFrame:
-    """Size and members of each cluster; noise is the row of -1. Members are listed for reports, where clusters are small."""
-    ids = F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string"))
-    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.array_join(ids, ",").alias("members"))
+    """Each member with its cluster and that cluster's size, a row for each; noise is cluster -1."""
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return assigned.join(sizes, "cluster").select("cluster", "size", "id")
 
 
 def stage_deltas(rows: DataFrame) -> DataFrame:

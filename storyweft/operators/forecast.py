@@ -212,21 +212,33 @@ def series_correlation(pairs: DataFrame) -> DataFrame:
     return out.withColumn("band", band)
 
 
-def ramp(value: Column, low: float, high: float, least: float, most: float) -> Column:
-    """Value scaled linearly from [low, high] to [least, most], clamped."""
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
-    return F.lit(least) + share * (most - least)
+def ramp(value: Column, low: float, high: float) -> Column:
+    """0 up to ``low``, 1 from ``high``, linear between."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
+
+
+#: Factors by their usual order: name, column, and the ramp from no to full impact (fixed values).
+FACTORS = (
+    ("Network Centrality", "centrality", 0.3, 0.8),
+    ("Connection Strength", "connection_strength", 0.4, 0.9),
+    ("Consistency", "consistency", 0.5, 0.7),
+    ("Growth Rate", "growth", 0.1, 0.5),
+    ("Source Diversity", "source_diversity", 0.2, 0.6),
+)
 
 
 def key_factors(facts: DataFrame) -> DataFrame:
-    """Five factors of each narrative by size: facts has instances, sources, growth, consistency and threat."""
-    scaled = facts.select(
-        KEY, ramp(F.col("instances"), 0, 100, 0.0, 0.8).alias("v1"), ramp(F.col("sources"), 0, 20, 0.0, 0.7).alias("v2"),
-        ramp(F.col("growth"), -1, 1, -0.9, 0.9).alias("v3"), ramp(F.col("consistency"), 0, 1, -0.5, 0.5).alias("v4"), ramp(F.col("threat"), 0, 5, 0.0, 1.0).alias("v5"),
-    )
-    long = scaled.selectExpr(KEY, "stack(5, 'volume', v1, 'source diversity', v2, 'growth', v3, 'consistency', v4, 'threat', v5) AS (factor, impact)")
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(F.abs("impact")), "factor"))
-    return long.withColumn("place", place)
+    """Five factors of each narrative with value and impact, by size of the impact, then in the usual order; growth keeps its sign.
+
+    ``facts`` has centrality, connection_strength, consistency, growth and source_diversity; a missing value is 0.
+    """
+    rows = []
+    for order, (name, column, low, high) in enumerate(FACTORS):
+        value = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+        impact = ramp(F.abs(value), low, high) * F.when(value > 0, 1.0).otherwise(-1.0) if column == "growth" else ramp(value, low, high)
+        rows.append(F.struct((-F.abs(impact)).alias("by"), F.lit(order).alias("order"), F.lit(name).alias("factor"), value.alias("value"), (impact + 0.0).alias("impact")))
+    listed = F.array_sort(F.array(*rows))
+    return facts.select(KEY, F.posexplode(listed).alias("at", "f")).select(KEY, (F.col("at") + 1).alias("place"), "f.factor", "f.value", "f.impact")
 
 
 def seasonality(acf: DataFrame, least: float = 0.3, common: tuple[int, ...] = (1, 7, 14, 30)) -> DataFrame:

@@ -70,21 +70,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def reach(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(a, b): all pairs where b is reachable from a, each node from itself; path lengths double each round."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    pairs = cut(edges.select("a", "b").unionByName(nodes.select("a", F.col("a").alias("b"))).distinct())
-    n = pairs.count()
-    for _ in range(max_rounds):
-        longer = pairs.select("a", F.col("b").alias("m")).join(pairs.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        pairs = cut(longer.distinct())
-        m = pairs.count()
-        if m == n:
-            return pairs
-        n = m
-    raise RuntimeError("reachability did not settle")
-
-
 def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) of a directed graph: labels spread forwards and backwards; nodes where both agree are done."""
     left = cut(edges.select("a", "b").distinct().filter("a <> b"))
@@ -137,12 +122,15 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFra
     return back.select("a", "b", F.coalesce("forth", "back").alias("path"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 32) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 32, max_sources: int = 10_000) -> DataFrame:
     """Brandes' betweenness of an undirected graph from the given sources (column node): exact when they are all nodes.
 
-    Breadth-first levels forward count shortest paths from every source at once; dependencies are
+    The state has a row for each source and node, so the number of sources is checked; of a larger graph
+    take those of interest, or a sample. Breadth-first levels forward count shortest paths from every source at once; dependencies are
     then summed level by level backwards.
     """
+    if sources.limit(max_sources + 1).count() > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
     near = cut(both_ways(edges))
     level = cut(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "v")
@@ -187,9 +175,9 @@ def optimize_sources(edges: DataFrame, names: DataFrame, k: int) -> DataFrame:
 
 
 def communities_by_type(nodes: DataFrame) -> DataFrame:
-    """Nodes of each type: size and members."""
-    members = F.sort_array(F.collect_list("node"))
-    return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.transform(members, lambda x: x.cast("string")), ",").alias("members"))
+    """Each node with its type and that type's size: a row for each member, as a type can hold any number."""
+    sizes = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("size"))
+    return nodes.join(sizes, "type").select("type", "size", "node")
 
 
 def communities(edges: DataFrame, least: int) -> DataFrame:

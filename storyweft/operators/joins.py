@@ -36,20 +36,41 @@ def new_edges(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return ordered(candidates).join(ordered(known), ["a", "b"], "left_anti")
 
 
-def co_sharing(shares: DataFrame, least: int = 1, most_sources: int | None = None) -> DataFrame:
-    """Pairs of sources with the number of narratives that both shared.
+def pairs_within(rows: DataFrame, key: str, item: str, extra: list[str] | None = None, chunk: int = 512) -> DataFrame:
+    """All pairs (key, a < b) of distinct items with the same key, with further columns of a's row.
 
-    Pairs are made per narrative, so their number grows with the square of a narrative's sources;
-    ``most_sources`` leaves narratives that more sources share to :func:`storyweft.operators.graph.bipartite`.
+    The items of one key are dealt to chunks of about ``chunk``, and every two chunks meet under a key
+    of their own, so a key with very many items is many small tasks.
     """
-    own = shares.select("source_id", KEY).distinct()
-    if most_sources is not None:
-        common = own.groupBy(KEY).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most_sources)
-        own = own.join(common, KEY, "left_anti")
-    pairs = own.select(F.col("source_id").alias("a"), KEY).join(own.select(F.col("source_id").alias("b"), KEY), KEY).filter("a < b")
+    extra = extra or []
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
+    dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(item), F.col("chunks")))
+    facing = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    left = dealt.select(key, F.col(item).alias("a"), *extra, F.col("own").alias("i"), facing.alias("j"))
+    right = dealt.select(key, F.col(item).alias("b"), facing.alias("i"), F.col("own").alias("j"))
+    return left.join(right, [key, "i", "j"]).filter("a < b").select(key, "a", "b", *extra)
+
+
+def co_sharing(shares: DataFrame, least: int = 1) -> DataFrame:
+    """Pairs of sources with the number of narratives that both shared."""
+    pairs = pairs_within(shares.select("source_id", KEY).distinct(), KEY, "source_id")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least)
 
 
+def above_usual(edges: DataFrame, value: str, deviations: float = 1.5) -> DataFrame:
+    """Edges whose value lies more than so many standard deviations above the mean of all."""
+    usual = edges.agg(F.round(F.avg(value) + deviations * F.stddev_pop(value), 6).alias("usual"))  # one row
+    return edges.join(F.broadcast(usual)).filter(F.col(value) > F.col("usual")).drop("usual")
+
+
+def directed_shares(shares: DataFrame) -> DataFrame:
+    """(a, b, share): for both directions of each pair of sources, which share of a's narratives b shares, too."""
+    pairs = co_sharing(shares)
+    sizes = shares.groupBy(F.col("source_id").alias("a")).agg(F.count_distinct(KEY).alias("n"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    return both.join(sizes, "a").select("a", "b", (F.col("weight") / F.col("n")).alias("share"))
+
+
 def followed_within(rows: DataFrame, hours: float = 1.0) -> DataFrame:
     """Pairs of sources whose first posts on a narrative lie less than ``hours`` apart, as (narrative, earlier, later).
 
@@ -76,8 +97,7 @@ def shared_sources(shares: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def related_by_nodes(edges: DataFrame, default_type: str = "related", default_weight: float = 0.5) -> DataFrame:
     """Narrative pairs that share a belief node: the first shared node's relation and weight, and how many nodes."""
-    a = edges.select(F.col(KEY).alias("a"), "node", F.col("relation").alias("relation"), F.col("weight").alias("weight"))
-    pairs = a.join(edges.select(F.col(KEY).alias("b"), "node"), "node").filter("a < b")
+    pairs = pairs_within(edges, "node", KEY, ["relation", "weight"])
     out = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("nodes"), F.min_by("relation", "node").alias("relation"), F.min_by("weight", "node").alias("weight"))
     return out.select("a", "b", "nodes", F.coalesce("relation", F.lit(default_type)).alias("relation"), F.coalesce("weight", F.lit(default_weight)).alias("weight"))
 

@@ -4,58 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from storyweft.functions.lineage import cut
 from storyweft.functions.text import detect_language, sentences, words
+from storyweft.operators.joins import pairs_within
 
 KEY = "narrative_id"
 
 
-def word_counts(texts: DataFrame, stop_words: Sequence[str] = (), least: int = 1) -> DataFrame:
-    """(narrative_id, word, n) of words of at least ``least`` letters."""
-    own = texts.select(KEY, F.explode(words(F.col("text"))).alias("word")).filter(F.length("word") >= least)
-    if stop_words:
-        own = own.filter(~F.col("word").isin(*stop_words))
-    return own.groupBy(KEY, "word").agg(F.count(F.lit(1)).alias("n"))
+def counted(terms: Column) -> Column:
+    """Array of (term, n) of an array's different members, which must be a column of its own, by a sort and a look at neighbours."""
+    n = F.size(terms)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.element_at(terms, i) != F.element_at(terms, F.greatest(i - 1, F.lit(1))))))
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1))
+    return F.when(n > 0, F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(terms, a).alias("term"), (b - a).cast("long").alias("n")))).otherwise(F.array().cast("array<struct<term:string,n:bigint>>"))
+
+
+def _term_counts(texts: DataFrame, terms: Column) -> DataFrame:
+    """(narrative_id, counts): each text's terms counted within its row."""
+    sorted_terms = texts.select(KEY, F.sort_array(F.coalesce(terms, F.array().cast("array<string>"))).alias("terms"))
+    return sorted_terms.select(KEY, counted(F.col("terms")).alias("counts"))
+
+
+def _own_words(stop_words: Sequence[str], least: int) -> Column:
+    return F.filter(words(F.col("text")), lambda w: (F.length(w) >= least) & ~w.isin(*stop_words) if stop_words else F.length(w) >= least)
+
+
+def _top(counts: DataFrame, k: int, name: str) -> DataFrame:
+    """The k most frequent terms of each row, found in the row."""
+    ordered = F.array_sort(F.transform("counts", lambda c: F.struct((-c["n"]).alias("back"), c["term"].alias("term"))))
+    rows = counts.select(KEY, F.posexplode_outer(F.slice(ordered, 1, k)).alias("at", "c")).filter("at is not null")  # outer: no filter by size before it
+    return rows.select(KEY, F.col("c.term").alias(name), (-F.col("c.back")).alias("n"), (F.col("at") + 1).alias("place"))
 
 
 def keywords(texts: DataFrame, k: int, stop_words: Sequence[str] = ()) -> DataFrame:
-    """The k most frequent words of each text."""
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("n"), "word"))
-    return word_counts(texts, stop_words, 3).withColumn("place", place).filter(F.col("place") <= k)
+    """The k most frequent words of each text; a narrow job."""
+    return _top(_term_counts(texts, _own_words(stop_words, 3)), k, "word")
 
 
 def key_phrases(texts: DataFrame, k: int) -> DataFrame:
-    """The k most frequent pairs of neighbouring words of each text."""
-    own = words(F.col("text"))
-    pairs = F.zip_with(F.slice(own, 1, F.greatest(F.lit(0), F.size(own) - 1)), F.slice(own, 2, F.greatest(F.lit(0), F.size(own) - 1)), lambda a, b: F.concat_ws(" ", a, b))
-    counts = texts.select(KEY, F.explode(pairs).alias("phrase")).groupBy(KEY, "phrase").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("n"), "phrase"))
-    return counts.withColumn("place", place).filter(F.col("place") <= k)
+    """The k most frequent pairs of neighbouring words of each text; a narrow job."""
+    own = texts.select(KEY, words(F.col("text")).alias("own"))
+    last = F.greatest(F.size("own") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("own", F.lit(1), last), F.slice("own", F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
+    return _top(_term_counts(own, pairs), k, "phrase")
 
 
 def tfidf(texts: DataFrame, max_features: int, stop_words: Sequence[str] = ()) -> DataFrame:
-    """(narrative_id, word, weight): the most frequent words, smoothed idf, unit length."""
-    counts = word_counts(texts, stop_words, 2)
+    """(narrative_id, word, weight): the most frequent words, smoothed idf, unit length.
+
+    Words are counted within each text's row; only totals by word, and then the chosen words' weights, are shuffled.
+    """
+    counts = _term_counts(texts, _own_words(stop_words, 2)).select(KEY, F.inline_outer("counts")).withColumnRenamed("term", "word").filter("word is not null")
     top = counts.groupBy("word").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "word").limit(max_features)
-    n = texts.select(KEY).distinct().agg(F.count(F.lit(1)).alias("docs"))  # one row
+    n = texts.agg(F.count(F.lit(1)).alias("docs"))  # one row
     idf = top.join(F.broadcast(n)).select("word", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(F.broadcast(idf), "word").select(KEY, "word", (F.col("n") * F.col("idf")).alias("w"))  # max_features rows
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(KEY)))
     return raw.select(KEY, "word", (F.col("w") / norm).alias("weight"))
 
 
-def similar_pairs(weights: DataFrame, least: float, most_documents: int) -> DataFrame:
-    """(a, b, similarity): cosine above a limit, by joining on words.
+def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity): cosine of unit rows above a limit, exact.
 
-    Words of more than ``most_documents`` texts make no candidates, as their pairs would grow with the
-    square; the similarity of a candidate counts all words.
+    A row's words are taken from the rarest on until those left over weigh so little that they alone
+    can't reach the limit. Two similar rows share a word among both rows' taken ones, so only these
+    make candidates; frequent words, which come last, seldom do.
     """
-    df = weights.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= most_documents)
-    rare = weights.join(df, "word", "left_semi").select("word", KEY)
-    pairs = rare.select("word", F.col(KEY).alias("a")).join(rare.select("word", F.col(KEY).alias("b")), "word").filter("a < b").select("a", "b").distinct()
+    weights = cut(weights)  # used four times
+    df = weights.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy(KEY).orderBy(F.desc("df"), F.desc("word"))
+    after = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    taken = weights.join(df, "word").withColumn("after", after).filter(F.col("after") > least * least - 1e-9).select("word", KEY)
+    pairs = pairs_within(taken, "word", KEY).select("a", "b").distinct()
     a = weights.select(F.col(KEY).alias("a"), "word", F.col("weight").alias("wa"))
     b = weights.select(F.col(KEY).alias("b"), "word", F.col("weight").alias("wb"))
     scored = pairs.join(a, "a").join(b, ["b", "word"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
@@ -72,25 +96,74 @@ def best_match(items: DataFrame, narratives: DataFrame, newest: int, least: floa
     return best.select("item_id", (-F.col("m.k")).alias(KEY), F.col("m.similarity").alias("similarity")).filter(F.col("similarity") > least)
 
 
-def indicator_score(texts: DataFrame, phrases: Sequence[str], claims: Sequence[str]) -> DataFrame:
-    """.7 phrase hits / 5, .15 length / 500, .15 claim hits / 3, each at most 1."""
+#: Phrases that indicate misinformation, by language; other languages take the English ones (fixed values).
+INDICATORS = {
+    "en": (
+        "fake news",
+        "conspiracy",
+        "they don't want you to know",
+        "mainstream media won't report",
+        "scientists are hiding",
+        "government cover-up",
+        "what they're not telling you",
+        "secret cure",
+        "miracle treatment",
+        "100% guaranteed",
+        "shocking truth",
+        "everyone is lying",
+        "wake up sheeple",
+        "do your own research",
+        "they're hiding this from the public",
+    ),
+    "es": (
+        "noticias falsas",
+        "conspiración",
+        "no quieren que sepas",
+        "los medios no informan",
+        "los científicos ocultan",
+        "encubrimiento del gobierno",
+        "lo que no te están diciendo",
+        "cura secreta",
+        "tratamiento milagroso",
+        "100% garantizado",
+        "verdad impactante",
+        "todos están mintiendo",
+        "despierta",
+        "investiga por ti mismo",
+        "lo están ocultando del público",
+    ),
+}
+
+
+def indicator_score(texts: DataFrame, claims: Column, phrases: dict[str, Sequence[str]] | None = None, default: str = "en") -> DataFrame:
+    """.7 phrase hits / 5, .15 length / 500, .15 claims / 3, each at most 1; phrases by the text's language, ``claims`` is their number."""
+    phrases = phrases or INDICATORS
     low = F.lower("text")
     count = lambda terms: sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in terms), F.lit(0))
+    hits = count(phrases[default])
+    for language, terms in phrases.items():
+        if language != default:
+            hits = F.when(F.col("language") == language, count(terms)).otherwise(hits)
     cap = lambda x: F.least(F.lit(1.0), x)
-    score = 0.7 * cap(count(phrases) / 5) + 0.15 * cap(F.length("text") / 500) + 0.15 * cap(count(claims) / 3)
+    score = 0.7 * cap(hits / 5) + 0.15 * cap(F.length("text") / 500) + 0.15 * cap(claims / 3)
     return texts.select(KEY, score.alias("score"))
 
 
-def detect(texts: DataFrame, phrases: Sequence[str], claims: Sequence[str], threshold: float = 0.75) -> DataFrame:
-    """Language, score and flag of each text."""
-    scores = indicator_score(texts, phrases, claims)
+def _is_claim(sentence: Column, verbs: Sequence[str]) -> Column:
+    return sentence.rlike(r"[0-9]|(?i)\b(?:" + "|".join(verbs) + r")\b") & ~sentence.endswith("?")
+
+
+def detect(texts: DataFrame, verbs: Sequence[str], phrases: dict[str, Sequence[str]] | None = None, threshold: float = 0.75) -> DataFrame:
+    """Language, score and flag of each text; its claims are its sentences with a number or a claim verb."""
+    claims = F.size(F.filter(sentences(F.col("text")), lambda s: _is_claim(s, verbs)))
+    scores = indicator_score(texts, claims, phrases)
     return texts.select(KEY, detect_language(F.col("text")).alias("language")).join(scores, KEY).withColumn("flagged", F.col("score") >= threshold)
 
 
 def claim_candidates(texts: DataFrame, verbs: Sequence[str]) -> DataFrame:
     """Sentences that hold a number or a claim verb."""
     own = texts.select(KEY, F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-    return own.filter(F.col("sentence").rlike(r"[0-9]|(?i)\b(?:" + "|".join(verbs) + r")\b") & ~F.col("sentence").endswith("?"))
+    return own.filter(_is_claim(F.col("sentence"), verbs))
 
 
 def summarize(texts: DataFrame, n: int) -> DataFrame:

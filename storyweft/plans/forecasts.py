@@ -172,15 +172,23 @@ def _(t: Tables):
     return P.series_correlation(_near_pairs(t).join(a, "a").join(b, ["b", "day"]))
 
 
-_FACTS = "f AS (SELECT narrative_id, COUNT(*) AS instances, COUNT(DISTINCT source_id) AS sources FROM instances GROUP BY 1), g AS (SELECT narrative_id, AVG(n) AS mean, COALESCE(STDDEV_SAMP(n), 0) AS sd, AVG(n) FILTER (WHERE i < 15) AS early, AVG(n) FILTER (WHERE i >= 15) AS later FROM series GROUP BY 1), h AS (SELECT narrative_id, CASE WHEN mean > 0 THEN 1 - LEAST(1.0, sd / mean) ELSE 0.0 END AS consistency, CASE WHEN early <> 0 THEN (later - early) / early ELSE 0.0 END AS growth FROM g)"
+_FACTS = "f AS (SELECT narrative_id, COUNT(*) AS instances, COUNT(DISTINCT source_id) AS sources FROM instances GROUP BY 1), a AS (SELECT COUNT(DISTINCT source_id) AS sources FROM instances), g AS (SELECT narrative_id, AVG(n) AS mean, COALESCE(STDDEV_SAMP(n), 0) AS sd, AVG(n) FILTER (WHERE i < 15) AS early, AVG(n) FILTER (WHERE i >= 15) AS later FROM series GROUP BY 1), h AS (SELECT narrative_id, CASE WHEN mean > 0 THEN 1 - LEAST(1.0, sd / mean) ELSE 0.0 END AS consistency, CASE WHEN early <> 0 THEN (later - early) / early ELSE 0.0 END AS growth FROM g), v AS (SELECT narrative_id, f.sources / a.sources AS centrality, 1 - f.sources / f.instances AS strength, consistency, growth, f.sources / f.instances AS diversity FROM f JOIN h USING (narrative_id), a)"
 
 
-@query("t25_key_factors", f"""WITH {_FACTS}, r AS (SELECT narrative_id, 0.8 * greatest(0.0, least(1.0, instances / 100)) AS v1, 0.7 * greatest(0.0, least(1.0, sources / 20)) AS v2, -0.9 + 1.8 * greatest(0.0, least(1.0, (growth + 1) / 2)) AS v3, -0.5 + greatest(0.0, least(1.0, consistency)) AS v4, narrative_id % 6 / 5 AS v5 FROM f JOIN h USING (narrative_id)), l AS (SELECT narrative_id, 'volume' AS factor, ROUND(v1, 6) AS impact FROM r UNION ALL SELECT narrative_id, 'source diversity', ROUND(v2, 6) FROM r UNION ALL SELECT narrative_id, 'growth', ROUND(v3, 6) FROM r UNION ALL SELECT narrative_id, 'consistency', ROUND(v4, 6) FROM r UNION ALL SELECT narrative_id, 'threat', ROUND(v5, 6) FROM r) SELECT * FROM l""")
+def _factor(name: str, value: str, low: float, high: float, sign: str = "1") -> str:
+    return f"SELECT narrative_id, '{name}' AS factor, ROUND({value}, 6) AS \"value\", ROUND({sign} * greatest(0.0, least(1.0, (abs({value}) - {low}) / {high - low})), 6) + 0.0 AS impact FROM v"
+
+
+@query("t25_key_factors", f"""WITH {_FACTS} {_factor("Network Centrality", "centrality", 0.3, 0.8)} UNION ALL {_factor("Connection Strength", "strength", 0.4, 0.9)} UNION ALL {_factor("Consistency", "consistency", 0.5, 0.7)} UNION ALL {_factor("Growth Rate", "growth", 0.1, 0.5, "CASE WHEN growth > 0 THEN 1 ELSE -1 END")} UNION ALL {_factor("Source Diversity", "diversity", 0.2, 0.6)}""")
 def _(t: Tables):
     from storyweft.operators.aggregates import instance_stats
 
-    facts = instance_stats(t.instances).join(S.temporal_pattern(t.daily), "narrative_id").withColumn("threat", F.col("narrative_id") % 6)
-    return _R(P.key_factors(facts).drop("place"), "impact")
+    every = t.instances.agg(F.count_distinct("source_id").alias("every"))  # one row
+    own = F.col("sources") / F.col("instances")
+    facts = instance_stats(t.instances).join(S.temporal_pattern(t.daily), "narrative_id").join(F.broadcast(every))
+    facts = facts.withColumns({"centrality": F.col("sources") / F.col("every"), "connection_strength": 1 - own, "source_diversity": own})
+    rows = _R(P.key_factors(facts).drop("place"), "value", "impact")
+    return rows.withColumn("impact", F.col("impact") + 0.0)
 
 
 @query("t26_pattern_shift", f"WITH {_METRICS} SELECT narrative_id, dimension, abs(ROUND(acceleration, 6)) > 0.1 OR abs(ROUND(recent_rate - slope, 6)) > 0.2 AS shifted FROM metrics")

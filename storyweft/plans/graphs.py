@@ -12,14 +12,20 @@ from storyweft.plans.series import _R
 from storyweft.sources.tables import Tables
 
 
-def _edges(t: Tables, least: int = 2):
-    """Source pairs that share at least so many of every fourth narrative."""
-    return J.co_sharing(t.shares.filter("narrative_id % 4 = 0"), least)
+def _edges(t: Tables):
+    """Source pairs that share far more narratives than is usual."""
+    return J.above_usual(J.co_sharing(t.shares), "weight")
 
 
-_E = f"{_CO}, edges AS (SELECT a, b, weight FROM co WHERE weight >= 2), near AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)"
-_SPARSE = f"{_CO}, edges AS (SELECT a, b, weight FROM co WHERE weight >= 3), near AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)"
+_E = f"{_CO}, edges AS (SELECT a, b, weight FROM co WHERE weight > (SELECT ROUND(AVG(weight) + 1.5 * STDDEV_POP(weight), 6) FROM co)), near AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)"
+_SPARSE = _E
 _COMPONENTS = "walk AS (SELECT DISTINCT a AS node, a AS other FROM near UNION SELECT w.node, n.b FROM walk w JOIN near n ON n.a = w.other), comp AS (SELECT node, MIN(other) AS component FROM walk GROUP BY 1)"
+#: The node that searches start from: the smallest of the graph.
+_START = "(SELECT MIN(a) FROM near)"
+
+
+def _start(edges):
+    return edges.agg(F.min(F.least("a", "b")).alias("node")).filter("node is not null")
 
 
 @query("g1_degree_centrality", f"WITH {_E}, d AS (SELECT a AS node, COUNT(*) AS degree FROM near GROUP BY 1) SELECT node, degree, ROUND(degree / ((SELECT COUNT(*) FROM d) - 1), 6) AS centrality FROM d")
@@ -37,22 +43,23 @@ def _(t: Tables):
     return G.propagation_graph(t.instances, 3)
 
 
-@query("g3_khop", f"WITH {_SPARSE}, h AS (SELECT 1::BIGINT AS node, 0 AS distance UNION SELECT n.b, h.distance + 1 FROM h JOIN near n ON n.a = h.node WHERE h.distance < 2) SELECT node, CAST(MIN(distance) AS INT) AS distance FROM h GROUP BY 1")
+@query("g3_khop", f"WITH {_SPARSE}, h AS (SELECT node, 0 AS distance FROM (SELECT {_START} AS node) WHERE node IS NOT NULL UNION SELECT n.b, h.distance + 1 FROM h JOIN near n ON n.a = h.node WHERE h.distance < 2) SELECT node, CAST(MIN(distance) AS INT) AS distance FROM h GROUP BY 1")
 def _(t: Tables):
-    return G.khop(_edges(t, 3), t.sources.filter("source_id = 1").select(F.col("source_id").alias("node")), 2)
+    edges = _edges(t)
+    return G.khop(edges, _start(edges), 2)
 
 
 @query("g4_connected_components", f"WITH {_SPARSE}, {_COMPONENTS} SELECT node, component FROM comp")
 def _(t: Tables):
-    return G.connected_components(_edges(t, 3))
+    return G.connected_components(_edges(t))
 
 
-#: A directed graph with cycles: source to source by the remainder of what it ships.
-_DIRECTED = "directed AS (SELECT DISTINCT source_id AS a, narrative_id % 100 + 1 AS b FROM shares WHERE narrative_id % 9 = 0 AND source_id % 3 = 0)"
+#: A directed graph with cycles: from a source to those that share far more of its narratives than is usual.
+_DIRECTED = f"{_CO}, n AS (SELECT source_id, COUNT(*) AS n FROM own GROUP BY 1), ties AS (SELECT a, b, weight / n AS share FROM (SELECT a, b, weight FROM co UNION ALL SELECT b, a, weight FROM co) JOIN n ON source_id = a), directed AS (SELECT a, b FROM ties WHERE share > (SELECT ROUND(AVG(share) + 1.5 * STDDEV_POP(share), 6) FROM ties))"
 
 
 def _directed(t: Tables):
-    return t.shares.filter("narrative_id % 9 = 0 AND source_id % 3 = 0").select(F.col("source_id").alias("a"), (F.col("narrative_id") % 100 + 1).alias("b")).distinct()
+    return J.above_usual(J.directed_shares(t.shares), "share").select("a", "b")
 
 
 @query("g5_strong_components", f"WITH {_DIRECTED}, nodes AS (SELECT a AS n FROM directed UNION SELECT b FROM directed), walk AS (SELECT n AS s, n AS v FROM nodes UNION SELECT w.s, d.b FROM walk w JOIN directed d ON d.a = w.v) SELECT x.s AS node, MAX(x.v) AS component FROM walk x JOIN walk y ON y.s = x.v AND y.v = x.s GROUP BY 1")
@@ -60,15 +67,15 @@ def _(t: Tables):
     return G.strong_components(_directed(t))
 
 
-@query("g6_shortest_path", f"WITH {_SPARSE}, p AS (SELECT 1::BIGINT AS s, 1::BIGINT AS node, [1::BIGINT] AS path UNION ALL SELECT p.s, n.b, list_append(p.path, n.b) FROM p JOIN near n ON n.a = p.node WHERE len(p.path) <= 3 AND NOT list_contains(p.path, n.b)), m AS (SELECT node, MIN(len(path)) AS l FROM p GROUP BY 1) SELECT p.node, array_to_string(MIN(path), '>') AS path FROM p JOIN m ON m.node = p.node AND len(p.path) = m.l GROUP BY 1")
+@query("g6_shortest_path", f"WITH {_SPARSE}, p AS (SELECT node AS s, node, [node] AS path FROM (SELECT {_START} AS node) WHERE node IS NOT NULL UNION ALL SELECT p.s, n.b, list_append(p.path, n.b) FROM p JOIN near n ON n.a = p.node WHERE len(p.path) <= 3 AND NOT list_contains(p.path, n.b)), m AS (SELECT node, MIN(len(path)) AS l FROM p GROUP BY 1) SELECT p.node, array_to_string(MIN(path), '>') AS path FROM p JOIN m ON m.node = p.node AND len(p.path) = m.l GROUP BY 1")
 def _(t: Tables):
-    start = t.sources.filter("source_id = 1").select(F.col("source_id").alias("node"))
-    return G.shortest_paths(_edges(t, 3), start, 3, directed=False).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    edges = _edges(t)
+    return G.shortest_paths(edges, _start(edges), 3, directed=False).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("g7_betweenness")
 def _(t: Tables):
-    edges = _edges(t, 3)
+    edges = _edges(t)
     return _R(G.betweenness(edges, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "betweenness")
 
 
@@ -79,15 +86,15 @@ def _(t: Tables):
 
 @query("g9_optimize_sources")
 def _(t: Tables):
-    return _R(G.optimize_sources(_edges(t, 3), t.sources.select(F.col("source_id").alias("node"), "name"), 5), "rank_score")
+    return _R(G.optimize_sources(_edges(t), t.sources.select(F.col("source_id").alias("node"), "name"), 5), "rank_score")
 
 
 @query("g11_communities", f"WITH {_SPARSE}, {_COMPONENTS}, s AS (SELECT component, COUNT(*) AS size FROM comp GROUP BY 1) SELECT node, component, size FROM comp JOIN s USING (component) WHERE size >= 3")
 def _(t: Tables):
-    return G.communities(_edges(t, 3), 3)
+    return G.communities(_edges(t), 3)
 
 
-@query("g12_communities_by_type", "SELECT source_type AS type, COUNT(*) AS size, string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY source_id) AS members FROM sources GROUP BY 1")
+@query("g12_communities_by_type", "SELECT source_type AS type, COUNT(*) OVER (PARTITION BY source_type) AS size, source_id AS node FROM sources")
 def _(t: Tables):
     return G.communities_by_type(t.sources.select(F.col("source_id").alias("node"), F.col("source_type").alias("type")))
 
@@ -100,12 +107,12 @@ def _(t: Tables):
 @query("g14_coordinated_campaigns", f"WITH {_SPARSE}, {_COMPONENTS}, d AS (SELECT source_id AS node, MIN(detected_at) AS first_at, MAX(detected_at) AS last_at FROM shares GROUP BY 1), l AS (SELECT component, COUNT(*) AS links FROM edges JOIN comp ON comp.node = edges.a GROUP BY 1), f AS (SELECT component, COUNT(*) AS size, MIN(first_at) AS first_at, date_diff('day', MIN(first_at), MAX(last_at)) AS span_days FROM comp LEFT JOIN d USING (node) GROUP BY 1 HAVING COUNT(*) >= 2) SELECT component, size, first_at, CAST(span_days AS INT) AS span_days, ROUND(2 * links / (size * (size - 1)), 6) AS density FROM f JOIN l USING (component)", dates="first_at")
 def _(t: Tables):
     dates = t.shares.groupBy(F.col("source_id").alias("node")).agg(F.min("detected_at").alias("first_at"), F.max("detected_at").alias("last_at"))
-    return _R(G.coordinated_campaigns(_edges(t), dates, 3, 2), "density")
+    return _R(G.coordinated_campaigns(_edges(t), dates, 2, 2), "density")
 
 
 @query("g15_network_statistics", f"WITH {_SPARSE}, {_COMPONENTS} SELECT (SELECT COUNT(*) FROM comp) AS nodes, (SELECT COUNT(*) FROM edges) AS edges, (SELECT COUNT(DISTINCT component) FROM comp) AS components, (SELECT MAX(c) FROM (SELECT COUNT(*) AS c FROM comp GROUP BY component)) AS largest")
 def _(t: Tables):
-    edges = _edges(t, 3)
+    edges = _edges(t)
     labels = G.connected_components(edges)
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("components"), F.max("c").alias("largest"))
     return G.graph_statistics(edges).drop("density").join(F.broadcast(sizes))
@@ -113,7 +120,7 @@ def _(t: Tables):
 
 @query("g16_coordinated_sources", f"WITH {_CO}, n AS (SELECT source_id, COUNT(DISTINCT narrative_id) AS narratives FROM own GROUP BY 1), p AS (SELECT a AS source_id, COUNT(*) AS partners, SUM(weight) AS weight FROM (SELECT a, weight FROM co UNION ALL SELECT b, weight FROM co) GROUP BY 1) SELECT source_id, source_type, narratives, COALESCE(partners, 0) AS partners, CAST(COALESCE(weight, 0) AS BIGINT) AS weight FROM n JOIN sources USING (source_id) LEFT JOIN p USING (source_id)")
 def _(t: Tables):
-    own = t.shares.filter("narrative_id % 4 = 0")
+    own = t.shares
     counts = own.groupBy("source_id").agg(F.count_distinct("narrative_id").alias("narratives"))
     pairs = J.co_sharing(own)
     ends = pairs.select(F.col("a").alias("source_id"), "weight").unionByName(pairs.select(F.col("b").alias("source_id"), "weight")).groupBy("source_id").agg(F.count(F.lit(1)).alias("partners"), F.sum("weight").alias("weight"))
@@ -121,14 +128,16 @@ def _(t: Tables):
     return counts.join(t.sources.select("source_id", "source_type"), "source_id").join(ends, "source_id", "left").withColumn("partners", F.coalesce("partners", zero)).withColumn("weight", F.coalesce("weight", zero))
 
 
-@query("g17_narrative_connections", "WITH e AS (SELECT DISTINCT narrative_id, source_id AS node FROM shares WHERE narrative_id <= 120) SELECT y.narrative_id AS other, COUNT(*) AS nodes FROM e x JOIN e y ON y.node = x.node AND y.narrative_id > x.narrative_id WHERE x.narrative_id = 1 GROUP BY 1")
+@query("g17_narrative_connections", "WITH e AS (SELECT DISTINCT narrative_id, source_id AS node FROM shares) SELECT y.narrative_id AS other, COUNT(*) AS nodes FROM e x JOIN e y ON y.node = x.node AND y.narrative_id > x.narrative_id WHERE x.narrative_id = 1 GROUP BY 1")
 def _(t: Tables):
-    edges = t.shares.filter("narrative_id <= 120").select("narrative_id", F.col("source_id").alias("node")).distinct()
+    edges = t.shares.select("narrative_id", F.col("source_id").alias("node")).distinct()
     center = edges.filter("narrative_id = 1").select("node")
     return edges.join(center, "node").filter("narrative_id > 1").groupBy(F.col("narrative_id").alias("other")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query("s11_crawl_frontier", "WITH l AS (SELECT DISTINCT 'p' || source_id AS a, 'p' || (narrative_id % 100 + 1) AS b FROM shares WHERE narrative_id % 9 = 0 AND source_id % 3 = 0), w AS (SELECT 'p3' AS node, 0 AS depth UNION SELECT l.b, w.depth + 1 FROM w JOIN l ON l.a = w.node WHERE w.depth < 12 AND NOT regexp_matches(l.b, '7$')) SELECT node, CAST(MIN(depth) AS INT) AS depth FROM w GROUP BY 1 ORDER BY 2, 1 LIMIT 30")
+@query("s11_crawl_frontier", f"WITH {_DIRECTED}, l AS (SELECT 'p' || a AS a, 'p' || b AS b FROM directed), w AS (SELECT node, 0 AS depth FROM (SELECT 'p' || MIN(a) AS node FROM directed) WHERE node IS NOT NULL UNION SELECT l.b, w.depth + 1 FROM w JOIN l ON l.a = w.node WHERE w.depth < 12 AND NOT regexp_matches(l.b, '7$')) SELECT node, CAST(MIN(depth) AS INT) AS depth FROM w GROUP BY 1 ORDER BY 2, 1 LIMIT 30")
 def _(t: Tables):
-    links = _directed(t).select(F.concat(F.lit("p"), "a").alias("a"), F.concat(F.lit("p"), "b").alias("b"))
-    return G.crawl_frontier(links, t.sources.filter("source_id = 3").select(F.concat(F.lit("p"), "source_id").alias("node")), 30, "7$")
+    own = _directed(t)
+    links = own.select(F.concat(F.lit("p"), "a").alias("a"), F.concat(F.lit("p"), "b").alias("b"))
+    start = own.agg(F.concat(F.lit("p"), F.min("a")).alias("node")).filter("node is not null")
+    return G.crawl_frontier(links, start, 30, "7$")

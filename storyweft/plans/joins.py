@@ -49,12 +49,12 @@ def _(t: Tables):
     return J.new_edges(candidates, known)
 
 
-_CO = "own AS (SELECT DISTINCT source_id, narrative_id FROM shares WHERE narrative_id % 4 = 0), co AS (SELECT x.source_id AS a, y.source_id AS b, COUNT(*) AS weight FROM own x JOIN own y ON y.narrative_id = x.narrative_id AND x.source_id < y.source_id GROUP BY 1, 2)"
+_CO = "own AS (SELECT DISTINCT source_id, narrative_id FROM shares), co AS (SELECT x.source_id AS a, y.source_id AS b, COUNT(*) AS weight FROM own x JOIN own y ON y.narrative_id = x.narrative_id AND x.source_id < y.source_id GROUP BY 1, 2)"
 
 
 @query("j7_co_sharing", f"WITH {_CO} SELECT a, b, weight FROM co WHERE weight >= 2")
 def _(t: Tables):
-    return J.co_sharing(t.shares.filter("narrative_id % 4 = 0"), 2)
+    return J.co_sharing(t.shares, 2)
 
 
 @query("j8_followed_within", "WITH f AS (SELECT narrative_id, source_id, epoch_us(MIN(detected_at)) / 1e6 AS at FROM instances GROUP BY 1, 2) SELECT x.narrative_id, x.source_id AS earlier, y.source_id AS later FROM f x JOIN f y ON y.narrative_id = x.narrative_id AND (x.at < y.at OR (x.at = y.at AND x.source_id < y.source_id)) AND y.at - x.at < 10800")
@@ -69,11 +69,10 @@ def _(t: Tables):
     return _R(J.shared_sources(t.instances, pairs), "pct_a", "pct_b")
 
 
-@query("j13_related_by_nodes", "WITH e AS (SELECT DISTINCT narrative_id, source_id AS node, CASE WHEN source_id % 3 = 0 THEN 'supports' END AS relation, CASE WHEN source_id % 4 = 0 THEN source_id / 100 END AS weight FROM shares WHERE narrative_id <= 120), p AS (SELECT x.narrative_id AS a, y.narrative_id AS b, x.node, x.relation, x.weight FROM e x JOIN e y ON y.node = x.node AND x.narrative_id < y.narrative_id), m AS (SELECT a, b, COUNT(*) AS nodes, MIN(node) AS node FROM p GROUP BY 1, 2) SELECT a, b, nodes, CASE WHEN node % 3 = 0 THEN 'supports' ELSE 'related' END AS relation, CASE WHEN node % 4 = 0 THEN node / 100 ELSE 0.5 END AS weight FROM m")
+@query("j13_related_by_nodes", "WITH e AS (SELECT DISTINCT narrative_id, source_id AS node, CASE WHEN source_id % 3 = 0 THEN 'supports' END AS relation, CASE WHEN source_id % 4 = 0 THEN source_id / 100 END AS weight FROM instances), p AS (SELECT x.narrative_id AS a, y.narrative_id AS b, x.node, x.relation, x.weight FROM e x JOIN e y ON y.node = x.node AND x.narrative_id < y.narrative_id), m AS (SELECT a, b, COUNT(*) AS nodes, MIN(node) AS node FROM p GROUP BY 1, 2) SELECT a, b, nodes, CASE WHEN node % 3 = 0 THEN 'supports' ELSE 'related' END AS relation, CASE WHEN node % 4 = 0 THEN node / 100 ELSE 0.5 END AS weight FROM m")
 def _(t: Tables):
     n = F.col("source_id")
-    # A relation's name and weight keep their place as structs, so that a missing one stays missing.
-    edges = t.shares.filter("narrative_id <= 120").select("narrative_id", n.alias("node"), F.when(n % 3 == 0, "supports").otherwise("related").alias("relation"), F.when(n % 4 == 0, n / 100).otherwise(0.5).alias("weight")).distinct()
+    edges = t.instances.select("narrative_id", n.alias("node"), F.when(n % 3 == 0, "supports").otherwise("related").alias("relation"), F.when(n % 4 == 0, n / 100).otherwise(0.5).alias("weight")).distinct()
     return J.related_by_nodes(edges)
 
 

@@ -118,7 +118,7 @@ def _(t: Tables):
     return evolved_flag(_members(t), f"TIMESTAMP_NTZ '{AS_OF}' - INTERVAL 20 DAYS")
 
 
-@query("k36_cluster_listing", "SELECT cluster, COUNT(*) AS size, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM (SELECT vec_id AS id, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS cluster FROM embeddings) GROUP BY 1")
+@query("k36_cluster_listing", "SELECT cluster, COUNT(*) OVER (PARTITION BY cluster) AS size, id FROM (SELECT vec_id AS id, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS cluster FROM embeddings)")
 def _(t: Tables):
     return cluster_listing(t.raw("embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 6 == 0, -1).otherwise(F.col("label")).alias("cluster")))
 

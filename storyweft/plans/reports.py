@@ -127,9 +127,9 @@ def _(t: Tables):
     return B.long_report(t.narratives, ["status", "language", "threat_level"])
 
 
-@query("s22_export_graph", """SELECT '{"kind":"node","id":' || source_id || '}' AS json FROM sources UNION ALL SELECT DISTINCT '{"kind":"edge","source":' || source_id || ',"target":' || narrative_id || '}' FROM shares WHERE narrative_id < 20""")
+@query("s22_export_graph", """SELECT '{"kind":"node","id":' || source_id || '}' AS json FROM sources UNION ALL SELECT DISTINCT '{"kind":"edge","source":' || source_id || ',"target":' || narrative_id || '}' FROM shares""")
 def _(t: Tables):
-    edges = t.shares.filter("narrative_id < 20").select(F.col("source_id").alias("a"), F.col("narrative_id").alias("b")).distinct()
+    edges = t.shares.select(F.col("source_id").alias("a"), F.col("narrative_id").alias("b")).distinct()
     return B.node_link(t.sources.select(F.col("source_id").alias("node")), edges)
 
 

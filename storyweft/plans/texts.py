@@ -55,9 +55,14 @@ def _(t: Tables):
     return t.raw("documents").select("doc_id", X.detect_language(F.col("text")).alias("language"))
 
 
-@query("f7_entities", "SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+'))) AS names FROM conversations")
+def _found(kind: str) -> str:
+    pattern, group = X.ENTITY_PATTERNS[kind]
+    return f"len(list_distinct(regexp_extract_all(text, '{pattern}', {group}))) AS {kind}"
+
+
+@query("f7_entities", f"SELECT doc_id, {', '.join(map(_found, X.ENTITY_PATTERNS))} FROM documents")
 def _(t: Tables):
-    return t.raw("conversations").select("conv_id", "turn", F.size(X.entities(F.col("text"), "name")).cast("long").alias("names"))
+    return t.raw("documents").select("doc_id", *(F.size(X.entities(F.col("text"), kind)).cast("long").alias(kind) for kind in X.ENTITY_PATTERNS))
 
 
 @query("f8_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -65,10 +70,13 @@ def _(t: Tables):
     return t.raw("documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@query("f10_normalize_date", "WITH d AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%m/%d/%Y') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y%m%d') ELSE 'day ' || event_id END AS text, ts FROM events) SELECT event_id, CASE WHEN event_id % 4 = 3 THEN text ELSE strftime(ts, '%Y-%m-%dT00:00:00') END AS iso FROM d")
+@query("f10_normalize_date", "WITH d AS (SELECT event_id, ts, CASE event_id % 8 WHEN 0 THEN strftime(ts, '%m/%d/%Y') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y%m%d') WHEN 3 THEN 'day ' || event_id WHEN 4 THEN strftime(ts, '%d-%m-%Y') WHEN 5 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 6 THEN strftime(ts, '%B %-d, %Y') ELSE strftime(ts, '%Y/%m/%d') END AS text FROM events) SELECT event_id, CASE WHEN event_id % 8 IN (2, 3) THEN text WHEN event_id % 8 = 5 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT00:00:00') END AS iso FROM d")
 def _(t: Tables):
     n, ts = F.col("event_id"), F.col("ts")
-    text = F.when(n % 4 == 0, F.date_format(ts, "MM/dd/yyyy")).when(n % 4 == 1, F.date_format(ts, "yyyy-MM-dd")).when(n % 4 == 2, F.date_format(ts, "yyyyMMdd")).otherwise(F.concat(F.lit("day "), n))
+    formats = {0: "MM/dd/yyyy", 1: "yyyy-MM-dd", 2: "yyyyMMdd", 4: "dd-MM-yyyy", 5: "yyyy-MM-dd'T'HH:mm:ss'Z'", 6: "MMMM d, yyyy", 7: "yyyy/MM/dd"}
+    text = F.concat(F.lit("day "), n)
+    for k, form in formats.items():
+        text = F.when(n % 8 == k, F.date_format(ts, form)).otherwise(text)
     return t.raw("events").select("event_id", X.normalize_date(text).alias("iso"))
 
 
@@ -123,14 +131,23 @@ def _(t: Tables):
     return long_scores(t).filter("score >= 7").withColumn("priority", F.when(F.col("score") >= 8, "high").otherwise("medium"))
 
 
-@query("p15_credibility", f"""WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages), w AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, length(text) AS n, {_w('text')} AS w FROM p) SELECT page_id, CAST(ROUND(CAST(0.4 * CASE WHEN regexp_matches(host, '\\.(gov|edu)$') THEN 0.85 WHEN regexp_matches(host, '\\.(org|int)$') THEN 0.7 WHEN regexp_matches(host, '(blogspot|wordpress|medium)\\.') THEN 0.4 ELSE 0.5 END + 0.3 * CASE WHEN n >= 5000 THEN 0.9 WHEN n >= 1000 THEN 0.7 WHEN n >= 300 THEN 0.5 ELSE 0.3 END + 0.15 * CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0.0 END + 0.15 * 0.4 AS DECIMAL(18, 9)), 2) AS DOUBLE) AS score FROM w""")
+_SPLIT = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> '')"
+_LINKS = """len(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1), lambda u: NOT starts_with(u, '#') AND NOT starts_with(lower(u), 'javascript:') AND u <> ''))"""
+_KNOWN = " OR ".join(f"contains(host, '{h}')" for h in X.CREDIBLE_HOSTS)
+
+
+@query("p15_credibility", f"""WITH p AS (SELECT page_id, url, {_LINKS} AS links, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages), w AS (SELECT page_id, links, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host, length(text) AS n, {_SPLIT.format("text")} AS w FROM p) SELECT page_id, CAST(ROUND(CAST(0.4 * CASE WHEN {_KNOWN} THEN 0.9 WHEN contains(host, '.gov') THEN 0.85 WHEN contains(host, '.edu') THEN 0.8 WHEN contains(host, '.org') THEN 0.7 ELSE 0.5 END + 0.3 * CASE WHEN n > 1000 THEN 0.7 ELSE 0.5 END + 0.15 * CASE WHEN len(w) > 0 THEN least(1.0, 2 * len(list_distinct(w)) / len(w)) ELSE 0.0 END + 0.15 * CASE WHEN links > 5 THEN 0.8 WHEN links > 0 THEN 0.6 ELSE 0.4 END AS DECIMAL(18, 9)), 2) AS DOUBLE) AS score FROM w""")
 def _(t: Tables):
-    return t.raw("pages").select("page_id", X.credibility_score(F.col("url"), X.page_text(F.col("html")), F.lit(0)).alias("score"))
+    links = F.size(X.page_links(F.col("html"), F.col("url")))
+    return t.raw("pages").select("page_id", X.credibility_score(F.col("url"), X.page_text(F.col("html")), links).alias("score"))
 
 
-@query("p16_relevance", f"WITH w AS (SELECT doc_id, {_w('text')} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN least(1.0, (len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'license'))) / len(w) * 10) ELSE 0.0 END AS s FROM w) SELECT doc_id, ROUND(CASE WHEN s >= 0.3 THEN s ELSE 0.0 END, 6) AS relevance FROM s")
+_HITS = " + ".join(f"(length(low) - length(replace(low, '{k}', ''))) / {len(k)}" for k in ("the", "this license"))
+
+
+@query("p16_relevance", f"WITH w AS (SELECT doc_id, lower(text) AS low, len({_SPLIT.format('text')}) AS n FROM documents), s AS (SELECT doc_id, CASE WHEN n > 0 THEN least(1.0, ({_HITS}) / n * 10) ELSE 0.0 END AS s FROM w) SELECT doc_id, ROUND(CASE WHEN s >= 0.3 THEN s ELSE 0.0 END, 6) AS relevance FROM s")
 def _(t: Tables):
-    return _R(t.raw("documents").select("doc_id", X.relevance(F.col("text"), ("the", "license"), 0.3).alias("relevance")), "relevance")
+    return _R(t.raw("documents").select("doc_id", X.relevance(F.col("text"), ("the", "This License"), 0.3).alias("relevance")), "relevance")
 
 
 @query("s2_active_sources", "SELECT source_id, name FROM sources WHERE source_type = 'rss' AND is_active")
@@ -181,17 +198,24 @@ def _(t: Tables):
     return T.text_clusters(T.tfidf(_texts(t), 300), 8, 256)
 
 
-_PHRASES, _CLAIMS = ("the", "worthless", "license", "idiot", "password"), ("this work", "version", "is licensed")
+#: Phrases that occur in the supplied texts, in place of the usual ones.
+_PHRASES = {"en": ("the", "worthless", "license", "idiot", "password"), "es": ("que", "ción", "los", "para", "mente")}
+_VERBS = ("is", "are", "was", "will")
+
+
+def _hits(language: str) -> str:
+    return " + ".join(f"CASE WHEN contains(lower(description), '{p}') THEN 1 ELSE 0 END" for p in _PHRASES[language])
 
 
-@query("x5_indicator_score", "SELECT narrative_id, ROUND(0.7 * least(1.0, (" + " + ".join(f"CASE WHEN contains(lower(description), '{p}') THEN 1 ELSE 0 END" for p in _PHRASES) + ") / 5) + 0.15 * least(1.0, length(description) / 500) + 0.15 * least(1.0, (" + " + ".join(f"CASE WHEN contains(lower(description), '{p}') THEN 1 ELSE 0 END" for p in _CLAIMS) + ") / 3), 6) AS score FROM narratives")
+@query("x5_indicator_score", f"SELECT narrative_id, ROUND(0.7 * least(1.0, CASE WHEN language = 'es' THEN {_hits('es')} ELSE {_hits('en')} END / 5) + 0.15 * least(1.0, length(description) / 500) + 0.15 * least(1.0, threat_level / 3), 6) AS score FROM narratives")
 def _(t: Tables):
-    return _R(T.indicator_score(_texts(t), _PHRASES, _CLAIMS), "score")
+    rows = t.narratives.select("narrative_id", "language", "threat_level", F.col("description").alias("text"))
+    return _R(T.indicator_score(rows, F.col("threat_level"), _PHRASES), "score")
 
 
 @query("x6_claim_candidates")
 def _(t: Tables):
-    return T.claim_candidates(_texts(t), ("is", "are", "was", "will")).select("narrative_id", "place")
+    return T.claim_candidates(_texts(t), _VERBS).select("narrative_id", "place")
 
 
 @query("x7_key_phrases", f"WITH w AS (SELECT narrative_id, {_w('description')} AS w FROM narratives), p AS (SELECT narrative_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w WHERE len(w) > 1), c AS (SELECT narrative_id, phrase, COUNT(*) AS n FROM p GROUP BY 1, 2) SELECT narrative_id, phrase, n FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY narrative_id ORDER BY n DESC, phrase) <= 3")
@@ -201,7 +225,7 @@ def _(t: Tables):
 
 @query("x8_detect")
 def _(t: Tables):
-    return _R(T.detect(_texts(t), _PHRASES, _CLAIMS, 0.5), "score")
+    return _R(T.detect(_texts(t), _VERBS, _PHRASES, 0.5), "score")
 
 
 @query("x11_themes_lda")
@@ -214,13 +238,12 @@ def _(t: Tables):
     return T.template_counter(_texts(t), {"en": ("Check the facts on {phrase}.", "What is said on {phrase} needs a source."), "fr": ("Vérifiez les faits sur {phrase}.",)})
 
 
-@query("j9_similar_pairs", f"WITH {_TFIDF}, d AS (SELECT word FROM tf GROUP BY 1 HAVING COUNT(*) <= 60), p AS (SELECT DISTINCT x.narrative_id AS a, y.narrative_id AS b FROM tf x JOIN tf y ON y.word = x.word AND x.narrative_id < y.narrative_id JOIN d ON d.word = x.word) SELECT p.a, p.b, ROUND(SUM(x.weight * y.weight), 6) AS similarity FROM p JOIN tf x ON x.narrative_id = p.a JOIN tf y ON y.narrative_id = p.b AND y.word = x.word GROUP BY 1, 2 HAVING SUM(x.weight * y.weight) > 0.8")
+@query("j9_similar_pairs", f"WITH {_TFIDF} SELECT x.narrative_id AS a, y.narrative_id AS b, ROUND(SUM(x.weight * y.weight), 6) AS similarity FROM tf x JOIN tf y ON y.word = x.word AND x.narrative_id < y.narrative_id GROUP BY 1, 2 HAVING SUM(x.weight * y.weight) > 0.8")
 def _(t: Tables):
-    return _R(T.similar_pairs(T.tfidf(_texts(t), 300), 0.8, 60), "similarity")
+    return _R(T.similar_pairs(T.tfidf(_texts(t), 300), 0.8), "similarity")
 
 
-@query("j18_best_match")
+@query("j18_best_match", f"WITH w AS (SELECT narrative_id, language, last_updated, list_distinct({_w('description')}) AS w FROM narratives), r AS (SELECT * FROM w QUALIFY ROW_NUMBER() OVER (PARTITION BY language ORDER BY last_updated DESC, narrative_id) <= 10), p AS (SELECT i.narrative_id AS item_id, r.narrative_id, ROUND(len(list_intersect(i.w, r.w)) / greatest(1, len(list_distinct(list_concat(i.w, r.w)))), 6) AS similarity FROM w i JOIN r USING (language)) SELECT item_id, narrative_id, similarity FROM p WHERE similarity > 0.05 QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY similarity DESC, p.narrative_id) = 1")
 def _(t: Tables):
     rows = _texts(t)
-    items = rows.filter("narrative_id % 10 = 3").withColumnRenamed("narrative_id", "item_id")
-    return T.best_match(items, rows, 10, 0.05)
+    return T.best_match(rows.withColumnRenamed("narrative_id", "item_id"), rows, 10, 0.05)

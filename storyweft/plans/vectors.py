@@ -61,9 +61,9 @@ def _(t: Tables):
     return V.micro_clusters(rows).select("cluster", "n", F.round("radius", 4).alias("radius"), "first_at", "last_at")
 
 
-@query("k15_cluster_evolution", "WITH f AS (SELECT DISTINCT source_id % 5 AS old, narrative_id % 7 AS new FROM (SELECT DISTINCT source_id, narrative_id FROM shares WHERE narrative_id < 8)) SELECT 'merge' AS kind, new AS cluster, COUNT(*) AS others FROM f GROUP BY new HAVING COUNT(*) > 1 UNION ALL SELECT 'split', old, COUNT(*) FROM f GROUP BY old HAVING COUNT(*) > 1")
+@query("k15_cluster_evolution", "WITH f AS (SELECT DISTINCT source_id % 5 AS old, narrative_id % 7 AS new FROM (SELECT DISTINCT source_id, narrative_id FROM shares)) SELECT 'merge' AS kind, new AS cluster, COUNT(*) AS others FROM f GROUP BY new HAVING COUNT(*) > 1 UNION ALL SELECT 'split', old, COUNT(*) FROM f GROUP BY old HAVING COUNT(*) > 1")
 def _(t: Tables):
-    rows = t.shares.filter("narrative_id < 8").select(F.concat_ws("-", "source_id", "narrative_id").alias("micro"), "source_id", "narrative_id").distinct()
+    rows = t.shares.select(F.concat_ws("-", "source_id", "narrative_id").alias("micro"), "source_id", "narrative_id").distinct()
     return V.cluster_evolution(rows.select("micro", (F.col("source_id") % 5).alias("macro")), rows.select("micro", (F.col("narrative_id") % 7).alias("macro")))
 
 
@@ -85,11 +85,11 @@ def _(t: Tables):
     return _R(V.medoid_assign(rows, medoids, 0.9), "distance", "confidence")
 
 
-@query("k20_impact", "SELECT label AS cluster, ROUND(0.3 / (1 + exp(-(COUNT(*) - 10) / 5)) + 0.3 * label / 10 + 0.2 * 0.5 + 0.1 * 0.5 + 0.1 * label / 20, 6) AS impact FROM embeddings GROUP BY 1")
+@query("k20_impact", "SELECT label AS cluster, ROUND(0.3 / (1 + exp(-0.1 * (COUNT(*) - 10))) + 0.3 * least(1.0, label * 2 / 10) + 0.2 * 0.5 + 0.1 * 0.5 + 0.1 * label / 20, 6) AS impact FROM embeddings GROUP BY 1")
 def _(t: Tables):
     sizes = _vectors(t).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     c = F.col("cluster")
-    return _R(sizes.select("cluster", V.impact_score(F.col("n"), c / 10, F.lit(0.5), F.lit(0.5), c / 20).alias("impact")), "impact")
+    return _R(sizes.select("cluster", V.impact_score(F.col("n"), c * 2, F.lit(0.5), F.lit(0.5), c / 20).alias("impact")), "impact")
 
 
 @query("k22_novelty", f"WITH {_C}, n AS (SELECT vec_id AS id, least(1.0, AVG({_D.format('embedding', 'vector')}) / 1.2) AS novelty FROM embeddings CROSS JOIN centroids GROUP BY 1) SELECT id, ROUND(novelty, 6) AS novelty, ROUND(novelty, 6) > 0.84 AS is_novel FROM n")
@@ -151,12 +151,12 @@ def _(t: Tables):
     return _R(V.ensemble_vote(_votes(t)), "confidence")
 
 
-@query("p12_p13_threat_recommendation", "WITH x AS (SELECT vec_id AS id, vec_id % 60 / 100 AS p, vec_id % 100 / 100 AS c, vec_id % 7 = 0 AS novel FROM embeddings), b AS (SELECT *, least(5, CAST(floor(p * 10) AS INT)) + CASE WHEN novel THEN 1 ELSE 0 END AS base FROM x), t AS (SELECT *, greatest(0, least(5, CASE WHEN c < 0.5 THEN greatest(1, base - 1) ELSE base END)) AS threat FROM b) SELECT id, threat, CASE WHEN threat >= 4 AND c >= 0.7 THEN 'urgent: prepare a counter message' WHEN threat >= 4 THEN 'high: verify at once' WHEN threat >= 2 AND novel THEN 'medium: watch the new cluster' WHEN threat >= 2 THEN 'medium: monitor' ELSE 'low: no action' END AS action FROM t")
+@query("p12_p13_threat_recommendation", "WITH x AS (SELECT vec_id AS id, vec_id % 60 / 100 AS p, vec_id % 100 / 100 AS c, vec_id % 7 = 0 AS novel FROM embeddings), b AS (SELECT *, least(5, CAST(floor(p * 10) AS INT)) + CASE WHEN novel THEN 1 ELSE 0 END AS base FROM x), t AS (SELECT *, greatest(0, least(5, CASE WHEN c < 0.5 THEN greatest(1, base - 1) ELSE base END)) AS threat FROM b) SELECT id, threat, CASE WHEN threat >= 4 THEN 'high' WHEN threat >= 2 OR novel THEN 'medium' ELSE 'low' END AS priority, CASE WHEN novel OR (c < 0.5 AND threat < 4) THEN 'review' WHEN threat >= 4 THEN 'monitor_and_counter' WHEN threat >= 2 THEN 'monitor' ELSE 'routine' END AS action FROM t")
 def _(t: Tables):
     n = F.col("id")
     rows = _vectors(t).select("id", (n % 60 / 100).alias("p"), (n % 100 / 100).alias("c"), (n % 7 == 0).alias("novel"))
     rows = rows.withColumn("threat", V.threat_level(F.col("p"), F.col("c"), F.col("novel")))
-    return rows.select("id", "threat", V.recommendation(F.col("threat"), F.col("c"), F.col("novel")).alias("action"))
+    return rows.select("id", "threat", V.recommendation(F.col("threat"), F.col("c"), F.col("novel")).alias("r")).select("id", "threat", "r.priority", "r.action")
 
 
 @query("k5_kmeans")
