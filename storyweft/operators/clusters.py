@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cluster_overview(rows: DataFrame) -> DataFrame:
@@ -41,3 +42,128 @@ def stage_deltas(rows: DataFrame) -> DataFrame:
     before = sizes.select("cluster", F.date_add("day", 1).alias("day"), F.col("size").alias("before"))
     kept_count = F.coalesce("kept", F.lit(0).cast("long"))
     return sizes.join(before, ["cluster", "day"]).join(kept, ["cluster", "day"], "left").select("cluster", "day", "size", (F.col("size") - kept_count).alias("added"), (F.col("before") - kept_count).alias("removed"))
+
+
+def macro_clusters(micro: DataFrame, candidates: range) -> DataFrame:
+    """(micro, macro): k-means over micro cluster centres weighted by their size, with the k of the best silhouette.
+
+    Micro clusters are few; ``micro`` has cluster, centre and n.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = micro.select(F.col("cluster").alias("micro"), array_to_vector(F.col("centre")).alias("features"), F.col("n").cast("double").alias("n")).cache()
+    best, score = None, None
+    for k in candidates:
+        made = KMeans(k=k, seed=42, maxIter=20, weightCol="n").fit(rows).transform(rows)
+        if made.select("prediction").distinct().count() < 2:
+            continue
+        own = ClusteringEvaluator(weightCol="n").evaluate(made)
+        if score is None or own > score:
+            best, score = made, own
+    out = rows.withColumn("prediction", F.lit(0)) if best is None else best
+    return out.select("micro", F.col("prediction").alias("macro"))
+
+
+def reassign_noise(assigned: DataFrame, vectors: DataFrame, centroids: DataFrame, limit: float) -> DataFrame:
+    """(id, cluster) after one more try for noise (-1): the nearest current centre within a limit."""
+    from storyweft.operators.vectors import assign_or_new
+
+    noise = vectors.join(assigned.filter("cluster = -1").select("id"), "id", "left_semi")
+    retried = assign_or_new(noise, centroids, limit).select("id", F.col("cluster").alias("retried"))
+    return assigned.join(retried, "id", "left").select("id", F.coalesce("retried", "cluster").alias("cluster"))
+
+
+def decayed_medoids(medoids: DataFrame, now: Column, rate: float = 0.05) -> DataFrame:
+    """Medoids (cluster, medoid, weight, at) with weights that fall with age in days, and their place in the cluster by weight."""
+    days = (F.unix_seconds(now) - F.unix_seconds(F.col("at").cast("timestamp"))) / 86400.0
+    rows = medoids.withColumn("weight", F.col("weight") * F.exp(-rate * days))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "medoid")))
+
+
+def least_recent(clusters: DataFrame, k: int) -> DataFrame:
+    """The k most recently used clusters (cluster, last_updated); older ones make room for new ones."""
+    return clusters.orderBy(F.desc("last_updated"), "cluster").limit(k)
+
+
+def cross_evidence(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
+    """Members (id) of two clusterings' clusters that overlap above a limit, as evidence for each other (one, two, id, jaccard)."""
+    from storyweft.operators.vectors import member_overlap
+
+    strong = member_overlap(a, b, least)
+    both = a.select("id", F.col("cluster").alias("one")).join(b.select("id", F.col("cluster").alias("two")), "id")
+    return both.join(strong, ["one", "two"]).select("one", "two", "id", "jaccard")
+
+
+def daily_clusters(rows: DataFrame, least: int = 3) -> DataFrame:
+    """Mean vector of each day's items (id, day, vector) that has at least so many; what day clusters are merged by."""
+    from storyweft.operators.vectors import mean_vectors
+
+    return mean_vectors(rows.select("day", "vector"), "day").filter(F.col("size") >= least)
+
+
+def merged_by_centre(centres: DataFrame, limit: float) -> DataFrame:
+    """(key, cluster): centres (key, vector) whose cosine distance is below a limit share a cluster, named by the smallest key.
+
+    Centres are one for each day or sequence; pairs are found by a checked broadcast list.
+    """
+    from storyweft.functions.lineage import cut
+    from storyweft.operators.graph import connected_components
+    from storyweft.operators.vectors import _listed, cosine_distance
+
+    centres = cut(centres.select("key", "vector"))
+    listed = _listed(centres.select(F.col("key").alias("b"), F.col("vector").alias("v")), 10_000, "centres", "b", "v")
+    near = F.filter("listed", lambda c: (c["b"] > F.col("key")) & (F.round(cosine_distance(F.col("vector"), c["v"]), 9) < limit))
+    pairs = centres.join(F.broadcast(listed)).select(F.col("key").alias("a"), F.explode(near).alias("c")).select("a", "c.b")
+    labels = connected_components(pairs).select(F.col("node").alias("key"), "component")
+    return centres.select("key").join(labels, "key", "left").select("key", F.coalesce("component", "key").alias("cluster"))
+
+
+def coordinated_profiles(profiles: DataFrame, radius: float = 1.5, least: int = 3) -> DataFrame:
+    """(narrative_id, cluster, size): groups of at least ``least`` narratives with close profiles (narrative_id, p: array).
+
+    Two profiles link when their distance is at most the radius; groups are the components, whatever
+    the order. Candidates meet in cells of the radius along the first two dimensions and those beside.
+    """
+    from storyweft.functions.lineage import cut
+    from storyweft.operators.graph import connected_components
+    from storyweft.operators.joins import pairs_within
+    from storyweft.operators.vectors import euclidean
+
+    cell = lambda i: F.floor(F.element_at("p", i) / radius)
+    near = F.array(*(F.struct((cell(1) + x).alias("x"), (cell(2) + y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    home = profiles.select("narrative_id", F.struct(cell(1).alias("x"), cell(2).alias("y")).alias("cell"))
+    seen = home.select("cell").distinct()
+    placed = profiles.select("narrative_id", F.explode(near).alias("cell")).join(seen, "cell", "left_semi")
+    pairs = pairs_within(placed, "cell", "narrative_id").select("a", "b").distinct()
+    one, two = profiles.select(F.col("narrative_id").alias("a"), F.col("p").alias("pa")), profiles.select(F.col("narrative_id").alias("b"), F.col("p").alias("pb"))
+    linked = pairs.join(one, "a").join(two, "b").filter(F.round(euclidean(F.col("pa"), F.col("pb")), 9) <= radius).select("a", "b")
+    labels = cut(connected_components(linked))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
+    return labels.join(sizes, "component").select(F.col("node").alias("narrative_id"), F.col("component").alias("cluster"), "size")
+
+
+def cluster_alerts(unstable: DataFrame, novel: DataFrame, escalated: DataFrame, most: int = 5) -> DataFrame:
+    """Alerts (kind, item, at) on all unstable clusters, the newest novel and the newest escalated items."""
+
+    def newest(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), "item", "at")
+
+    top = lambda rows: rows.orderBy(F.desc("at"), "item").limit(most)
+    return newest(unstable, "stability_alert").unionByName(newest(top(novel), "novelty_alert")).unionByName(newest(top(escalated), "escalation_alert"))
+
+
+def item_analysis(clusters: DataFrame, votes: DataFrame, most: int = 10) -> DataFrame:
+    """Each item's cluster by algorithm (id, algorithm, cluster) with its size and first co-members, and the ensemble's cluster (id, cluster)."""
+    sizes = clusters.groupBy("algorithm", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    place = F.row_number().over(Window.partitionBy("algorithm", "cluster").orderBy("id"))
+    first = clusters.withColumn("place", place).filter(F.col("place") <= most + 1).groupBy("algorithm", "cluster").agg(F.sort_array(F.collect_list("id")).alias("first"))  # ``most`` + 1 each
+    rows = clusters.join(sizes, ["algorithm", "cluster"]).join(first, ["algorithm", "cluster"])
+    others = F.slice(F.filter("first", lambda x: x != F.col("id")), 1, most)
+    return rows.join(votes.select("id", F.col("cluster").alias("ensemble")), "id").select("id", "algorithm", "cluster", "size", F.array_join(F.transform(others, lambda x: x.cast("string")), ",").alias("co_members"), "ensemble")
+
+
+def write_back(results: DataFrame, stored: DataFrame) -> DataFrame:
+    """Latest result of each narrative (narrative_id, run_at, cluster) after a run's are appended."""
+    return stored.unionByName(results).groupBy("narrative_id").agg(F.max_by("cluster", "run_at").alias("cluster"), F.max("run_at").alias("run_at"))

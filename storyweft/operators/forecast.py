@@ -241,6 +241,14 @@ def key_factors(facts: DataFrame) -> DataFrame:
     return facts.select(KEY, F.posexplode(listed).alias("at", "f")).select(KEY, (F.col("at") + 1).alias("place"), "f.factor", "f.value", "f.impact")
 
 
+def next_occurrence(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """When each pattern (keys, instance_id, at in seconds) is due again: its last time plus the mean gap, give or take a deviation of the gaps."""
+    gap = F.col("at") - F.lag("at").over(Window.partitionBy(*keys).orderBy("at", "instance_id"))
+    out = rows.withColumn("gap", gap).groupBy(*keys).agg(F.max("at").alias("last"), F.avg("gap").alias("mean"), F.coalesce(F.stddev_samp("gap"), F.lit(0.0)).alias("sd"))
+    due = F.col("last") + F.col("mean")
+    return out.filter("mean IS NOT NULL").select(*keys, due.alias("expected"), (due - F.col("sd")).alias("earliest"), (due + F.col("sd")).alias("latest"))
+
+
 def seasonality(acf: DataFrame, least: float = 0.3, common: tuple[int, ...] = (1, 7, 14, 30)) -> DataFrame:
     """Lags whose autocorrelation is a local peak of at least ``least``: the highest of each key, and the nearest common period."""
     w = Window.partitionBy(KEY).orderBy("lag")

@@ -56,13 +56,15 @@ def key_phrases(texts: DataFrame, k: int) -> DataFrame:
 def tfidf(texts: DataFrame, max_features: int, stop_words: Sequence[str] = ()) -> DataFrame:
     """(narrative_id, word, weight): the most frequent words, smoothed idf, unit length.
 
-    Words are counted within each text's row; only totals by word, and then the chosen words' weights, are shuffled.
+    Totals by word choose the vocabulary; only its words are then counted by text, so no other word is shuffled with its text.
     """
-    counts = _term_counts(texts, _own_words(stop_words, 2)).select(KEY, F.inline_outer("counts")).withColumnRenamed("term", "word").filter("word is not null")
-    top = counts.groupBy("word").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "word").limit(max_features)
+    own = texts.select(KEY, F.explode_outer(_own_words(stop_words, 2)).alias("word")).filter("word is not null")
+    top = own.groupBy("word").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "word").limit(max_features)
+    counts = own.join(F.broadcast(top.select("word")), "word").groupBy(KEY, "word").agg(F.count(F.lit(1)).alias("n"))  # max_features rows
     n = texts.agg(F.count(F.lit(1)).alias("docs"))  # one row
-    idf = top.join(F.broadcast(n)).select("word", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "word").select(KEY, "word", (F.col("n") * F.col("idf")).alias("w"))  # max_features rows
+    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.join(F.broadcast(n)).select("word", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = counts.join(F.broadcast(idf), "word").select(KEY, "word", (F.col("n") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(KEY)))
     return raw.select(KEY, "word", (F.col("w") / norm).alias("weight"))
 
