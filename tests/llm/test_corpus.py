@@ -122,7 +122,9 @@ def test_gru_is_a_distribution_and_keeps_state():
     for t, got in zip(texts, together, strict=True):
         h, want, before = np.zeros((1, 8), np.float32), 0.0, 0
         for x in t:
-            h = model.step(model.p["input"][[before]], h)[3]
+            new = np.empty_like(h)
+            model.step(model.p["input"][[before]], h, np.empty((1, 24), np.float32), np.empty_like(h), new)
+            h = new
             want += model.log_probabilities(h, np.array([x]))[0]
             before = x
         assert got == pytest.approx(want, rel=1e-4)
@@ -415,5 +417,248 @@ def test_pipeline(spark, docs, data):
     assert {r["doc_id"] for r in kept.collect()} == set(after)
 
 
+CONTRACT = {
+    1: {"doc_id": "bigint", "size": None, "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    2: {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    3: {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    4: {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    5: {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    6: {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    7: {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    8: {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    9: {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    10: {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+}
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query_keeps_its_contract(spark, data, name):
+    number = int(re.match(r"op(\d+)_", name)[1])
+    rows = QUERIES[name](spark, data)
+    kinds = dict(rows.dtypes)
+    for column, kind in CONTRACT[number].items():
+        assert column in kinds and kind in (None, kinds[column]), (column, kinds)
+    got = rows.collect()
+    table = "pages" if number == 2 else "embeddings" if number in (7, 10) else "documents"
+    key = "page_id" if number == 2 else "vec_id" if number in (7, 10) else "doc_id"
+    source = spark.read.parquet(f"{data}/{table}.parquet")
+    if number == 7:
+        asked = {r["vec_id"] for r in source.filter("vec_id % 50 = 0 AND embedding IS NOT NULL").select("vec_id").collect()}
+        assert {r["query_id"] for r in got} == asked and len(got) == 5 * len(asked)
+    elif number == 8:
+        assert {r["doc_id"] for r in got} == {r["doc_id"] for r in source.select("doc_id").collect()}
+        assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+    else:
+        assert sorted(r[key] for r in got) == sorted(r[key] for r in source.select(key).collect())
+    if number in (3, 4):
+        divisor = 7 if number == 3 else 4
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % divisor == 2) for r in got)
+    if number == 6:
+        text = {r["doc_id"]: r["text"] or "" for r in source.collect()}
+        for r in got:
+            assert r["base_sha256"] == hashlib.sha256(base_pii(text[r["doc_id"]]).encode()).hexdigest()
+            assert r["spans"] == base_pii(text[r["doc_id"]])  # these texts hold no pattern that could be learned
+
+
+def test_recall_of_the_neighbour_query(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], r["embedding"], None) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    good = [(i, np.array(v, float)) for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+    ids, m = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    found = defaultdict(set)
+    for r in QUERIES["op7_hilbert_neighbours"](spark, folder).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = total = 0
+    for q in ids[ids % 50 == 0]:
+        score = m @ m[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -9
+        best = {int(i) for i in ids[np.lexsort((ids, -score))[:5]]}
+        hits, total = hits + len(best & found[q]), total + 5
+    assert hits / total >= 0.9
+
+
+def test_neighbours_of_ties_repeats_and_singles(spark):
+    rows = [(i, [1.0, 0.0], 0) for i in (4, 2, 9, 2)] + [(50, [1.0, 0.0], 0), (50, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (100, [3.0], 0), (150, None, 0)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hilbert.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0, 3).collect())
+    assert [x[:3] for x in got if x[0] == 50] == [(50, 1, 2), (50, 2, 4), (50, 3, 9)] and all(x[3] == 1.0 for x in got)
+    assert not [x for x in got if x[0] in (100, 150)]
+    one = vectors(spark, [(50, [1.0, 2.0], 0)])
+    assert hilbert.nearest(one, F.lit(True), 5).count() == 0
+
+
+def test_visitors_are_dealt_to_bounded_tasks(spark, clustered):
+    _, df = clustered
+    want = sorted(map(tuple, hilbert.nearest(df, F.col("vec_id") % 20 == 0, 3).collect()))
+    got = sorted(map(tuple, hilbert.nearest(df, F.col("vec_id") % 20 == 0, 3, block=100, visitors=7).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want], rel=1e-12)
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_rearranged_words_have_other_hashes(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x y {one} z w"), (2, f"x y {two} z w"), (3, f"x y {one} z w")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    scored = {r["doc_id"]: r for r in gru_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 1, rounds=1).collect()}
+    assert (scored[1]["n_known"], scored[2]["n_known"], scored[3]["n_known"]) == (6, 5, 6)  # with the end
+
+
+def test_groups_of_a_token_meet_in_chunks(spark):
+    rows = spark.createDataFrame([(t, g) for t in (1, 2) for g in range(30)], "token long, group long")
+    sizes = spark.createDataFrame([(g, 10 if g < 20 else 100, 10 if g < 20 else 100) for g in range(30)], "group long, least long, most long")
+    got = sorted(map(tuple, jaccard_join.meetings(rows, sizes, 75, meeting=4).collect()))
+    assert got == [(a, b) for a in range(30) for b in range(a + 1, 30) if (a < 20) == (b < 20)]
+
+
+def naive_kneser_ney(texts, order):
+    """Interpolated Kneser-Ney as its definition says, over folded texts; log-probability of a character by its context."""
+    tables = []
+    for k in range(order):
+        grams = Counter()
+        if k == order - 1:
+            for t in texts:
+                p = "^" * (order - 1) + t
+                grams.update(p[i : i + order] for i in range(len(t)))
+        else:
+            longer = set()
+            for t in texts:
+                p = "^" * order + t
+                longer |= {p[i + order - k - 1 : i + order + 1] for i in range(len(t))}
+            grams.update(g[1:] for g in longer)
+        ones, twos = sum(c == 1 for c in grams.values()), sum(c == 2 for c in grams.values())
+        tables.append((grams, ones / (ones + 2 * twos) if ones and twos else 0.5))
+
+    def probability(gram, uniform):
+        k = len(gram) - 1
+        grams, discount = tables[k]
+        own = {g: c for g, c in grams.items() if g[:-1] == gram[:-1]}
+        below = uniform if k == 0 else probability(gram[1:], uniform)
+        if not own:
+            return below
+        total = sum(own.values())
+        return max(own.get(gram, 0) - discount, 0) / total + discount * len(own) / total * below
+
+    return tables, probability
+
+
+def test_language_models_are_kneser_ney():
+    rng = random.Random(8)
+    texts = {"x": [" " + "".join(rng.choice("abc ") for _ in range(60)).replace("  ", " ").strip() for _ in range(12)], "y": [" " + "".join(rng.choice("abdd ") for _ in range(60)).replace("  ", " ").strip() for _ in range(12)]}
+    for name in texts:
+        texts[name] = [re.sub(" +", " ", t) for t in texts[name]]
+    models = langid.fit({k: [t[1:] for t in v] for k, v in texts.items()}, 3)
+    letters = len({c for v in texts.values() for t in v for c in t})
+    for j, name in enumerate(models.languages):
+        kept = [t for i, t in enumerate(texts[name]) if i % langid.CALIBRATION]
+        _, probability = naive_kneser_ney(kept, 3)
+        for t in (" abca b", " ddabc", " bbb"):
+            padded = "^^" + t
+            want = -sum(math.log(probability(padded[i : i + 3], 1 / (4 * max(2, letters)))) for i in range(len(t))) / len(t)
+            assert models.entropies(pa.array([t[1:]]))[0][0, j] == pytest.approx(want, rel=1e-4), (name, t)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_rejection_works_at_every_size(spark, folder):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    models = langid.train(docs)
+    rng = random.Random(4)
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(n)) for n in (30, 60, 200, 2000)] + ["Это русский текст о погоде и природе нашей страны", "これは日本語の文章です。漢字も仮名もあります"]
+    rows = langid.identify(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), models).collect()
+    assert all(r["rejected"] for r in rows)
+    assert langid.filter_identified(docs, models).count() >= 0.99 * docs.count()
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    words_of = {"p": "alpha beta gamma delta", "q": "uno dos tres cuatro"}
+    rows = [(i, " ".join(random.Random(i).choice(words_of[lang].split()) for _ in range(8000)), lang) for i, lang in enumerate("pq" * 6)]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.languages == ["p", "q"] and models.predict(pa.array(["beta gamma alpha", "tres dos uno"]))[0] == ["p", "q"]
+
+
+def test_pii_second_generation(spark):
+    texts = [f"Please call me +1 (386) 555-{i:04d} today" for i in range(30)]
+    texts += [f"Please call me 386 777 {i:04d} today" for i in range(12)]
+    texts += [f"they should ring 386 777 {i:04d} now" for i in range(12)] + [f"they should ring 212 888 {i:04d} now" for i in range(5)]
+    texts += [f"in year 386 999 {i:04d} now" for i in range(5)] + [f"one of the {w} things" for w in ("red", "blue")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = pii.learn_patterns(df)
+    assert patterns == {"phone": ["call me", "should ring"]}  # the second one stands before no seed
+    got = [r["s"] for r in pii.find(df, patterns).orderBy("doc_id").select(pii.digest(F.col("spans")).alias("s")).collect()]
+    assert got[30] == "phone:15:27" and got[45] == got[57] == "phone:17:29" and not any(got[59:])
+    both = spark.createDataFrame([(1, texts[0], "b", "k"), (1, texts[0], "b", "k"), (2, None, None, None), (3, "", "", "")], "doc_id long, text string, base string, kind string")
+    rows = pii.mask_documents(both, patterns).collect()
+    assert sorted(str(r["text"]) for r in rows) == ["", "None", "Please call me <PHONE> today", "Please call me <PHONE> today"] and rows[0]["base"] is not None
+
+
+def test_warc_ties_and_clashing_names(spark):
+    big = "y" * 2000
+    rows = [(3, "u", big, 1, "t"), (3, "v", big, 2, "t"), (1, "u", big, 3, "t"), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, salt int, top string").withColumn("n", F.lit(0))
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read_bundles(warc.archive(pages)).collect())
+    assert [g[0] for g in got] == [0, 1, 3, 3] and (1, "revisit", 3) in got and got[0] == (0, "response", None)
+    assert sum(g[:2] == (3, "response") for g in got) >= 1
+
+
+def test_packing_places_by_least_squares():
+    rng = np.random.default_rng(9)
+    packer = packing.SumOfSquares(window=64)
+    for d in range(300):
+        before = packer.levels.copy()
+        size = int(rng.integers(1, 64))
+        packer.add((d, size), b"\1\0\0\0" * size)
+        after = packer.levels.copy()
+
+        def cost(level):
+            n = before.copy()
+            if level:
+                n[level] -= 1
+            if level + size < 64:
+                n[level + size] += 1
+            return (n**2).sum()
+
+        options = [0, *[h for h in range(1, 65 - size) if before[h]]]
+        assert (after**2).sum() == min(map(cost, options))
+
+
+def test_packing_repeats_and_clashing_names(spark):
+    file = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.createDataFrame([(1, "a b c", 0, 0)] * 3 + [(None, None, 0, 0)], "doc_id long, text string, start int, offset int")
+    got = packing.pack_documents(rows, file).collect()
+    assert sum(r["length"] for r in got) == 3 * 4 + 1 and sum(r["doc_id"] is None for r in got) == 1
+
+
+def test_double_vectors_keep_their_digits(spark):
+    angle = math.acos(0.98)
+    rows = [(0, [1.0, 0.0], 1), (1, [math.cos(angle * (1 + 1e-9)), math.sin(angle * (1 + 1e-9))], 1), (2, [math.cos(angle * (1 - 1e-9)), -math.sin(angle * (1 - 1e-9))], 1)]
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_pipeline_stages_on_edge_cases(spark):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, f"the quick brown fox number{i} jumps over lazy dogs and cats", "en", "s", 5) for i in range(30)] + [(40, None, "en", "s", 0), (41, "", "en", "s", 0), (42, "12 34", None, None, None), (None, "the lazy dog jumps over", "en", "s", 1), (7, "the quick brown fox number7 jumps over lazy dogs and cats", "en", "s", 5)]
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        kept = df
+        for name, stage in cp.STAGES:
+            kept = cp.stored(stage(spark, kept, "unused"), "test")
+            if name != "packing":
+                assert kept.columns == df.columns
+            if name == "language_id":
+                assert not {40, 41, 42} & {r["doc_id"] for r in kept.collect()}
+        assert bool(kept.count()) == bool(df.count())
+    with pytest.raises(ValueError):
+        cp.keep_identified(spark, spark.createDataFrame([(1, "some text", None, None, 9)], schema), "unused")
+
+
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
