@@ -137,9 +137,8 @@ INDICATORS = {
 }
 
 
-def indicator_score(texts: DataFrame, claims: Column, phrases: dict[str, Sequence[str]] | None = None, default: str = "en") -> DataFrame:
-    """.7 phrase hits / 5, .15 length / 500, .15 claims / 3, each at most 1; phrases by the text's language, ``claims`` is their number."""
-    phrases = phrases or INDICATORS
+def score_columns(claims: Column, phrases: dict[str, Sequence[str]], default: str = "en") -> Column:
+    """.7 phrase hits / 5, .15 length / 500, .15 claims / 3, each at most 1, of the columns ``text`` and ``language``."""
     low = F.lower("text")
     count = lambda terms: sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in terms), F.lit(0))
     hits = count(phrases[default])
@@ -147,8 +146,12 @@ def indicator_score(texts: DataFrame, claims: Column, phrases: dict[str, Sequenc
         if language != default:
             hits = F.when(F.col("language") == language, count(terms)).otherwise(hits)
     cap = lambda x: F.least(F.lit(1.0), x)
-    score = 0.7 * cap(hits / 5) + 0.15 * cap(F.length("text") / 500) + 0.15 * cap(claims / 3)
-    return texts.select(KEY, score.alias("score"))
+    return 0.7 * cap(hits / 5) + 0.15 * cap(F.length("text") / 500) + 0.15 * cap(claims / 3)
+
+
+def indicator_score(texts: DataFrame, claims: Column, phrases: dict[str, Sequence[str]] | None = None, default: str = "en") -> DataFrame:
+    """Score of each text by the phrases of its language; ``claims`` is the number of its claims."""
+    return texts.select(KEY, score_columns(claims, phrases or INDICATORS, default).alias("score"))
 
 
 def _is_claim(sentence: Column, verbs: Sequence[str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,15 +41,50 @@ def first_posts(posts: DataFrame, key: str = "title", late: str = "1 day") -> Da
     return posts.withWatermark("detected_at", late).dropDuplicatesWithinWatermark([key])
 
 
-def detect_stream(posts: DataFrame, phrases: list[str], claims: list[str], threshold: float = 0.75) -> DataFrame:
-    """Scores of each post as it arrives (a narrow job)."""
-    from storyweft.functions.text import detect_language
+def detect_stream(posts: DataFrame, verbs: Sequence[str], phrases: dict[str, Sequence[str]] | None = None, threshold: float = 0.75) -> DataFrame:
+    """Language, score and flag of each post as it arrives, by the phrases of its language (a narrow job)."""
+    from storyweft.functions.text import detect_language, sentences
+    from storyweft.operators.text import INDICATORS, _is_claim, score_columns
 
-    low = F.lower("text")
-    hits = lambda terms: sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in terms), F.lit(0))
-    cap = lambda x: F.least(F.lit(1.0), x)
-    score = 0.7 * cap(hits(phrases) / 5) + 0.15 * cap(F.length("text") / 500) + 0.15 * cap(hits(claims) / 3)
-    return posts.withColumn("language", detect_language(F.col("text"))).withColumn("score", score).withColumn("flagged", F.col("score") >= threshold)
+    claims = F.size(F.filter(sentences(F.col("text")), lambda s: _is_claim(s, verbs)))
+    rows = posts if "language" in posts.columns else posts.withColumn("language", detect_language(F.col("text")))
+    return rows.withColumn("score", score_columns(claims, phrases or INDICATORS)).withColumn("flagged", F.col("score") >= threshold)
+
+
+def detect(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], verbs: Sequence[str], hours: float = 1.0, interval: str | None = "300 seconds", **options) -> StreamingQuery:
+    """Hand the flagged posts of each micro-batch's last hour to a sink."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        newest = batch.agg(F.max("detected_at").alias("newest"))  # one row
+        recent = batch.join(F.broadcast(newest)).filter(F.unix_micros(F.col("detected_at").cast("timestamp")) >= F.unix_micros(F.col("newest").cast("timestamp")) - int(hours * 3.6e9)).drop("newest")
+        sink(detect_stream(recent, verbs, **options).filter("flagged"), number)
+
+    return run_into(stream, checkpoint, step, interval)
+
+
+def counter(stream: DataFrame, checkpoint: str, narratives: Callable[[], DataFrame], counters: Callable[[], DataFrame], templates: dict[str, Sequence[str]], sink: Callable[[DataFrame, int], None], most: int = 5, interval: str | None = "900 seconds") -> StreamingQuery:
+    """With each micro-batch, write drafts for the most threatening narratives (with text and language) that lack an approved counter."""
+    from storyweft.operators.joins import uncountered
+    from storyweft.operators.text import template_counter
+
+    def step(batch: DataFrame, number: int) -> None:
+        touched = batch.select(KEY).distinct()
+        open_ones = uncountered(narratives().join(touched, KEY, "left_semi"), counters(), most)
+        sink(template_counter(open_ones.select(KEY, "text", "language"), templates).withColumn("status", F.lit("draft")), number)
+
+    return run_into(stream, checkpoint, step, interval)
+
+
+def with_late_rows(stream: DataFrame, checkpoint: str, latest: Callable[[], DataFrame], on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], hours: float = 1.0, interval: str | None = None) -> StreamingQuery:
+    """Part each micro-batch: rows more than so many hours before the latest seen so far (one row, column ``at``) go to a side table."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        seen = latest().agg(F.max("at").alias("seen"))  # one row
+        marked = batch.join(F.broadcast(seen)).withColumn("is_late", F.coalesce(F.unix_micros(F.col("detected_at").cast("timestamp")) < F.unix_micros(F.col("seen").cast("timestamp")) - int(hours * 3.6e9), F.lit(False))).drop("seen")
+        on_time(marked.filter("NOT is_late").drop("is_late"), number)
+        late(marked.filter("is_late").drop("is_late"), number)
+
+    return run_into(stream, checkpoint, step, interval)
 
 
 def deduplicated_alerts(alerts: DataFrame, quiet: str = "5 minutes") -> DataFrame:
@@ -121,6 +156,61 @@ def micro_cluster_step(state: DataFrame, batch: DataFrame, radius: float) -> Dat
     return centre.join(both.groupBy("cluster").agg(F.sum("size").alias("n"), F.max("at").alias("at")), "cluster")
 
 
+def medoid_step(state: DataFrame, batch: DataFrame, threshold: float, k: int, rate: float = 0.05) -> DataFrame:
+    """Medoid state (cluster, medoid, vector, weight, at) after a micro-batch (id, vector, at).
+
+    Weights fall with age up to the batch's newest time. A row within the threshold of a cluster refreshes
+    it as a medoid of weight 1; all others become clusters of their own. The ``k`` clusters used last stay.
+    The whole batch is judged by the state at its start.
+    """
+    from storyweft.operators.clusters import decayed_medoids, least_recent
+    from storyweft.operators.vectors import medoid_assign
+
+    now = batch.unionByName(state.select(F.col("medoid").alias("id"), "vector", "at")).agg(F.max("at").alias("now")).first()["now"]  # one value
+    old = decayed_medoids(state, F.lit(now).cast("timestamp"), rate).drop("place")
+    near = medoid_assign(batch.select("id", "vector"), old.select("cluster", "vector", "weight"), threshold)
+    rows = batch.join(near.select("id", "cluster"), "id")
+    new = rows.select(F.when(F.col("cluster") == -1, -F.col("id") - 2).otherwise(F.col("cluster")).cast("long").alias("cluster"), F.col("id").alias("medoid"), "vector", F.lit(1.0).alias("weight"), "at")
+    both = old.select(*new.columns).unionByName(new)
+    kept = least_recent(both.groupBy("cluster").agg(F.max("at").alias("last_updated")), k)
+    return both.join(kept.select("cluster"), "cluster", "left_semi")
+
+
+def retry_outliers(buffer: DataFrame, centroids: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """(assigned, left): buffered outliers (id, vector) that a current centre now takes, and those still out."""
+    from storyweft.operators.vectors import assign_or_new
+
+    near = assign_or_new(buffer.select("id", "vector"), centroids, limit)
+    rows = buffer.join(near.select("id", "cluster"), "id")
+    return rows.filter("cluster <> -1"), rows.filter("cluster = -1").drop("cluster")
+
+
+def snapshots_kept(snapshots: DataFrame, keep: int = 100) -> DataFrame:
+    """The newest ``keep`` snapshots (snapshot_id, ...) of a state table; earlier ones are dropped."""
+    numbers = snapshots.select("snapshot_id").distinct().orderBy(F.desc("snapshot_id")).limit(keep)
+    return snapshots.join(F.broadcast(numbers), "snapshot_id", "left_semi")  # ``keep`` rows
+
+
+def ensemble_step(batch: DataFrame, centroids: DataFrame, medoids: DataFrame, micro: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), limit: float = 0.6) -> DataFrame:
+    """One cluster for each item of a micro-batch (id, vector): centroid, medoid and micro cluster assignments vote.
+
+    The same function over a whole table, or over its recent part, is the full and the recent re-run.
+    """
+    from storyweft.operators.vectors import assign_or_new, ensemble_vote, medoid_assign
+
+    rows = batch.select("id", "vector")
+    a = assign_or_new(rows, centroids, limit).select("id", "cluster", (1 - F.col("distance")).alias("confidence"), F.lit(weights[0]).alias("weight"))
+    b = medoid_assign(rows, medoids, limit).select("id", "cluster", "confidence", F.lit(weights[1]).alias("weight"))
+    c = assign_or_new(rows, micro, limit).select("id", "cluster", (1 - F.col("distance")).alias("confidence"), F.lit(weights[2]).alias("weight"))
+    votes = [v.select("id", F.col("cluster").cast("long").alias("cluster"), "confidence", "weight") for v in (a, b, c)]
+    return ensemble_vote(votes[0].unionByName(votes[1]).unionByName(votes[2]))
+
+
+def rerun(items: DataFrame, step: Callable[[DataFrame], DataFrame], since: str | None = None) -> DataFrame:
+    """A batch re-run of a step over all items, or those from a time on (column ``at``)."""
+    return step(items if since is None else items.filter(F.col("at") >= F.lit(since).cast("timestamp")))
+
+
 def latest_status(changes: DataFrame) -> DataFrame:
     """Latest status of each job from its change stream (batch or complete mode)."""
     return changes.groupBy("job_id").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
