@@ -252,3 +252,27 @@ def decompose(series: DataFrame, period: int) -> DataFrame:
     level = rows.groupBy(KEY, "phase").agg(F.first("mean").alias("m")).groupBy(KEY).agg(F.avg("m").alias("level"))
     rows = rows.join(level, KEY).withColumn("seasonal", F.col("mean") - F.col("level"))
     return rows.select(KEY, DAY, "trend", "seasonal", (F.col(Y) - F.col("trend") - F.col("seasonal")).alias("residual"))
+
+
+def detect_patterns(daily: DataFrame, deviations: float = 2.0, least: int = 3) -> DataFrame:
+    """Segments of each narrative's daily counts (narrative_id, day, n): kind, first day, days.
+
+    ``spike``: days above the mean by so many standard deviations; ``growth`` and ``decay``: at least
+    ``least`` days in a row that rise or fall; ``quiet``: at least so many days without a post. Days in a
+    row are found by their distance from their rank.
+    """
+    own, by_day = Window.partitionBy("narrative_id"), Window.partitionBy("narrative_id").orderBy("day")
+    before = F.lag("n").over(by_day)
+    usual = F.round(F.avg("n").over(own) + deviations * F.stddev_pop("n").over(own), 9)
+    marked = daily.select("narrative_id", "day", (F.col("n") > usual).alias("spike"), (F.col("n") > before).alias("growth"), (F.col("n") < before).alias("decay"), (F.col("n") == 0).alias("quiet"))
+    long = marked.unpivot(["narrative_id", "day"], ["spike", "growth", "decay", "quiet"], "kind", "here").filter("here")
+    rank = F.row_number().over(Window.partitionBy("narrative_id", "kind").orderBy("day"))
+    runs = long.withColumn("run", F.date_sub("day", rank)).groupBy("narrative_id", "kind", "run").agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("days"))
+    return runs.filter((F.col("kind") == "spike") | (F.col("days") >= least)).select("narrative_id", "kind", "first_day", "days")
+
+
+def pattern_table(segments: DataFrame) -> DataFrame:
+    """Occurrences of each kind of segment in each narrative, mean length, and mean days between their starts (null for one)."""
+    gap = F.datediff("first_day", F.lag("first_day").over(Window.partitionBy("narrative_id", "kind").orderBy("first_day")))
+    rows = segments.withColumn("gap", gap)
+    return rows.groupBy("narrative_id", "kind").agg(F.count(F.lit(1)).alias("occurrences"), F.avg("days").alias("mean_days"), F.avg("gap").alias("avg_interval"))

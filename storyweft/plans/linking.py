@@ -162,3 +162,16 @@ def _(t: Tables):
     rows = t.instances.select("narrative_id", "platform", "instance_id", (F.unix_micros(F.col("detected_at").cast("timestamp")) / 1e6).alias("at"))
     out = P.next_occurrence(rows, ["narrative_id", "platform"])
     return out.select("narrative_id", "platform", *(F.round(c, 3).alias(c) for c in ("expected", "earliest", "latest")))
+
+
+@query("k2_ann_inverted_lists")
+def _(t: Tables):
+    rows = _vectors(t).drop("cluster")
+    indexed, centroids = V.inverted_lists(rows, 20)
+    return _R(V.probe(rows.select(F.col("id").alias("query_id"), "vector"), indexed, centroids, 3, 5), "distance")
+
+
+@query("k25_feature_importance")
+def _(t: Tables):
+    rows = _vectors(t)
+    return _R(V.feature_importance(rows.drop("cluster"), rows.select("id", "cluster")), "importance")

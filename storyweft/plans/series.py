@@ -139,3 +139,11 @@ def _(t: Tables):
 @query("t17_global_anomaly", """WITH z AS (SELECT narrative_id, day, n, CASE WHEN STDDEV_POP(n) OVER w > 0 THEN abs(n - AVG(n) OVER w) / STDDEV_POP(n) OVER w ELSE 0.0 END AS z FROM daily WINDOW w AS (PARTITION BY narrative_id)) SELECT narrative_id, day, n, ROUND(z, 6) AS z, z > 2.5 AS is_anomaly FROM z""", dates="day")
 def _(t: Tables):
     return _R(S.global_anomaly(t.daily, 2.5), "z")
+
+
+_SEGMENTS = "m AS (SELECT narrative_id, day, n > ROUND(AVG(n) OVER (PARTITION BY narrative_id) + 2 * STDDEV_POP(n) OVER (PARTITION BY narrative_id), 9) AS spike, n > LAG(n) OVER (PARTITION BY narrative_id ORDER BY day) AS growth, n < LAG(n) OVER (PARTITION BY narrative_id ORDER BY day) AS decay, n = 0 AS quiet FROM daily), l AS (SELECT narrative_id, day, kind FROM m UNPIVOT (here FOR kind IN (spike, growth, decay, quiet)) WHERE here), r AS (SELECT *, day - CAST(ROW_NUMBER() OVER (PARTITION BY narrative_id, kind ORDER BY day) AS INT) AS run FROM l), seg AS (SELECT narrative_id, kind, MIN(day) AS first_day, COUNT(*) AS days FROM r GROUP BY narrative_id, kind, run HAVING kind = 'spike' OR COUNT(*) >= 3)"
+
+
+@query("t28_detect_patterns", f"WITH {_SEGMENTS}, g AS (SELECT *, date_diff('day', LAG(first_day) OVER (PARTITION BY narrative_id, kind ORDER BY first_day), first_day) AS gap FROM seg) SELECT narrative_id, kind, COUNT(*) AS occurrences, ROUND(AVG(days), 6) AS mean_days, ROUND(AVG(gap), 6) AS avg_interval FROM g GROUP BY 1, 2")
+def _(t: Tables):
+    return _R(S.pattern_table(S.detect_patterns(t.daily)), "mean_days", "avg_interval")
