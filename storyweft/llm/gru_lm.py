@@ -39,7 +39,7 @@ VOCABULARY, CLASSES, HIDDEN = 4096, 32, 32
 ROUNDS, FAN = 4, 64
 #: Most lanes in training, tokens that a lane is to have, steps of a window, Adagrad's rate, longest part of a text.
 LANES, LANE_TOKENS, WINDOW, RATE, LONGEST = 256, 512, 24, 0.05, 2048
-SCORING_LANES = 512
+SCORING_LANES, SCORING_WINDOW = 512, 32
 FREQUENT_SHARE = 1e-6
 #: Tokens between flushes of counts; rare words that a bucket is to hold.
 FLUSH, BUCKET = 3_000_000, 2_000_000
@@ -103,10 +103,6 @@ class Vocabulary:
         return np.where(self.hashes[at] == tokens, self.symbols[at], self.rare)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * 0.5) * 0.5 + 0.5
-
-
 @dataclass
 class Lanes:
     """Texts run side by side: a grid of steps and lanes in step-major order, lanes by falling length."""
@@ -148,6 +144,10 @@ class Lanes:
     def steps(self) -> int:
         return len(self.base) - 1
 
+    def widest(self, window: int) -> int:
+        """Most places of so many steps; the first ones have the most lanes."""
+        return int(self.base[min(window, self.steps)])
+
 
 def class_borders(counts: np.ndarray, classes: int) -> np.ndarray:
     """Where each class of the symbols (by falling count) starts: classes of about equal sums of the counts' roots, so frequent words stand in small ones."""
@@ -188,23 +188,22 @@ class Gru:
                 at += x.size
         return self
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(reset and update gates, candidate, its recurrent part, new state)."""
+    def step(self, x: np.ndarray, h: np.ndarray, g: np.ndarray, n: np.ndarray, new: np.ndarray) -> None:
+        """One step into given rows: g gets the reset and update gates and the candidate's recurrent part, n the candidate, new the state."""
         k = self.hidden
-        g = h @ self.p["recurrent"]
-        rz, gn = g[:, : 2 * k], g[:, 2 * k :]
+        np.matmul(h, self.p["recurrent"], out=g)
+        rz = g[:, : 2 * k]
         rz += x[:, k:]
-        rz *= 0.5
-        np.tanh(rz, out=rz)
-        rz *= 0.5
-        rz += 0.5
-        n = rz[:, :k] * gn
+        np.negative(rz, out=rz)
+        np.exp(rz, out=rz)  # the logistic function; beyond single precision it is 0
+        rz += 1
+        np.reciprocal(rz, out=rz)
+        np.multiply(rz[:, :k], g[:, 2 * k :], out=n)
         n += x[:, :k]
         np.tanh(n, out=n)
-        new = h - n
+        np.subtract(h, n, out=new)
         new *= rz[:, k:]
         new += n
-        return rz, n, gn, new
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after its state."""
@@ -224,21 +223,35 @@ class Gru:
                 out[rows] += _chosen(self.p["word"][s:e], states[rows], targets[rows] - s)
         return out
 
-    def score(self, symbols: np.ndarray, offsets: np.ndarray, end: int, lanes: int = SCORING_LANES) -> np.ndarray:
-        """Natural log-likelihood of each text; a lane runs its texts one after another, the longest first."""
+    def score(self, symbols: np.ndarray, offsets: np.ndarray, end: int, lanes: int = SCORING_LANES, window: int = SCORING_WINDOW) -> np.ndarray:
+        """Natural log-likelihood of each text; a lane runs its texts one after another, the longest first.
+
+        Outputs are computed window by window, so memory holds the states of one window only.
+        """
         if len(offsets) < 2:
             return np.zeros(0)
-        grid = Lanes.of(symbols, offsets, end, lanes)
-        states = np.empty((symbols.size, self.hidden), np.float32)
-        h = np.zeros((grid.base[1], self.hidden), np.float32)
-        for t in range(grid.steps):
-            a, b = grid.base[t], grid.base[t + 1]
-            now, new = h[: b - a], grid.fresh[a:b]
-            if new.any():
-                now = np.where(new[:, None], np.float32(0), now)
-            h = self.step(self.p["input"][grid.before[a:b]], now)[3]
-            states[a:b] = h
-        return np.add.reduceat(self.log_probabilities(states[grid.at], symbols), offsets[:-1])
+        grid, k = Lanes.of(symbols, offsets, end, lanes), self.hidden
+        targets, logp = np.empty_like(symbols), np.empty(symbols.size)
+        targets[grid.at] = symbols
+        width = int(grid.base[1])
+        most = grid.widest(window)
+        x, states = np.empty((most, 3 * k), np.float32), np.empty((most, k), np.float32)
+        g, n, last = np.empty((width, 3 * k), np.float32), np.empty((width, k), np.float32), np.zeros((width, k), np.float32)
+        for first in range(0, grid.steps, window):
+            cuts = grid.base[first : first + window + 1]
+            low, high = int(cuts[0]), int(cuts[-1])
+            np.take(self.p["input"], grid.before[low:high], axis=0, out=x[: high - low], mode="clip")
+            cuts = (cuts - low).tolist()
+            with np.errstate(over="ignore"):
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    now = last[: b - a]
+                    new = grid.fresh[low + a : low + b]
+                    if new.any():
+                        now[new] = 0
+                    self.step(x[a:b], now, g[: b - a], n[: b - a], states[a:b])
+                    last[: b - a] = states[a:b]
+            logp[low:high] = self.log_probabilities(states[: high - low], targets[low:high])
+        return np.add.reduceat(logp[grid.at], offsets[:-1])
 
     def train(self, symbols: np.ndarray, offsets: np.ndarray, end: int, lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> None:
         """One pass of truncated backpropagation over texts, whole or in parts, every token once; Adagrad steps."""
@@ -247,42 +260,51 @@ class Gru:
         grid, k = Lanes.of(symbols, offsets, end, lanes), self.hidden
         targets = np.empty_like(symbols)
         targets[grid.at] = symbols
-        h = np.zeros((grid.base[1], k), np.float32)
+        most = grid.widest(window)
+        room = {name: np.empty((most, width * k), np.float32) for name, width in (("x", 3), ("g", 3), ("n", 1), ("held", 1), ("states", 1), ("by", 3), ("d", 4), ("some", 1))}
+        last = np.zeros((grid.base[1], k), np.float32)
         for first in range(0, grid.steps, window):
-            last = min(first + window, grid.steps)
-            low, high = grid.base[first], grid.base[last]
-            m = high - low
-            cuts = (grid.base[first : last + 1] - low).tolist()
+            cuts = grid.base[first : first + window + 1]
+            low, high = int(cuts[0]), int(cuts[-1])
+            cuts = (cuts - low).tolist()
             before, fresh = grid.before[low:high], grid.fresh[low:high]
-            x = self.p["input"][before]
-            rz, n, gn = np.empty((m, 2 * k), np.float32), np.empty((m, k), np.float32), np.empty((m, k), np.float32)
-            held, states = np.empty((m, k), np.float32), np.empty((m, k), np.float32)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                now = held[a:b]
-                now[:] = h[: b - a]
-                new = fresh[a:b]
-                if new.any():
-                    now[new] = 0
-                rz[a:b], n[a:b], gn[a:b], h = self.step(x[a:b], now)
-                states[a:b] = h
+            x, g, n, held, states, by, d, some = (room[name][: high - low] for name in ("x", "g", "n", "held", "states", "by", "d", "some"))
+            np.take(self.p["input"], before, axis=0, out=x, mode="clip")
+            with np.errstate(over="ignore"):
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    now = held[a:b]
+                    now[:] = last[: b - a]
+                    new = fresh[a:b]
+                    if new.any():
+                        now[new] = 0
+                    self.step(x[a:b], now, g[a:b], n[a:b], states[a:b])
+                    last = states[a:b]
+            last = last.copy()
             d_states = self._learn_outputs(states, targets[low:high], rate)
-            # By the state: of the candidate, the gates, and the candidate's recurrent part.
-            r, z = rz[:, :k], rz[:, k:]
-            by = np.empty((m, 3 * k), np.float32)
-            np.multiply(1 - z, 1 - n * n, out=by[:, :k])
-            np.multiply(by[:, :k] * gn, r * (1 - r), out=by[:, k : 2 * k])
-            np.multiply(held - n, z * (1 - z), out=by[:, 2 * k :])
-            d = np.empty((m, 4 * k), np.float32)  # candidate, reset, update, candidate's recurrent part
+            # By the state: of the candidate, the reset gate and the update gate.
+            r, z, gn = g[:, :k], g[:, k : 2 * k], g[:, 2 * k :]
+            by_n, by_r, by_z = by[:, :k], by[:, k : 2 * k], by[:, 2 * k :]
+            np.multiply(n, n, out=some)
+            np.subtract(1, some, out=some)
+            np.subtract(1, z, out=by_n)
+            np.multiply(by_n, z, out=by_z)
+            by_n *= some
+            np.subtract(held, n, out=some)
+            by_z *= some
+            np.subtract(1, r, out=some)
+            some *= r
+            np.multiply(by_n, gn, out=by_r)
+            by_r *= some
             back = np.ascontiguousarray(self.p["recurrent"].T)
             d_h = np.zeros((cuts[-1] - cuts[-2], k), np.float32)
             for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
-                d_now = d_states[a:b]
+                d_now, out = d_states[a:b], d[a:b]  # out: candidate, reset, update, candidate's recurrent part
                 d_now[: len(d_h)] += d_h
-                out = d[a:b]
                 np.multiply(by[a:b].reshape(b - a, 3, k), d_now[:, None, :], out=out[:, : 3 * k].reshape(b - a, 3, k))
                 np.multiply(out[:, :k], r[a:b], out=out[:, 3 * k :])
                 d_h = out[:, k:] @ back
-                d_h += d_now * z[a:b]
+                d_now *= z[a:b]
+                d_h += d_now
                 new = fresh[a:b]
                 if new.any():
                     d_h[new] = 0
@@ -424,8 +446,9 @@ def score_documents(docs: DataFrame, learns_from: Column, id_col: str = "doc_id"
     vocabulary = Vocabulary.of(words, own, rare_tokens)
     model = train(learned, vocabulary, rounds)
     listed = counts.filter(F.col("c") > total * FREQUENT_SHARE).toArrow()  # 1 / FREQUENT_SHARE rows at most
-    frequent, first = np.unique(np.concatenate((listed.column("word").to_numpy().view(np.uint64), words)), return_index=True)
-    frequent = frequent, np.concatenate((listed.column("c").to_numpy(), own))[first]
+    # The end is always among them, as it has a symbol even if it was never seen.
+    frequent, first = np.unique(np.concatenate((listed.column("word").to_numpy().view(np.uint64), words, [END])), return_index=True)
+    frequent = frequent, np.concatenate((listed.column("c").to_numpy(), own, [0]))[first]
     shared = spark.sparkContext.broadcast((vocabulary, model, frequent))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
     fields = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("sum_log", pa.float64()), ("rare", pa.int64()), ("rare_log", pa.float64()), ("model", pa.float64()), ("learns", pa.bool_()), ("bucket", pa.int64()), ("rows", pa.binary()), ("words", pa.binary())])
@@ -436,7 +459,9 @@ def score_documents(docs: DataFrame, learns_from: Column, id_col: str = "doc_id"
         from pyspark import TaskContext
 
         vocabulary, model, (known, known_counts) = shared.value
-        head = np.isin(known, vocabulary.hashes, assume_unique=True)
+        # One table of all frequent words: symbol (for most the one for others), logarithm of the count, the same for those without a symbol of their own.
+        symbol, logs_of = vocabulary.encode(known), np.log10(known_counts + 1.0)
+        rare_logs_of = np.where(np.isin(known, vocabulary.hashes, assume_unique=True), 0.0, logs_of)
         row = TaskContext.get().partitionId() << 33
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -453,16 +478,16 @@ def score_documents(docs: DataFrame, learns_from: Column, id_col: str = "doc_id"
             return pa.RecordBatch.from_arrays([*nulls, pa.array(to[cuts[:-1]], pa.int64()), *packed], schema=fields)
 
         for whole in batches:
-            for batch in split_by_bytes(whole, 1, 4_000_000):
+            for batch in split_by_bytes(whole, 1, 8_000_000):
                 tokens, offsets = tokens_of(batch.column(1))
                 n = np.diff(offsets)
                 owner = np.repeat(np.arange(n.size), n)
-                symbols = vocabulary.encode(tokens)
-                at = np.minimum(np.searchsorted(known, tokens), max(known.size - 1, 0))
-                hit = known[at] == tokens if known.size else np.zeros(tokens.size, bool)
-                logs = np.where(hit, np.log10(known_counts[at] + 1.0), 0.0) if known.size else np.zeros(tokens.size)
+                at = np.minimum(np.searchsorted(known, tokens), known.size - 1)
+                hit = known[at] == tokens
+                symbols = np.where(hit, symbol[at], vocabulary.rare)
+                logs = np.where(hit, logs_of[at], 0.0)
                 rare = symbols == vocabulary.rare
-                rare_log = np.where(hit & rare & ~head[at], logs, 0.0) if known.size else logs
+                rare_log = np.where(hit, rare_logs_of[at], 0.0)
                 rows = row + np.arange(n.size)
                 row += n.size
                 likelihood = model.score(symbols, offsets, vocabulary.end) / math.log(10)
