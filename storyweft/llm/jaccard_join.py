@@ -62,7 +62,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, hashes, offsets) of slices of the input."""
     for whole in batches:
-        for batch in split_by_bytes(whole, 1, 4_000_000):
+        for batch in split_by_bytes(whole, 1, 3_000_000):
             yield batch.column(0), *shingle_sets(batch.column(1))
 
 
