@@ -218,9 +218,9 @@ def base_pii(text):
 
 def test_pii_base_spans(spark, docs):
     rng = random.Random(5)
-    parts = ["a", "b1", "@", ".", "-", "_", "%", "+1", " ", "4", "255", "256", ".1", "(", ")", "x@y.z", "4111 1111 1111 1111", "+1 (386) 555-8773", "é", "🙂", "1.2.3.4"]
+    parts = ["a", "b1", "@", ".", "-", "_", "%", "+1", " ", "4", "255", "256", ".1", "(", ")", "x@y.z", "4111 1111 1111 1111", "+1 (386) 555-8773", "é", "🙂", "1.2.3.4", "0", "00", ".0", "10.0.0.1"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-    texts += ["a@" + "b." * 20_000 + "c", "1" * 50_000, "1." * 30_000, "a" * 50_000, "+1" + " " * 30_000, None, ""]
+    texts += ["10.0.0.1", "192.168.0.1", "0.0.0.0", "000.0.00.255", "0.0.0.0256", "1.0.0.300", "0" * 4_000 + "1.0.0.256", "0" * 4_000 + "1.0.0.255", "a@" + "b." * 20_000 + "c", "1" * 50_000, "1." * 30_000, "a" * 50_000, "+1" + " " * 30_000, None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.find(df, {}).select("doc_id", pii.digest(F.col("base")).alias("b")).collect():
         assert r["b"] == base_pii(texts[r["doc_id"]] or "")
@@ -229,6 +229,11 @@ def test_pii_base_spans(spark, docs):
         assert r["b"] == base_pii(text[r["doc_id"]])
 
 
+def test_addresses_with_zero_parts_are_masked(spark):
+    df = spark.createDataFrame([(1, "at 10.0.0.1 and 8.8.8.8, 192.168.0.1 or 0.0.0.0 but 10.0.0.256")], "doc_id long, text string")
+    assert pii.mask_documents(df, {}).first()["text"].count(".") == 3
+
+
 def test_pii_bootstrapping(spark, edge, empty):
     texts = [f"Please call me +1 (386) 555-{i:04d} today" for i in range(60)] + [f"Please call me 386 555 {i:04d} today" for i in range(8)] + [f"i think of the x{i} and" for i in range(300)] + [f"one of the +1 (386) 555-{i:04d} now" for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
