@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm import embedding_dedup, gru_lm, hilbert, jaccard_join, langid, packing, pii, sentencepiece_bpe, sharding, warc
+from storyweft.llm import embedding_dedup, gru_lm, hilbert, jaccard_join, langid, merkle, packing, pii, sentencepiece_bpe, sharding, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; texts of ids with an even checksum are tampered with."""
+    without_lines = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    manifest = merkle.build(_table(spark, sf_dir, "documents"), tampered={"text": without_lines})
+    return merkle.proofs(manifest, keep_proofs=False)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to bit-packed files, and read back from them."""
+    index = token_files.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(index, keep_ids=False)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
@@ -87,5 +100,52 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_files": op13_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR)::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+#: Trees by recursion, level by level: ``n`` nodes of a tree, ``place`` a node's place; then each leaf's siblings, and its fold.
+_MERKLE_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, sha256({" || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, c: list_reduce(range(8), lambda h, bit: xor(h >> 1, 3988292384 * (h & 1)), xor(crc, c)), 4294967295) AS crc,
+    {" || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars"))} AS head, text
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n,
+    CASE WHEN (crc & 1) = 1 AND text IS NOT NULL THEN sha256(head || {_field("replace(text, chr(10), '')")}) ELSE leaf END AS own
+  FROM docs),
+low AS (
+  SELECT source, 0 AS level, place, n, leaf AS hash FROM placed
+  UNION ALL
+  SELECT source, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY place)) FROM low WHERE n > 1 GROUP BY source, level, place // 3, n),
+places AS (SELECT source, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, place, n, hash FROM places
+  UNION ALL
+  SELECT level + 1, place // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY place)) FROM high WHERE n > 1 GROUP BY level, place // 3, n),
+lows AS (
+  SELECT me.source, me.level, me.place, coalesce(string_agg(it.hash, '' ORDER BY it.place) FILTER (it.place < me.place), '') AS before, coalesce(string_agg(it.hash, '' ORDER BY it.place) FILTER (it.place > me.place), '') AS after
+  FROM low AS me JOIN low AS it ON it.source IS NOT DISTINCT FROM me.source AND it.level = me.level AND it.place // 3 = me.place // 3 WHERE me.n > 1 GROUP BY ALL),
+highs AS (
+  SELECT me.level, me.place, coalesce(string_agg(it.hash, '' ORDER BY it.place) FILTER (it.place < me.place), '') AS before, coalesce(string_agg(it.hash, '' ORDER BY it.place) FILTER (it.place > me.place), '') AS after
+  FROM high AS me JOIN high AS it ON it.level = me.level AND it.place // 3 = me.place // 3 WHERE me.n > 1 GROUP BY ALL),
+below AS (
+  SELECT doc_id, source, place AS first, 0 AS level, place, own AS hash, '' AS proof FROM placed
+  UNION ALL
+  SELECT b.doc_id, b.source, b.first, b.level + 1, b.place // 3, sha256(before || b.hash || after), proof || before || after FROM below AS b JOIN lows AS s ON s.source IS NOT DISTINCT FROM b.source AND s.level = b.level AND s.place = b.place),
+through AS (
+  SELECT b.doc_id, b.source, b.first, 0 AS level, p.place, b.hash, b.proof
+  FROM below AS b JOIN places AS p ON p.source IS NOT DISTINCT FROM b.source WHERE b.level = (SELECT max(level) FROM low AS l WHERE l.source IS NOT DISTINCT FROM b.source)
+  UNION ALL
+  SELECT t.doc_id, t.source, t.first, t.level + 1, t.place // 3, sha256(before || t.hash || after), proof || before || after FROM through AS t JOIN highs AS s ON s.level = t.level AND s.place = t.place)
+SELECT t.doc_id, d.leaf, p.hash AS subroot, r.hash AS root, sha256(t.proof) AS proof_sha256, t.hash AS folded_root, t.hash = r.hash AS verified
+FROM through AS t JOIN placed AS d ON d.source IS NOT DISTINCT FROM t.source AND d.place = t.first JOIN places AS p ON p.source IS NOT DISTINCT FROM t.source JOIN high AS r ON r.n = 1 AND r.level = t.level
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": _MERKLE_SQL}
