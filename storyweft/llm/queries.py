@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm import embedding_dedup, gru_lm, hilbert, jaccard_join, langid, merkle, packing, pii, sentencepiece_bpe, sharding, token_files, warc
+from storyweft.llm import dual_tree, embedding_dedup, gru_lm, hilbert, jaccard_join, langid, merkle, packing, pii, sentencepiece_bpe, sharding, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item among all."""
+    return dual_tree.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 50)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; texts of ids with an even checksum are tampered with."""
     without_lines = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
@@ -100,6 +105,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_dual_tree_search": op11_dual_tree_search,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_files": op13_token_files,
 }
@@ -148,4 +154,18 @@ SELECT t.doc_id, d.leaf, p.hash AS subroot, r.hash AS root, sha256(t.proof) AS p
 FROM through AS t JOIN placed AS d ON d.source IS NOT DISTINCT FROM t.source AND d.place = t.first JOIN places AS p ON p.source IS NOT DISTINCT FROM t.source JOIN high AS r ON r.n = 1 AND r.level = t.level
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": _MERKLE_SQL}
+_TERMS = r"list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"
+
+_SEARCH_SQL = f"""
+WITH docs AS (SELECT * FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS length FROM docs),
+items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counts AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, corpus GROUP BY term),
+parts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))) AS part FROM counts JOIN weights USING (term), corpus),
+scores AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM items JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_dual_tree_search": _SEARCH_SQL, "op12_merkle_manifest": _MERKLE_SQL}
