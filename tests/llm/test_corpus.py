@@ -433,6 +433,9 @@ CONTRACT = {
     8: {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
     9: {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
     10: {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    11: {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    12: {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
+    13: {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
 }
 
 
@@ -450,6 +453,8 @@ def test_query_keeps_its_contract(spark, data, name):
     if number == 7:
         asked = {r["vec_id"] for r in source.filter("vec_id % 50 = 0 AND embedding IS NOT NULL").select("vec_id").collect()}
         assert {r["query_id"] for r in got} == asked and len(got) == 5 * len(asked)
+    elif number == 11:
+        assert max(r["rank"] for r in got) == 50 and len({(r["item_id"], r["rank"]) for r in got}) == len(got)
     elif number == 8:
         assert {r["doc_id"] for r in got} == {r["doc_id"] for r in source.select("doc_id").collect()}
         assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
@@ -666,4 +671,4 @@ def test_pipeline_stages_on_edge_cases(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
