@@ -9,13 +9,13 @@ Layout, little-endian: magic, ``bits`` and ``block`` (u32 each) | blocks | foote
 document id (u8), document ids (i64), ends (u64), block offsets (u64, one more than blocks) | number of
 documents, number of ids, footer's offset (u64 each), magic.
 
-Texts are encoded where they are read and the ids stored; then only ids are range-partitioned by
-document, and each task writes its range as files of bounded size. Where a file starts among all ids
-follows from the files' counts. A file is written by one task under a name of its own; the index names
+Texts are range-partitioned by document id, and each task encodes its range straight into files of
+bounded size, so no ids are kept besides them. Where a file starts among all ids follows from the files'
+counts. A file is written by one task under a name of its own; the index names
 only files of finished tasks, so a lost executor leaves at most a file that nothing refers to.
 
 Defined cases: a null or empty text is the end id alone; documents without id come first; rows that
-repeat an id follow one another by length and checksum and may be split over files; an empty table gives no
+repeat an id follow one another by their texts' checksums and may be split over files; an empty table gives no
 file and no rows. Only id and text are read, so other columns' names cannot clash.
 """
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyweft.llm.packing import loaded
-from storyweft.llm.storage import shared_folder, stored
+from storyweft.llm.storage import shared_folder
 from storyweft.llm.words import split_by_bytes
 
 MAGIC = b"SWTOKEN1"
@@ -48,7 +48,6 @@ FILE_IDS = 1 << 27
 READ_BLOCKS = 128
 
 _HEAD, _TAIL = struct.Struct("<8sII"), struct.Struct("<QQQ8s")
-_ENCODED = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 _FILE = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("uri", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 _READ = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 _SQL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
@@ -216,57 +215,37 @@ class TokenReader:
         self.file.close()
 
 
-def _in_files(folder: str, bits: int, file_ids: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task that writes its rows, in their order, as files of about ``file_ids`` ids and gives the index of these."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, writer, rows = TaskContext.get().partitionId(), None, []
-        for batch in batches:
-            column = batch.column(1)
-            for k, doc in enumerate(batch.column(0).to_pylist()):
-                if writer is None:
-                    writer = TokenWriter(f"{folder}/tokens/{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.bin", bits)
-                writer.add(doc, np.frombuffer(column[k].as_buffer(), kind))
-                if writer.n_ids >= file_ids:
-                    rows.append((part, len(rows), *writer.close()))
-                    writer = None
-        if writer is not None:
-            rows.append((part, len(rows), *writer.close()))
-        if rows:
-            yield _batch(list(zip(*rows, strict=True)), _FILE)
-
-    return run
-
+def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode all documents into files of about ``file_ids`` ids below a shared folder; returns their index.
 
-def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> tuple[DataFrame, int]:
-    """(id, n_tokens, ids_crc32, ids) of every row, end id included; and the bits that an id needs."""
+    The index has one row per file: part, seq, uri, first_id, last_id, n_docs, n_ids, and ``start``, the ids of all files before it.
+    """
+    folder = folder or shared_folder(docs.sparkSession, "token-files")
     bits = bits_for(len(loaded(tokenizer_file).ends_word))
-    kind = "<u2" if bits <= 16 else "<u4"
     end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = loaded(tokenizer_file)
+        part, writer, rows, tokenizer = TaskContext.get().partitionId(), None, [], loaded(tokenizer_file)
         for whole in batches:
             for batch in split_by_bytes(whole, 1, 2_000_000):
                 ids, at = tokenizer.encode(batch.column(1))
-                own = [np.concatenate((ids[a:b], end)) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield _batch([batch.column(0), [o.size for o in own], [zlib.crc32(o.astype("<u4").data) for o in own], [o.astype(kind).tobytes() for o in own]], _ENCODED)
-
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, _ddl(_ENCODED)), bits
-
-
-def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
-    """Encode all documents into files below a shared folder; returns their index.
+                for k, doc in enumerate(batch.column(0).to_pylist()):
+                    if writer is None:
+                        writer = TokenWriter(f"{folder}/tokens/{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.bin", bits)
+                    writer.add(doc, np.concatenate((ids[at[k] : at[k + 1]], end)))
+                    if writer.n_ids >= file_ids:
+                        rows.append((part, len(rows), *writer.close()))
+                        writer = None
+        if writer is not None:
+            rows.append((part, len(rows), *writer.close()))
+        if rows:
+            yield _batch(list(zip(*rows, strict=True)), _FILE)
 
-    The index has one row per file: part, seq, uri, first_id, last_id, n_docs, n_ids, and ``start``, the ids of all files before it.
-    """
-    folder = folder or shared_folder(docs.sparkSession, "token-files")
-    encoded, bits = encode_documents(docs, tokenizer_file, id_col, text_col, end_id)
-    # The row's number, stored with it, lets repeated rows of one id be split over tasks.
-    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "token-ids")
-    order = ["id", "n_tokens", "ids_crc32", "row"]
-    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids")
-    ordered.mapInArrow(_in_files(folder, bits, file_ids, "<u2" if bits <= 16 else "<u4"), _ddl(_FILE)).write.parquet(f"{folder}/index")
+    # The row's number lets rows that repeat an id and text be split over tasks.
+    order = ["id", "checksum", "row"]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.crc32(F.col(text_col).cast("binary")).alias("checksum"), F.monotonically_increasing_id().alias("row"))
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    ordered.mapInArrow(run, _ddl(_FILE)).write.parquet(f"{folder}/index")
     return read_index(docs.sparkSession, folder)
 
 
