@@ -407,7 +407,8 @@ def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_
     within = Window.partitionBy("part").orderBy("known", "grp")
     places = ranges.withColumn("k", F.row_number().over(within) - 1).join(firsts, "part").select("known", "grp", (F.col("first") + F.col("k")).cast("long").alias("at"), "digest")
     places = stored(places, "merkle-places")
-    one = places.select(F.lit(False).alias("known"), F.lit(None).cast("string").alias("grp"), "at", F.col("at").alias("id"), "digest", F.lit(None).cast("string").alias("other"))
+    # Stored, so that the one group's name is a column to join on like any other's and not a constant.
+    one = stored(places.select(F.lit(False).alias("known"), F.lit(None).cast("string").alias("grp"), "at", F.col("at").alias("id"), "digest", F.lit(None).cast("string").alias("other")), "merkle-top")
     return Manifest(groups, grow(one), places)
 
 
