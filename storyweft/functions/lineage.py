@@ -6,6 +6,11 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+#: Bytes of a broadcast side, checked before it is sent.
+MAX_BROADCAST = 64_000_000
+#: A scan of less than so many bytes a core is dealt out anew before work that is heavy for each row.
+LIGHT_SCAN = 64 << 20
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the folder in ``spark.checkpoint.dir``; a temporary one is set only where a local session has none."""
@@ -15,3 +20,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="storyweft-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows on all cores, where the scan is so small that a file's row groups don't make enough tasks; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * LIGHT_SCAN else df

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Common words that mark English (fixed values).
 ENGLISH_MARKERS = ("the", "and", "is", "in", "it", "to", "that", "of", "for", "on")
+#: ASCII punctuation (fixed values).
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Four classes of entities: pattern, and the group that is the entity (fixed values).
 ENTITY_PATTERNS = {
     "persons": (r"(?:[A-Z][a-z]+ ){1,2}[A-Z][a-z]+", 0),
@@ -49,11 +51,14 @@ CREDIBLE_HOSTS = (
 
 
 def clean_text(text: Column, stop_words: Sequence[str] = ()) -> Column:
-    """Lower case, without URLs, tags and punctuation, single spaces; optionally without stop words."""
-    out = F.regexp_replace(F.lower(text), r"https?://[^ ]+", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}\s]", " ")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Lower case, without URLs, tags within a line and ASCII punctuation, single spaces; optionally without stop words.
+
+    What is removed leaves no space: "don't" becomes "dont". A null text is empty.
+    """
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)https?://\S+|www\.\S+", "")
+    out = F.regexp_replace(out, r"<[^\n]*?>", "")
+    out = F.translate(out, PUNCTUATION, "")
+    out = F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
     if stop_words:
         stops = list(stop_words)
         out = F.array_join(F.filter(F.split(out, " "), lambda w: ~w.isin(*stops)), " ")
@@ -73,6 +78,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def is_claim(sentence: Column, verbs: Sequence[str]) -> Column:
+    """Whether a sentence states something: it holds a number or one of the verbs, and isn't a question."""
+    return sentence.rlike("|".join(["[0-9]", *([r"(?i)\b(?:" + "|".join(verbs) + r")\b"] if verbs else [])])) & ~sentence.endswith("?")
+
+
 def words(text: Column) -> Column:
     """Array of lower-cased words."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -84,8 +94,8 @@ def domain(url: Column) -> Column:
 
 
 def detect_language(text: Column, least: int = 3) -> Column:
-    """``en`` with more than three of ten markers, else ``unknown``."""
-    found = F.size(F.array_intersect(words(text), F.array(*map(F.lit, ENGLISH_MARKERS))))
+    """``en`` with more than three of ten markers among the words of the cleaned text, else ``unknown``."""
+    found = F.size(F.array_intersect(F.split(clean_text(text), " "), F.array(*map(F.lit, ENGLISH_MARKERS))))
     return F.when(found > least, "en").otherwise("unknown")
 
 
@@ -101,6 +111,28 @@ def normalize_date(text: Column) -> Column:
     return F.when(text != "", F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss"), text))
 
 
+def iso_time(text: Column) -> Column:
+    """Timestamp of an ISO 8601 text: a date (calendar or week, with or without dashes), and a time to the hour, minute, second or fraction, with or without offset.
+
+    A time without offset is read in the session's time zone; ``Z`` is an offset of zero; anything else is null.
+    """
+    clock = r"\d\d(?::\d\d(?::\d\d(?:[.,]\d+)?)?|\d\d(?:\d\d(?:[.,]\d+)?)?)?(?:[+-]\d\d(?::?\d\d)?)?"
+    week_of = r"^(\d{4})-?W(\d\d)(?:-?([1-7]))?"
+    own = F.replace(text, F.lit("Z"), F.lit("+00:00"))
+    valid = own.rlike(rf"^(?:\d{{4}}-\d\d-\d\d|\d{{8}}|\d{{4}}-W\d\d(?:-[1-7])?|\d{{4}}W\d\d[1-7]?)(?:.{clock})?$")
+    # A week's day counts from the Monday of the week that holds 4 January.
+    number = lambda group: F.coalesce(F.try_to_number(F.regexp_extract(own, week_of, group), F.lit("9999")).cast("int"), F.lit(1))
+    monday = F.date_trunc("week", F.make_date(number(1), F.lit(1), F.lit(4))).cast("date")
+    day = F.date_add(monday, (number(2) - 1) * 7 + number(3) - 1).cast("string")
+    out = F.when(own.rlike(week_of), F.concat(day, F.regexp_replace(own, week_of, ""))).otherwise(F.regexp_replace(own, r"^(\d{4})(\d\d)(\d\d)(?=\D|$)", "$1-$2-$3"))
+    for pattern, form in (
+        (r"^(.{10}).(\d\d)(\d\d)(\d\d)", "$1T$2:$3:$4"), (r"^(.{10}).(\d\d)(\d\d)(?=\D|$)", "$1T$2:$3"), (r"^(.{10}).(\d\d)(?=\D|$)", "$1T$2"),
+        (r"^(.{10}T\d\d)(?=[+-]|$)", "$1:00"), (r"[.,](\d{1,6})\d*", ".$1"), (r"(T.*[+-]\d\d)(\d\d)$", "$1:$2"), (r"(T.*[+-]\d\d)$", "$1:00"),
+    ):
+        out = F.regexp_replace(out, pattern, form)
+    return F.when(valid, F.try_to_timestamp(out))
+
+
 def truncated(text: Column, length: int) -> Column:
     """At most ``length`` characters, with dots where something was cut."""
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -177,13 +179,34 @@ def predict_effectiveness(series: DataFrame, horizon: int) -> DataFrame:
     return m.select(KEY, "step", yhat.alias("yhat"), clamp(yhat - NORMAL * F.col("sd")).alias("lower"), clamp(yhat + NORMAL * F.col("sd")).alias("upper"))
 
 
-def predict_evolution(metrics: DataFrame, horizon: int, limit: float = 8.5) -> DataFrame:
-    """By dimension: the score at the horizon within 0 and 10, its direction in seven bands, and the days to the limit if within 30."""
-    s = F.col("slope")
-    yhat = F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("latest") + s * horizon))
-    band = F.when(s > 0.1, "rapidly increasing").when(s > 0.05, "increasing").when(s > 0.01, "slightly increasing").when(s >= -0.01, "stable").when(s >= -0.05, "slightly decreasing").when(s >= -0.1, "decreasing").otherwise("rapidly decreasing")
-    days = F.when((s > 0) & (F.col("latest") < limit), F.ceil(F.round((limit - F.col("latest")) / s, 6)))
-    return metrics.select(KEY, "dimension", yhat.alias("yhat"), band.alias("direction"), F.when(days <= 30, days).alias("days_to_limit"))
+#: Names of the dimensions in factor texts, in the order in which equal slopes are listed (fixed values).
+FACTOR_NAMES = {"linguistic": "linguistic_complexity", "logical": "logical_structure", "rhetorical": "rhetorical_techniques", "emotional": "emotional_manipulation"}
+
+
+def predict_evolution(scores: DataFrame, horizon: int, limit: float = 8.5) -> DataFrame:
+    """By dimension of dated scores: the line's value at the horizon within 0 and 10, slope, r2, direction in seven bands, and the day it reaches the limit if within 30.
+
+    A single score is carried on unchanged.
+    """
+    x = F.datediff(DAY, F.min(DAY).over(Window.partitionBy(KEY, "dimension")))
+    fit = scores.filter("score IS NOT NULL").withColumn("x", x).groupBy(KEY, "dimension").agg(F.regr_slope("score", "x").alias("s"), F.regr_intercept("score", "x").alias("c"), F.coalesce(F.regr_r2("score", "x"), F.lit(0.0)).alias("r2"), F.max("x").alias("last"), F.max(DAY).alias("last_day"), F.max_by("score", DAY).alias("latest"))
+    s = F.coalesce("s", F.lit(0.0))
+    yhat = F.when(F.col("s").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), s * (F.col("last") + horizon) + F.col("c")))).otherwise(F.col("latest"))
+    band = F.when(s > 0.1, "strong_increase").when(s > 0.05, "moderate_increase").when(s > 0.01, "slight_increase").when(s < -0.1, "strong_decrease").when(s < -0.05, "moderate_decrease").when(s < -0.01, "slight_decrease").otherwise("stable")
+    days = F.when((s > 0) & (F.col("latest") < limit), (limit - F.col("latest")) / s)
+    return fit.select(KEY, "dimension", yhat.alias("yhat"), s.alias("slope"), "r2", band.alias("direction"), F.when(days < 30, F.date_add("last_day", F.floor(F.round(days, 6)).cast("int"))).alias("peak_day"))
+
+
+def evolution_factors(evolution: DataFrame, least: float = 0.05) -> DataFrame:
+    """What drives each key's complexity: its dimensions with a slope above ``least``, the steepest first, or that it is stable."""
+    order = {name: k for k, name in enumerate(FACTOR_NAMES)}
+    name, place = F.lit(None).cast("string"), F.lit(len(order))
+    for key, text in FACTOR_NAMES.items():
+        name, place = F.when(F.col("dimension") == key, F.lit(text)).otherwise(name), F.when(F.col("dimension") == key, F.lit(order[key])).otherwise(place)
+    steep = F.when(name.isNotNull() & (F.abs("slope") > least), F.struct((-F.abs("slope")).alias("by"), place.alias("place"), F.concat(name, F.when(F.col("slope") > 0, F.lit(" is increasing")).otherwise(F.lit(" is decreasing")), F.lit(" significantly")).alias("text")))
+    listed = evolution.groupBy(KEY).agg(F.array_sort(F.collect_list(steep)).alias("f"))  # one for each dimension
+    texts = F.transform("f", lambda f: f["text"])
+    return listed.select(KEY, F.posexplode(F.when(F.size("f") > 0, texts).otherwise(F.array(F.lit("complexity is relatively stable across all dimensions")))).alias("place", "factor"))
 
 
 def trending_complexity(metrics: DataFrame, k: int, limit: float = 8.5) -> DataFrame:
@@ -249,37 +272,98 @@ def next_occurrence(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.filter("mean IS NOT NULL").select(*keys, due.alias("expected"), (due - F.col("sd")).alias("earliest"), (due + F.col("sd")).alias("latest"))
 
 
-def seasonality(acf: DataFrame, least: float = 0.3, common: tuple[int, ...] = (1, 7, 14, 30)) -> DataFrame:
-    """Lags whose autocorrelation is a local peak of at least ``least``: the highest of each key, and the nearest common period."""
+def two_sided_p(z: Column) -> Column:
+    """Probability of a standard normal value at least as far from zero: one less the error function, by its series of positive terms."""
+    x = F.least(F.abs(z), F.lit(9.0)) / math.sqrt(2)
+    start = F.struct((x * (2 / math.sqrt(math.pi))).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda s, k: F.struct((s["term"] * x * x / (k + 1.5)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+    erf = F.exp(-x * x) * F.aggregate(F.sequence(F.lit(0), F.lit(160)), start, step)["sum"]
+    return F.greatest(F.lit(0.0), 1 - erf)
+
+
+def _season_acf(series: DataFrame, max_period: int) -> DataFrame:
+    """(narrative_id, len, lag, acf): products of first differences by lag, relative to the largest; only series of two longest periods at least."""
+    rows = indexed(series).withColumn("d", F.col(Y) - F.lag(Y).over(over())).filter(F.col("len") >= 2 * max_period)
+    rows = rows.withColumn("later", F.array(*(F.lead("d", k).over(over()) for k in range(1, max_period + 1))))
+    sums = rows.select(KEY, "len", "d", F.posexplode("later").alias("k", "later")).filter(F.col("k") + 1 <= F.floor(F.col("len") / 3)).groupBy(KEY, "len", (F.col("k") + 1).alias("lag")).agg(F.coalesce(F.sum(F.col("d") * F.col("later")), F.lit(0.0)).alias("s"))
+    return sums.select(KEY, "len", "lag", F.try_divide("s", F.max("s").over(Window.partitionBy(KEY))).alias("acf"))
+
+
+def seasonality(series: DataFrame, max_period: int = 30, least: float = 0.3) -> DataFrame:
+    """Whether a series repeats itself: period, strength and probability by chance of its strongest peak, and all peaks.
+
+    Peaks are lags whose autocorrelation of differences, relative to the largest, is ``least`` or more and
+    above both neighbours' (a plateau counts as its middle). A series shorter than two longest periods, or without peaks, is not seasonal.
+    """
+    acf = _season_acf(series, max_period)
     w = Window.partitionBy(KEY).orderBy("lag")
-    before, after = F.coalesce(F.lag("acf").over(w), F.lit(-1.0)), F.coalesce(F.lead("acf").over(w), F.lit(-1.0))
-    peaks = acf.withColumn("peak", (F.col("acf") >= least) & (F.col("acf") > before) & (F.col("acf") >= after) & (F.col("lag") > 1)).filter("peak")
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("acf"), "lag"))
-    near = F.array_min(F.array(*(F.struct(F.abs(F.col("lag") - p).alias("gap"), F.lit(p).alias("period")) for p in common)))["period"]
-    return peaks.withColumn("place", place).filter("place = 1").select(KEY, "lag", "acf", near.alias("common_period"))
-
-
-def forecast_holt(series: DataFrame, horizon: int) -> DataFrame:
-    """Holt's additive trend, its two weights chosen on a grid by squared one-step errors; 1.96 deviations of them."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values(DAY)[Y].to_numpy(float)
-        best = (np.inf, y[-1], 0.0, 0.0)
-        for alpha in (0.1, 0.3, 0.5, 0.7, 0.9):
-            for beta in (0.05, 0.1, 0.2, 0.4):
-                level, trend, errors = y[0], (y[1] - y[0]) if len(y) > 1 else 0.0, []
-                for v in y[1:]:
-                    errors.append(v - level - trend)
-                    last, level = level, alpha * v + (1 - alpha) * (level + trend)
-                    trend = beta * (level - last) + (1 - beta) * trend
-                loss = float(np.square(errors).sum())
-                if loss < best[0]:
-                    best = (loss, level, trend, float(np.std(errors)) if errors else 0.0)
-        k = np.arange(1, horizon + 1)
-        yhat = best[1] + best[2] * k
-        return pd.DataFrame({KEY: rows[KEY].iloc[0], "step": k, "yhat": yhat, "lower": yhat - NORMAL * best[3], "upper": yhat + NORMAL * best[3]})
-
-    return series.groupBy(KEY).applyInPandas(fit, f"{KEY} long, step int, yhat double, lower double, upper double")
+    runs = acf.withColumn("run", F.sum(F.when(F.col("acf") == F.lag("acf").over(w), 0).otherwise(1)).over(w)).groupBy(KEY, "len", "run").agg(F.max("acf").alias("acf"), F.floor((F.min("lag") + F.max("lag")) / 2).cast("int").alias("lag"))
+    r = Window.partitionBy(KEY).orderBy("run")
+    peaks = runs.withColumn("before", F.lag("acf").over(r)).withColumn("after", F.lead("acf").over(r)).filter((F.col("acf") >= least) & (F.col("acf") > F.col("before")) & (F.col("acf") > F.col("after")))
+    best = peaks.groupBy(KEY, "len").agg(F.max(F.struct("acf", (-F.col("lag")).alias("back"))).alias("m"), F.array_join(F.array_sort(F.collect_list("lag")), ",").alias("peaks"))  # max_period / 2 at most
+    found = best.select(KEY, (-F.col("m.back")).alias("period"), F.col("m.acf").alias("strength"), two_sided_p(F.col("m.acf") * F.sqrt("len")).alias("p_value"), "peaks")
+    rows = series.select(KEY).distinct().join(found, KEY, "left")
+    return rows.select(KEY, (F.coalesce("p_value", F.lit(1.0)) < 0.05).alias("seasonal"), "period", F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("p_value", F.lit(1.0)).alias("p_value"), F.coalesce("peaks", F.lit("")).alias("peaks"))
+
+
+def common_periods(series: DataFrame, max_period: int = 30, common: tuple[int, ...] = (1, 7, 14, 30)) -> DataFrame:
+    """Strength and significance of the usual periods (daily, weekly, two weeks, monthly) below a third of the series; 0 for a lag beyond ``max_period``. Days are regular."""
+    acf = _season_acf(series, max_period)
+    keys = acf.select(KEY, "len").distinct().select(KEY, "len", F.explode(F.array(*map(F.lit, common))).alias("period")).filter(F.col("period") < F.floor(F.col("len") / 3))
+    rows = keys.join(acf.select(KEY, F.col("lag").alias("period"), "acf"), [KEY, "period"], "left").withColumn("strength", F.coalesce("acf", F.lit(0.0)))
+    p = two_sided_p(F.col("strength") * F.sqrt("len"))
+    return rows.select(KEY, "period", "strength", (p < 0.05).alias("significant"), p.alias("p_value"))
+
+
+#: Weights that exponential smoothing chooses from: level, trend, season.
+ALPHAS, BETAS, GAMMAS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.05, 0.1, 0.2, 0.4), (0.1, 0.3, 0.6)
+
+
+def forecast_holt(series: DataFrame, horizon: int, period: int | None = None) -> DataFrame:
+    """Additive trend, and additive season where a period is given and the series has two of them; 1.96 deviations of the one-step errors, not below 0.
+
+    The weights are those of a grid with the least squared errors. Each series is folded as one array in
+    the JVM, its season a ring of ``period`` values. Without season the fold starts at the first value and
+    the first difference; with season at the first period's mean, the two first periods' difference and the first period's deviations.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(DAY, F.col(Y).cast("double").alias("v"))))  # one value a day
+    rows = series.groupBy(KEY).agg(F.transform(ordered, lambda s: s["v"]).alias("y")).withColumn("n", F.size("y"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.size(a)
+    if period:
+        rows = rows.withColumn("ring", F.when(F.col("n") >= 2 * period, F.lit(period)).otherwise(F.lit(0)))
+        head, second = F.slice("y", 1, period), F.slice("y", period + 1, period)
+        seasonal = F.col("ring") > 0
+        level = F.when(seasonal, mean(head)).otherwise(F.element_at("y", 1))
+        trend = F.when(seasonal, (mean(second) - mean(head)) / period)
+        rows = rows.withColumn("l0", level).withColumn("season", F.when(seasonal, F.transform(head, lambda v: v - F.col("l0"))).otherwise(F.array().cast("array<double>")))
+    else:
+        rows = rows.withColumn("ring", F.lit(0)).withColumn("l0", F.element_at("y", 1)).withColumn("season", F.array().cast("array<double>"))
+        trend = F.lit(None).cast("double")
+    first = F.when(F.col("n") > 1, F.get("y", F.lit(1)) - F.get("y", F.lit(0))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("t0", F.coalesce(trend, first)).withColumn("from", F.when(F.col("ring") > 0, F.col("ring")).otherwise(F.lit(1)))
+
+    def fold(w: Column) -> Column:
+        start = F.struct(F.col("l0").alias("level"), F.col("t0").alias("trend"), F.col("season").alias("season"), F.lit(0.0).alias("sse"), F.lit(0.0).alias("sum"), F.lit(0).alias("m"))
+
+        def step(s: Column, i: Column) -> Column:
+            v, slot = F.get("y", i), F.when(F.col("ring") > 0, i % F.col("ring")).otherwise(F.lit(0))
+            season = F.coalesce(F.get(s["season"], slot), F.lit(0.0))
+            error = v - s["level"] - s["trend"] - season
+            level = w["a"] * (v - season) + (1 - w["a"]) * (s["level"] + s["trend"])
+            ring = F.transform(s["season"], lambda old, k: F.when(k == slot, w["g"] * (v - level) + (1 - w["g"]) * old).otherwise(old))
+            return F.struct(level.alias("level"), (w["b"] * (level - s["level"]) + (1 - w["b"]) * s["trend"]).alias("trend"), ring.alias("season"), (s["sse"] + error * error).alias("sse"), (s["sum"] + error).alias("sum"), (s["m"] + 1).alias("m"))
+
+        places = F.when(F.col("n") > F.col("from"), F.sequence(F.col("from"), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step)
+
+    grid = [(a, b, g) for a in ALPHAS for b in BETAS for g in (GAMMAS if period else (0.0,))]
+    weights = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g")) for a, b, g in grid))
+    fits = F.transform(F.transform(weights, fold), lambda s, k: F.struct(F.round(s["sse"], 9).alias("loss"), k.alias("k"), s.alias("s")))
+    best = rows.select(KEY, "n", "ring", F.array_min(fits)["s"].alias("s")).select(KEY, "n", "ring", "s.*", steps(horizon))
+    spread = F.when(F.col("m") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("sse") / F.col("m") - F.pow(F.col("sum") / F.col("m"), 2)))).otherwise(F.lit(0.0))
+    season = F.when(F.col("ring") > 0, F.get("season", ((F.col("n") - 1 + F.col("step")) % F.col("ring")).cast("int"))).otherwise(F.lit(0.0))
+    yhat = F.col("level") + F.col("trend") * F.col("step") + season
+    return best.select(KEY, "step", yhat.alias("yhat"), F.greatest(F.lit(0.0), yhat - NORMAL * spread).alias("lower"), (yhat + NORMAL * spread).alias("upper"))
 
 
 def isolation_anomaly(series: DataFrame, limit: float = 0.6, trees: int = 100, seed: int = 42) -> DataFrame:
@@ -305,3 +389,15 @@ def isolation_anomaly(series: DataFrame, limit: float = 0.6, trees: int = 100, s
         return pd.DataFrame({KEY: rows[KEY], DAY: rows[DAY], "score": score, "is_anomaly": score > limit})
 
     return series.groupBy(KEY).applyInPandas(forest, f"{KEY} long, {DAY} date, score double, is_anomaly boolean")
+
+
+def stored_predictions(predictions: DataFrame, most: int = 5) -> DataFrame:
+    """Each narrative's newest ``most`` predictions (prediction_id, predicted_at, forecast as a JSON list of numbers), without those that are malformed."""
+    place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("predicted_at"), F.desc("prediction_id")))
+    newest = predictions.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+    return newest.withColumn("forecast", F.from_json("forecast", "array<double>", {"mode": "PERMISSIVE"})).filter("forecast IS NOT NULL")
+
+
+def active_models(models: DataFrame, parameters: str) -> DataFrame:
+    """Active models by name, their parameters parsed from JSON."""
+    return models.filter("is_active").withColumn("parameters", F.from_json("parameters", parameters)).orderBy("name", "model_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,16 +124,22 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFra
     return back.select("a", "b", F.coalesce("forth", "back").alias("path"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 32, max_sources: int = 10_000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 32, block: int = 10_000) -> DataFrame:
     """Brandes' betweenness of an undirected graph from the given sources (column node): exact when they are all nodes.
 
-    The state has a row for each source and node, so the number of sources is checked; of a larger graph
-    take those of interest, or a sample. Breadth-first levels forward count shortest paths from every source at once; dependencies are
-    then summed level by level backwards.
+    The state has a row for each source and node, so sources are taken in blocks of about ``block``, whose
+    sums add up. Breadth-first levels forward count shortest paths from every source of a block at once;
+    dependencies are then summed level by level backwards.
     """
-    if sources.limit(max_sources + 1).count() > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
     near = cut(both_ways(edges))
+    sources = cut(sources.select("node").distinct())
+    blocks = max(1, -(-sources.count() // block))
+    parts = [cut(_dependencies(near, sources.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k), max_depth)) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("betweenness").alias("betweenness"))
+
+
+def _dependencies(near: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
+    """(node, betweenness): the part of the betweenness that shortest paths from these sources give."""
     level = cut(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "v")
     for d in range(1, max_depth + 1):

@@ -10,42 +10,54 @@ from pyspark.sql.window import Window
 
 from storyweft.functions.text import clean_text, normalize_date, truncated, words
 
-_ITEM = "struct<title:string,link:string,description:string,summary:string,content:string,pubDate:string,published:string,author:string>"
-_ENTRY = "struct<title:string,link:struct<_href:string>,summary:string,content:string,published:string,updated:string,author:struct<name:string>>"
+_ITEM = "struct<title:string,link:string,description:string,summary:string,content:array<string>,encoded:array<string>,pubDate:string,published:string,author:string>"
+_ENTRY = "struct<title:string,link:array<struct<_href:string,_rel:string,_type:string>>,summary:string,content:array<string>,published:string,updated:string,author:struct<name:string>>"
 _FEED = f"channel struct<title:string,item:array<{_ITEM}>>, title string, entry array<{_ENTRY}>"
 
 
 def parse_feed_items(feeds: DataFrame, most: int) -> DataFrame:
     """Items of RSS and Atom documents (feed_id, xml): feed title, place, title, content, link, published, author; the first ``most`` of each.
 
-    Content is the first of content, summary and description. A document that isn't XML gives no items.
+    Content is all content elements, else the summary or description. The link of an Atom entry is its last
+    alternate one that leads to a page. What is missing is ``Unknown Feed``, ``No Title`` or empty. A
+    document that isn't XML gives no items.
     """
-    parsed = feeds.select("feed_id", F.from_xml("xml", _FEED, {"mode": "PERMISSIVE"}).alias("f"))
-    rss = F.transform("f.channel.item", lambda i: F.struct(i["title"].alias("title"), F.coalesce(i["content"], i["summary"], i["description"]).alias("content"), i["link"].alias("link"), F.coalesce(i["published"], i["pubDate"]).alias("published"), i["author"].alias("author")))
-    atom = F.transform("f.entry", lambda e: F.struct(e["title"].alias("title"), F.coalesce(e["content"], e["summary"]).alias("content"), e["link"]["_href"].alias("link"), F.coalesce(e["published"], e["updated"]).alias("published"), e["author"]["name"].alias("author")))
-    rows = parsed.select("feed_id", F.coalesce("f.channel.title", "f.title").alias("feed_title"), F.posexplode(F.slice(F.coalesce(rss, atom), 1, most)).alias("place", "item"))
-    return rows.select("feed_id", "feed_title", "place", "item.*")
+    parsed = feeds.select("feed_id", F.from_xml("xml", _FEED, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("f"))
+    or_else = lambda value, default: F.coalesce(value, F.lit(default))
+    joined = lambda *lists: F.nullif(F.array_join(F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists))), " "), F.lit(""))
+
+    def item(title: Column, content: Column, link: Column, published: Column, author: Column) -> Column:
+        return F.struct(or_else(title, "No Title").alias("title"), or_else(content, "").alias("content"), or_else(link, "").alias("link"), or_else(published, "").alias("published"), or_else(author, "").alias("author"))
 
+    def page(links: Column) -> Column:
+        kept = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")).eqNullSafe("alternate") & F.coalesce(x["_type"], F.lit("text/html")).isin("text/html", "application/xhtml+xml"))
+        return F.when(F.size(kept) > 0, F.element_at(kept, -1)["_href"])
 
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag, its entities resolved; null if there is none."""
-    raw = F.regexp_extract(tag, rf'\s{name}="([^"]*)"', 1)
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        raw = F.replace(raw, F.lit(entity), F.lit(mark))
-    return F.nullif(raw, F.lit(""))
+    rss = F.transform("f.channel.item", lambda i: item(i["title"], F.coalesce(joined(i["content"], i["encoded"]), i["summary"], i["description"]), i["link"], F.coalesce(i["published"], i["pubDate"]), i["author"]))
+    atom = F.transform("f.entry", lambda e: item(e["title"], F.coalesce(joined(e["content"]), e["summary"]), page(e["link"]), F.coalesce(e["published"], e["updated"]), e["author"]["name"]))
+    rows = parsed.select("feed_id", or_else(F.coalesce("f.channel.title", "f.title"), "Unknown Feed").alias("feed_title"), F.posexplode(F.slice(F.coalesce(rss, atom), 1, most)).alias("place", "item"))
+    return rows.select("feed_id", "feed_title", "place", "item.*")
 
 
 def import_opml(outlines: DataFrame) -> DataFrame:
-    """Feeds (name, url) of OPML documents (outline_id, xml): every outline of type rss with an address, at any depth; named by title, else text."""
-    tags = outlines.select("outline_id", F.explode(F.regexp_extract_all("xml", F.lit(r"<outline\b[^>]*>"), F.lit(0))).alias("tag"))
-    rows = tags.select("outline_id", _attribute(F.col("tag"), "type").alias("type"), F.coalesce(_attribute(F.col("tag"), "title"), _attribute(F.col("tag"), "text")).alias("name"), _attribute(F.col("tag"), "xmlUrl").alias("url"))
-    return rows.filter("type = 'rss' AND url IS NOT NULL").select("outline_id", "name", "url")
+    """Feeds (name, url) of OPML documents (outline_id, xml): every outline of type rss with an address, at any depth; named by title, else text.
+
+    A document that isn't well-formed has no feeds; a document type is left out, so none is fetched.
+    """
+    bare = outlines.select("outline_id", F.regexp_replace("xml", r"(?s)<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>", "").alias("xml"))
+    # A malformed document comes back whole in ``broken``; XPath is only asked about the others.
+    sound = bare.withColumn("p", F.from_xml("xml", "head string, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})).filter("p IS NOT NULL AND p.broken IS NULL").select("outline_id", "xml")
+    own = "//outline[@type='rss' and string-length(@xmlUrl) > 0"
+    kinds = {"title": "string-length(@title) > 0", "text": "string-length(@title) = 0 and string-length(@text) > 0"}
+    lists = [F.arrays_zip(F.xpath("xml", F.lit(f"{own} and {test}]/@{name}")).alias("name"), F.xpath("xml", F.lit(f"{own} and {test}]/@xmlUrl")).alias("url")) for name, test in kinds.items()]
+    unnamed = F.transform(F.xpath("xml", F.lit(f"{own} and string-length(@title) = 0 and string-length(@text) = 0]/@xmlUrl")), lambda u: F.struct(F.lit(None).cast("string").alias("name"), u.alias("url")))
+    return sound.select("outline_id", F.inline(F.concat(*lists, unnamed)))
 
 
 #: Schema of a raw post and what it becomes, by platform.
 POSTS = {
     "twitter": ("id_str string, text string, created_at string, user struct<screen_name:string>", "text", "created_at", "format_string('https://twitter.com/%s/status/%s', user.screen_name, id_str)"),
-    "telegram": ("id long, text string, date string, entity string", "text", "date", "format_string('https://t.me/%s/%s', entity, id)"),
+    "telegram": ("id long, text string, date string, entity string", "text", "date", "format_string('t.me/%s/%s', ltrim('@', entity), id)"),
     "youtube": ("id string, title string, description string, published_at string", "concat(coalesce(title, ''), ' ', coalesce(description, ''))", "published_at", "format_string('https://www.youtube.com/watch?v=%s', id)"),
 }
 
@@ -58,6 +70,16 @@ def ingest_posts(raw: DataFrame, kind: str) -> DataFrame:
     return made.filter(F.trim("content") != "")
 
 
+_COMMENT = "struct<id:string,text:string,author:string,publishedAt:string,likeCount:long,totalReplyCount:long>"
+
+
+def post_comments(raw: DataFrame, most: int = 50) -> DataFrame:
+    """Comments nested in raw videos (raw_id, json), a row each: place, comment_id, author, text, published, likes, replies; the first ``most`` of each."""
+    listed = raw.select("raw_id", F.from_json("json", f"comments array<{_COMMENT}>")["comments"].alias("c"))
+    rows = listed.select("raw_id", F.posexplode(F.slice("c", 1, most)).alias("place", "c"))
+    return rows.select("raw_id", "place", F.col("c.id").alias("comment_id"), "c.author", "c.text", F.col("c.publishedAt").alias("published"), F.col("c.likeCount").alias("likes"), F.col("c.totalReplyCount").alias("replies"))
+
+
 def prepare_web_content(pages: DataFrame, keywords: int = 10, summary: int = 500) -> DataFrame:
     """Pages (page_id, url, title, text, date) for analysis: cleaned text, a short summary, the most frequent words, an ISO date, and where it came from."""
     from storyweft.operators.text import _term_counts, _top

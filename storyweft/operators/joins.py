@@ -146,6 +146,7 @@ def edges_checked(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
 def get_or_create(existing: DataFrame, incoming: DataFrame, title: str = "title") -> DataFrame:
     """Items with their narrative: that of the title, or the smallest item id that brings a new title."""
     known = existing.groupBy(title).agg(F.min(KEY).alias(KEY))
-    first = F.min("item_id").over(Window.partitionBy(title))
-    rows = incoming.withColumn("first", first).join(known, title, "left")
+    # Aggregated and joined back, so a title that many items bring is no one task.
+    firsts = incoming.groupBy(title).agg(F.min("item_id").alias("first"))
+    rows = incoming.join(firsts, incoming[title].eqNullSafe(firsts[title])).drop(firsts[title]).join(known, title, "left")
     return rows.select("item_id", title, F.coalesce(KEY, "first").alias(KEY), F.col(KEY).isNull().alias("is_new"))

@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyweft.functions.text import ENTITY_PATTERNS, entities
+from storyweft.functions.text import ENTITY_PATTERNS, entities, is_claim, iso_time, sentences
 
 KEY = "narrative_id"
 
 
-def link_to_narrative(items: DataFrame, matches: DataFrame, narratives: DataFrame) -> dict[str, DataFrame]:
+def link_to_narrative(items: DataFrame, matches: DataFrame, narratives: DataFrame, verbs: Sequence[str] = (), known_nodes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Outcome of a batch of detected items (item_id, text, language, confidence, at) given their matches (item_id, narrative_id, similarity).
 
     ``links``: each item's narrative, new ones named after the first item with that text; ``updated``:
-    matched narratives with their last update and highest confidence; ``created``: new narratives;
-    ``edges``: items that support an existing narrative, weighted by similarity. Every item is judged by
-    the narratives before the batch, so its order doesn't matter.
+    matched narratives with their last update and highest confidence; ``created``: new narratives, titled
+    by the first claim of their text (a sentence with a number or one of ``verbs``), else by the text;
+    ``nodes``: belief nodes (node_type, content) to add, for new and matched narratives that have none
+    among the known ones, and for each item that matched; ``edges``: those items support the narrative, weighted by
+    similarity. Every item is judged by the narratives before the batch, so its order doesn't matter.
     """
     joined = items.join(matches, "item_id", "left")
-    first = F.min(F.when(F.col(KEY).isNull(), F.col("item_id"))).over(Window.partitionBy("language", "text"))
-    joined = joined.withColumn("first", first)
+    new_ones = joined.filter(F.col(KEY).isNull()).select("item_id", "language", F.xxhash64("text").alias("h"), "text")
+    # The smallest item of each text is aggregated and joined back, so a text that many items share is no one task.
+    firsts = new_ones.groupBy("language", "h", "text").agg(F.min("item_id").alias("first")).select(F.col("language").alias("l"), F.col("h").alias("k"), F.col("text").alias("t"), "first")
+    owner = new_ones.join(firsts, F.col("language").eqNullSafe(F.col("l")) & (F.col("h") == F.col("k")) & F.col("text").eqNullSafe(F.col("t"))).select("item_id", "first")
+    joined = joined.join(owner, "item_id", "left")
     links = joined.select("item_id", F.coalesce(F.col(KEY), -F.col("first") - 1).alias(KEY), F.col(KEY).isNull().alias("is_new"), "similarity")
     hit = joined.filter(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.max("at").alias("seen"), F.max("confidence").alias("sure"))
     updated = narratives.join(hit, KEY).select(KEY, F.greatest("last_updated", "seen").alias("last_updated"), F.greatest("confidence_score", "sure").alias("confidence_score"))
     new = joined.filter(F.col(KEY).isNull()).groupBy("first", "language", "text").agg(F.max("confidence").alias("confidence_score"), F.min("at").alias("first_detected"), F.max("at").alias("last_updated"))
-    created = new.select((-F.col("first") - 1).alias(KEY), F.substring("text", 1, 100).alias("title"), F.substring("text", 1, 500).alias("description"), "language", "confidence_score", "first_detected", "last_updated")
-    edges = joined.filter(F.col(KEY).isNotNull()).select(F.col("item_id").alias("a"), F.col(KEY).alias("b"), F.lit("supports").alias("relation"), F.col("similarity").alias("weight"))
-    return {"links": links, "updated": updated, "created": created, "edges": edges}
+    claims = F.filter(sentences(F.col("text")), lambda s: is_claim(s, verbs))
+    title = F.substring(F.when(F.size(claims) > 0, F.element_at(claims, 1)).otherwise(F.col("text")), 1, 100)
+    created = new.select((-F.col("first") - 1).alias(KEY), title.alias("title"), F.substring("text", 1, 500).alias("description"), "language", "confidence_score", "first_detected", "last_updated")
+    matched = joined.filter(F.col(KEY).isNotNull())
+    edges = matched.select(F.col("item_id").alias("a"), F.col(KEY).alias("b"), F.lit("supports").alias("relation"), F.col("similarity").alias("weight"))
+    titles = created.select("title").unionByName(narratives.join(hit, KEY, "left_semi").select("title")).select(F.lit("narrative").alias("node_type"), F.col("title").alias("content")).distinct()
+    if known_nodes is not None:
+        titles = titles.join(known_nodes.select("node_type", "content"), ["node_type", "content"], "left_anti")
+    nodes = titles.unionByName(matched.select(F.lit("instance").alias("node_type"), F.substring("text", 1, 200).alias("content")))
+    return {"links": links, "updated": updated, "created": created, "nodes": nodes, "edges": edges}
 
 
 def belief_network(narratives: DataFrame, similar: DataFrame, known_nodes: DataFrame, known_edges: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) to add: a node for each narrative that has none, and an edge 'similar' for each pair above a limit that isn't there in either direction."""
+    """(nodes, edges) to add: a node for each active narrative that has none, and an edge 'similar' for each pair of them above a limit that isn't there in either direction."""
     from storyweft.operators.joins import new_edges
 
+    narratives = narratives.filter("status = 'active'")
+    live = narratives.select(F.col(KEY).alias("node")).distinct()
+    similar = similar.join(live.withColumnRenamed("node", "a"), "a", "left_semi").join(live.withColumnRenamed("node", "b"), "b", "left_semi")
     nodes = narratives.select(F.col(KEY).alias("node")).distinct().join(known_nodes.select("node"), "node", "left_anti")
     strong = similar.filter(F.col("similarity") > least)
     fresh = new_edges(strong.select("a", "b"), known_edges.select("a", "b"))
@@ -50,8 +67,8 @@ def campaigns_by_text(clusters: DataFrame, narratives: DataFrame, least: int = 2
 
 
 def temporal_map(clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """Cluster members' times (cluster, narrative_id, at), a row each; members whose time isn't ISO are skipped."""
-    parsed = members.select(KEY, F.try_to_timestamp("at", F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("at")).filter("at IS NOT NULL")
+    """Cluster members' times (cluster, narrative_id, at), a row each; members whose time isn't ISO 8601 are skipped."""
+    parsed = members.select(KEY, iso_time(F.col("at")).alias("at")).filter("at IS NOT NULL")
     return clusters.join(parsed, KEY).select("cluster", KEY, "at")
 
 

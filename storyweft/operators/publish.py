@@ -56,6 +56,21 @@ def bundle(heads: DataFrame, parts: DataFrame, key: str, name: str, most: int) -
     return joined.select(key, F.to_json(F.struct(*sorted(joined.columns))).alias("document"))
 
 
+def evidence_bundle(records: DataFrame) -> DataFrame:
+    """Publication documents (JSON) of evidence records: record_id, content_hash, source_url, captured, content_type, verified, verification_method, metadata (JSON), content_data.
+
+    Missing fields are written as null; the content itself only where there is some; metadata that is no JSON object is empty.
+    """
+    meta = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    fields = [
+        F.lit("evidence_record").alias("type"), F.concat(F.lit("evidence-"), "record_id").alias("id"), F.col("content_hash").alias("hash"), "source_url",
+        F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss").alias("capture_date"), "content_type", "verified", "verification_method", meta.alias("metadata"), F.lit("1.0").alias("version"),
+    ]
+    keep = {"ignoreNullFields": "false"}
+    document = F.when(F.coalesce(F.col("content_data"), F.lit("")) == "", F.to_json(F.struct(*fields), keep)).otherwise(F.to_json(F.struct(*fields, "content_data"), keep))
+    return records.select("record_id", document.alias("document"))
+
+
 def content_catalog(publications: DataFrame) -> DataFrame:
     """Latest publication of each content."""
     return publications.groupBy("content_id").agg(F.max_by("hash", "at").alias("hash"), F.max("at").alias("at"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyweft.functions.lineage import cut
-from storyweft.functions.text import detect_language, sentences, words
+from storyweft.functions.lineage import MAX_BROADCAST, cut, spread
+from storyweft.functions.text import detect_language, is_claim, sentences, words
 from storyweft.operators.joins import pairs_within
 
 KEY = "narrative_id"
@@ -42,12 +42,12 @@ def _top(counts: DataFrame, k: int, name: str) -> DataFrame:
 
 def keywords(texts: DataFrame, k: int, stop_words: Sequence[str] = ()) -> DataFrame:
     """The k most frequent words of each text; a narrow job."""
-    return _top(_term_counts(texts, _own_words(stop_words, 3)), k, "word")
+    return _top(_term_counts(spread(texts.select(KEY, "text")), _own_words(stop_words, 3)), k, "word")
 
 
 def key_phrases(texts: DataFrame, k: int) -> DataFrame:
     """The k most frequent pairs of neighbouring words of each text; a narrow job."""
-    own = texts.select(KEY, words(F.col("text")).alias("own"))
+    own = spread(texts.select(KEY, "text")).select(KEY, words(F.col("text")).alias("own"))
     last = F.greatest(F.size("own") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("own", F.lit(1), last), F.slice("own", F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
     return _top(_term_counts(own, pairs), k, "phrase")
@@ -56,14 +56,14 @@ def key_phrases(texts: DataFrame, k: int) -> DataFrame:
 def tfidf(texts: DataFrame, max_features: int, stop_words: Sequence[str] = ()) -> DataFrame:
     """(narrative_id, word, weight): the most frequent words, smoothed idf, unit length.
 
-    Totals by word choose the vocabulary; only its words are then counted by text, so no other word is shuffled with its text.
+    Words are counted within their text's row, once, and stored; totals by word choose the vocabulary, and
+    only its words are shuffled with their texts.
     """
-    own = texts.select(KEY, F.explode_outer(_own_words(stop_words, 2)).alias("word")).filter("word is not null")
-    top = own.groupBy("word").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "word").limit(max_features)
-    counts = own.join(F.broadcast(top.select("word")), "word").groupBy(KEY, "word").agg(F.count(F.lit(1)).alias("n"))  # max_features rows
-    n = texts.agg(F.count(F.lit(1)).alias("docs"))  # one row
-    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(n)).select("word", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    rows = cut(_term_counts(spread(texts.select(KEY, "text")), _own_words(stop_words, 2)))
+    counts = rows.select(KEY, F.inline("counts")).withColumnRenamed("term", "word")
+    top = counts.groupBy("word").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "word").limit(max_features)
+    n = rows.agg(F.count(F.lit(1)).alias("docs"))  # one row
+    idf = top.join(F.broadcast(n)).select("word", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # max_features rows
     raw = counts.join(F.broadcast(idf), "word").select(KEY, "word", (F.col("n") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(KEY)))
     return raw.select(KEY, "word", (F.col("w") / norm).alias("weight"))
@@ -92,7 +92,10 @@ def best_match(items: DataFrame, narratives: DataFrame, newest: int, least: floa
     """Each item's most similar narrative (Jaccard of word sets) among the newest of its language, above a limit."""
     place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("last_updated"), KEY))
     recent = narratives.withColumn("place", place).filter(F.col("place") <= newest).select(KEY, "language", F.array_distinct(words(F.col("text"))).alias("theirs"))
-    joined = items.select("item_id", "language", F.array_distinct(words(F.col("text"))).alias("own")).join(F.broadcast(recent), "language")  # ``newest`` rows a language
+    recent = cut(recent)
+    held = recent.agg(F.coalesce(F.sum(F.aggregate("theirs", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 16)), F.lit(0))).first()[0]
+    # ``newest`` texts of every language: broadcast where they are small, else joined by language, which AQE may split.
+    joined = items.select("item_id", "language", F.array_distinct(words(F.col("text"))).alias("own")).join(F.broadcast(recent) if held <= MAX_BROADCAST else recent, "language")
     score = F.size(F.array_intersect("own", "theirs")) / F.greatest(F.lit(1), F.size(F.array_union("own", "theirs")))
     best = joined.select("item_id", KEY, F.round(score, 6).alias("similarity")).groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col(KEY)).alias("k"))).alias("m"))
     return best.select("item_id", (-F.col("m.k")).alias(KEY), F.col("m.similarity").alias("similarity")).filter(F.col("similarity") > least)
@@ -154,21 +157,17 @@ def indicator_score(texts: DataFrame, claims: Column, phrases: dict[str, Sequenc
     return texts.select(KEY, score_columns(claims, phrases or INDICATORS, default).alias("score"))
 
 
-def _is_claim(sentence: Column, verbs: Sequence[str]) -> Column:
-    return sentence.rlike(r"[0-9]|(?i)\b(?:" + "|".join(verbs) + r")\b") & ~sentence.endswith("?")
-
-
 def detect(texts: DataFrame, verbs: Sequence[str], phrases: dict[str, Sequence[str]] | None = None, threshold: float = 0.75) -> DataFrame:
     """Language, score and flag of each text; its claims are its sentences with a number or a claim verb."""
-    claims = F.size(F.filter(sentences(F.col("text")), lambda s: _is_claim(s, verbs)))
-    scores = indicator_score(texts, claims, phrases)
-    return texts.select(KEY, detect_language(F.col("text")).alias("language")).join(scores, KEY).withColumn("flagged", F.col("score") >= threshold)
+    claims = F.size(F.filter(sentences(F.col("text")), lambda s: is_claim(s, verbs)))
+    rows = texts.select(KEY, detect_language(F.col("text")).alias("language"), score_columns(claims, phrases or INDICATORS).alias("score"))
+    return rows.withColumn("flagged", F.col("score") >= threshold)
 
 
 def claim_candidates(texts: DataFrame, verbs: Sequence[str]) -> DataFrame:
     """Sentences that hold a number or a claim verb."""
     own = texts.select(KEY, F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-    return own.filter(_is_claim(F.col("sentence"), verbs))
+    return own.filter(is_claim(F.col("sentence"), verbs))
 
 
 def summarize(texts: DataFrame, n: int) -> DataFrame:

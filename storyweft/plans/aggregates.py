@@ -69,9 +69,9 @@ def _(t: Tables):
     return Q.month_over_month(t.misinfo_events, "2024-01", "2023-12")
 
 
-@query("a8_reliability_score", "SELECT source_id, COUNT(*) AS events, greatest(0, 100 - least(100, 5 * COUNT(*))) AS reliability FROM misinfo_events WHERE detected_at < TIMESTAMP '2024-01-06' GROUP BY 1")
+@query("a8_reliability_score", "SELECT source_id, COUNT(*) AS events, greatest(0, 100 - least(100, 5 * COUNT(*))) AS reliability FROM misinfo_events GROUP BY 1")
 def _(t: Tables):
-    return Q.source_scores(t.misinfo_events.filter("detected_at < TIMESTAMP_NTZ '2024-01-06'"))
+    return Q.source_scores(t.misinfo_events)
 
 
 @query("a9_detection_ratio", "SELECT source_id, ROUND(AVG(CASE WHEN COALESCE(correct_detection, FALSE) THEN 1 ELSE 0 END), 6) AS ratio FROM misinfo_events GROUP BY 1")

@@ -37,9 +37,27 @@ def _(t: Tables):
     return _R(P.rank_trends(P.trend_metrics(long_scores(t)), 10), "slope")
 
 
-@query("t4_seasonality")
+_SEASON = """d AS (SELECT narrative_id, i, len, n - LAG(n) OVER (PARTITION BY narrative_id ORDER BY day) AS d FROM series),
+lags AS (SELECT x.narrative_id, x.len, k AS lag, SUM(x.d * y.d) AS s FROM (SELECT unnest(range(1, 15)) AS k) JOIN d x ON k <= x.len // 3 JOIN d y ON y.narrative_id = x.narrative_id AND y.i = x.i + k WHERE x.len >= 28 GROUP BY 1, 2, 3),
+acf AS (SELECT narrative_id, len, lag, CASE WHEN MAX(s) OVER w <> 0 THEN s / MAX(s) OVER w END AS acf FROM lags WINDOW w AS (PARTITION BY narrative_id))"""
+
+
+def _p(z: str) -> str:
+    """Two-sided probability of a normal value, by the gamma function."""
+    x = f"(least(9.0, abs({z})) / sqrt(2))"
+    return f"CASE WHEN {z} = 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln({x}) - lgamma(k + 1.5) - {x} * {x})))) END"
+
+
+@query("t4_seasonality", f"""WITH {_SEASON}, e AS (SELECT *, CASE WHEN acf = LAG(acf) OVER (PARTITION BY narrative_id ORDER BY lag) THEN 0 ELSE 1 END AS new FROM acf), r AS (SELECT *, SUM(new) OVER (PARTITION BY narrative_id ORDER BY lag) AS run FROM e), g AS (SELECT narrative_id, len, run, MAX(acf) AS acf, (MIN(lag) + MAX(lag)) // 2 AS lag FROM r GROUP BY 1, 2, 3), n AS (SELECT *, LAG(acf) OVER (PARTITION BY narrative_id ORDER BY run) AS before, LEAD(acf) OVER (PARTITION BY narrative_id ORDER BY run) AS after FROM g), peaks AS (SELECT * FROM n WHERE acf >= 0.3 AND acf > before AND acf > after),
+best AS (SELECT narrative_id, len, arg_min(lag, (-acf, lag)) AS period, MAX(acf) AS strength, string_agg(CAST(lag AS VARCHAR), ',' ORDER BY lag) AS peaks FROM peaks GROUP BY 1, 2), z AS (SELECT *, strength * sqrt(len) AS z FROM best), p AS (SELECT *, {_p("z")} AS p_value FROM z)
+SELECT k.narrative_id, COALESCE(p_value, 1) < 0.05 AS seasonal, CAST(period AS INT) AS period, ROUND(COALESCE(strength, 0), 6) AS strength, ROUND(COALESCE(p_value, 1), 6) AS p_value, COALESCE(peaks, '') AS peaks FROM (SELECT DISTINCT narrative_id FROM daily) k LEFT JOIN p ON p.narrative_id = k.narrative_id""")
 def _(t: Tables):
-    return _R(P.seasonality(S.autocorrelation(t.daily, 14)), "acf")
+    return _R(P.seasonality(t.daily, 14), "strength", "p_value")
+
+
+@query("t4_common_periods", f"WITH {_SEASON}, k AS (SELECT DISTINCT narrative_id, len, period FROM acf, (SELECT unnest([1, 7, 14, 30]) AS period) WHERE period < len // 3), s AS (SELECT k.narrative_id, len, period, COALESCE((SELECT acf FROM acf a WHERE a.narrative_id = k.narrative_id AND a.lag = k.period), 0) AS strength FROM k), z AS (SELECT *, strength * sqrt(len) AS z FROM s), p AS (SELECT *, {_p('z')} AS p_value FROM z) SELECT narrative_id, CAST(period AS INT) AS period, ROUND(strength, 6) AS strength, p_value < 0.05 AS significant, ROUND(p_value, 6) AS p_value FROM p")
+def _(t: Tables):
+    return _R(P.common_periods(t.daily, 14), "strength", "p_value")
 
 
 @query("t6_forecast_linear", f"WITH {_FIT}, {_STEPS}, f AS (SELECT narrative_id, step, intercept + slope * (points - 1 + step) AS yhat, {_T}[CAST(points - 2 AS INT)] * sqrt(greatest(0.0, syy * (1 - r2)) / (points - 2)) * sqrt(1 + 1 / points + power(points - 1 + step - mx, 2) / sxx) AS half FROM fit CROSS JOIN steps), g AS (SELECT narrative_id, step, yhat, yhat - half AS lower, yhat + half AS upper FROM f) SELECT {_ROUND} FROM g")
@@ -47,11 +65,22 @@ def _(t: Tables):
     return _R(P.forecast_linear(t.daily, 7), *_F)
 
 
-@query("t7_forecast_holt")
+_LISTS = {"a": list(P.ALPHAS), "b": list(P.BETAS), "g": list(P.GAMMAS)}
+_SMOOTHED = f"last AS (SELECT *, sqrt(greatest(0.0, sse / m - power(total / m, 2))) AS sd FROM fold WHERE i = len - 1 QUALIFY ROW_NUMBER() OVER (PARTITION BY narrative_id ORDER BY ROUND(sse, 9), a, b, g) = 1), made AS (SELECT narrative_id, step, level + trend * step + season[(len - 1 + step) % 7 + 1] AS yhat, sd FROM last CROSS JOIN steps), g AS (SELECT narrative_id, step, yhat, greatest(0.0, yhat - 1.96 * sd) AS lower, yhat + 1.96 * sd AS upper FROM made) SELECT {_ROUND} FROM g"
+_FOLD = "UNION ALL SELECT f.narrative_id, a, b, g, f.i + 1, f.len, a * (s.n - season[(f.i + 1) % 7 + 1]) + (1 - a) * (level + trend), b * (a * (s.n - season[(f.i + 1) % 7 + 1]) + (1 - a) * (level + trend) - level) + (1 - b) * trend, list_transform(season, lambda x, k: CASE WHEN k = (f.i + 1) % 7 + 1 THEN g * (s.n - (a * (s.n - x) + (1 - a) * (level + trend))) + (1 - g) * x ELSE x END), sse + power(s.n - level - trend - season[(f.i + 1) % 7 + 1], 2), total + s.n - level - trend - season[(f.i + 1) % 7 + 1], m + 1 FROM fold f JOIN series s ON s.narrative_id = f.narrative_id AND s.i = f.i + 1)"
+_GRID = "grid AS (SELECT a, b, g FROM (SELECT unnest({a}) AS a), (SELECT unnest({b}) AS b), (SELECT unnest({g}) AS g))"
+
+
+@query("t7_forecast_holt", f"WITH {_STEPS}, {_GRID.format(**_LISTS | {'g': [0.0]})}, fold AS (SELECT s.narrative_id, a, b, g, 0 AS i, s.len, CAST(s.n AS DOUBLE) AS level, CAST(r.n - s.n AS DOUBLE) AS trend, [0.0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS season, 0.0::DOUBLE AS sse, 0.0::DOUBLE AS total, 0 AS m FROM series s JOIN series r ON r.narrative_id = s.narrative_id AND r.i = 1, grid WHERE s.i = 0 {_FOLD}, {_SMOOTHED}")
 def _(t: Tables):
     return _R(P.forecast_holt(t.daily, 7), *_F)
 
 
+@query("t7_forecast_seasonal", f"WITH {_STEPS}, {_GRID.format(**_LISTS)}, head AS (SELECT narrative_id, len, AVG(n) FILTER (WHERE i < 7) AS level, (AVG(n) FILTER (WHERE i >= 7 AND i < 14) - AVG(n) FILTER (WHERE i < 7)) / 7 AS trend, list(n ORDER BY i) FILTER (WHERE i < 7) AS first FROM series GROUP BY 1, 2), fold AS (SELECT narrative_id, a, b, g, 6 AS i, len, level, trend, list_transform(first, lambda v: v - level)::DOUBLE[] AS season, 0.0::DOUBLE AS sse, 0.0::DOUBLE AS total, 0 AS m FROM head, grid {_FOLD}, {_SMOOTHED}")
+def _(t: Tables):
+    return _R(P.forecast_holt(t.daily, 7, 7), *_F)
+
+
 _AR = """d0 AS (SELECT *, n - LAG(n) OVER (PARTITION BY narrative_id ORDER BY day) AS d FROM daily), d1 AS (SELECT *, LAG(d) OVER (PARTITION BY narrative_id ORDER BY day) AS p FROM d0),
 a0 AS (SELECT narrative_id, arg_max(n, day) AS last, arg_max(d, day) AS d, SUM(d * p) AS dp, SUM(CASE WHEN d IS NOT NULL THEN p * p END) AS pp, SUM(CASE WHEN p IS NOT NULL THEN d * d END) AS dd, COUNT(p) AS m FROM d1 GROUP BY 1),
 a1 AS (SELECT *, greatest(-0.99, least(0.99, CASE WHEN pp <> 0 THEN dp / pp ELSE 0.0 END)) AS phi FROM a0 WHERE m > 0), a2 AS (SELECT *, sqrt(greatest(0.0, dd - 2 * phi * dp + phi * phi * pp) / m) AS sigma FROM a1),
@@ -68,12 +97,15 @@ def _(t: Tables):
     return _R(P.forecast_simple(t.daily, 7), *_F)
 
 
-_SHORT = "c AS (SELECT narrative_id, CAST(detected_at AS DATE) AS day, COUNT(*) AS n FROM misinfo_events WHERE detected_at >= TIMESTAMP '2024-01-26' GROUP BY 1, 2), m AS (SELECT narrative_id, AVG(n) AS mean, CASE WHEN COUNT(*) > 1 THEN (arg_max(n, day) - arg_min(n, day)) / (COUNT(*) - 1) ELSE 0.0 END AS slope FROM c GROUP BY 1), short AS (SELECT narrative_id, step, greatest(0.0, mean + slope * step) AS yhat FROM m CROSS JOIN steps), g AS (SELECT narrative_id, step, yhat, yhat * 0.7 AS lower, yhat * 1.3 AS upper FROM short)"
+_SHORT = "c AS (SELECT narrative_id, CAST(detected_at AS DATE) AS day, COUNT(*) AS n FROM (SELECT narrative_id * 100 + source_id AS narrative_id, detected_at FROM misinfo_events) GROUP BY 1, 2 QUALIFY COUNT(*) OVER (PARTITION BY narrative_id) < 7), m AS (SELECT narrative_id, AVG(n) AS mean, CASE WHEN COUNT(*) > 1 THEN (arg_max(n, day) - arg_min(n, day)) / (COUNT(*) - 1) ELSE 0.0 END AS slope FROM c GROUP BY 1), short AS (SELECT narrative_id, step, greatest(0.0, mean + slope * step) AS yhat FROM m CROSS JOIN steps), g AS (SELECT narrative_id, step, yhat, yhat * 0.7 AS lower, yhat * 1.3 AS upper FROM short)"
 
 
 def _short_series(t: Tables):
-    rows = t.misinfo_events.filter("detected_at >= TIMESTAMP_NTZ '2024-01-26'")
-    return rows.groupBy("narrative_id", F.to_date("detected_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """Series of fewer than seven days with errors, of each narrative and source."""
+    rows = t.misinfo_events.withColumn("narrative_id", F.col("narrative_id") * 100 + F.col("source_id"))
+    daily = rows.groupBy("narrative_id", F.to_date("detected_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    short = daily.groupBy("narrative_id").agg(F.count(F.lit(1)).alias("days")).filter("days < 7")
+    return daily.join(short, "narrative_id", "left_semi")
 
 
 @query("t10_forecast_short", f"WITH {_STEPS}, {_SHORT} SELECT {_ROUND} FROM g")
@@ -91,9 +123,9 @@ def _(t: Tables):
     return _R(P.forecast_summary(P.forecast_ar(t.daily, 7)).drop("peak_step"), "peak")
 
 
-@query("t13_choose_forecast", f"WITH {_STEPS}, {_AR}, {_SHORT} SELECT {_ROUND}, 'ar' AS method FROM forecast UNION ALL SELECT narrative_id + 100000, CAST(step AS INT), ROUND(yhat, 6), ROUND(lower, 6), ROUND(upper, 6), 'short' FROM g")
+@query("t13_choose_forecast", f"WITH {_STEPS}, {_AR}, {_SHORT} SELECT {_ROUND}, 'ar' AS method FROM forecast UNION ALL SELECT narrative_id + 1000000000, CAST(step AS INT), ROUND(yhat, 6), ROUND(lower, 6), ROUND(upper, 6), 'short' FROM g")
 def _(t: Tables):
-    mixed = t.daily.unionByName(_short_series(t).withColumn("narrative_id", F.col("narrative_id") + 100000))
+    mixed = t.daily.unionByName(_short_series(t).withColumn("narrative_id", F.col("narrative_id") + 1000000000))
     return _R(P.choose_forecast(mixed, 7), *_F)
 
 
@@ -141,9 +173,18 @@ def _(t: Tables):
     return _R(ends.select(F.col("narrative_id").alias("source_id"), "predicted", Q.trend_of(F.col("predicted"), F.col("first"), 0.1).alias("trend"), Q.risk_level(F.col("predicted")).alias("risk")), "predicted")
 
 
-@query("t21_predict_evolution", f"WITH {_METRICS} SELECT narrative_id, dimension, ROUND(greatest(0.0, least(10.0, latest + slope * 7)), 6) AS yhat, CASE WHEN slope > 0.1 THEN 'rapidly increasing' WHEN slope > 0.05 THEN 'increasing' WHEN slope > 0.01 THEN 'slightly increasing' WHEN slope >= -0.01 THEN 'stable' WHEN slope >= -0.05 THEN 'slightly decreasing' WHEN slope >= -0.1 THEN 'decreasing' ELSE 'rapidly decreasing' END AS direction, CASE WHEN slope > 0 AND latest < 8.5 AND ceil(round((8.5 - latest) / slope, 6)) <= 30 THEN CAST(ceil(round((8.5 - latest) / slope, 6)) AS DOUBLE) END AS days_to_limit FROM metrics")
+_BANDS = "CASE WHEN slope > 0.1 THEN 'strong_increase' WHEN slope > 0.05 THEN 'moderate_increase' WHEN slope > 0.01 THEN 'slight_increase' WHEN slope < -0.1 THEN 'strong_decrease' WHEN slope < -0.05 THEN 'moderate_decrease' WHEN slope < -0.01 THEN 'slight_decrease' ELSE 'stable' END"
+_EVOLUTION = "x AS (SELECT *, date_diff('day', MIN(day) OVER (PARTITION BY narrative_id, dimension), day) AS x FROM scores), f AS (SELECT narrative_id, dimension, regr_slope(score, x) AS s, regr_intercept(score, x) AS c, COALESCE(regr_r2(score, x), 0) AS r2, MAX(x) AS last, MAX(day) AS last_day, arg_max(score, day) AS latest FROM x GROUP BY 1, 2), e AS (SELECT *, COALESCE(s, 0) AS slope FROM f)"
+
+
+@query("t21_predict_evolution", f"WITH {_EVOLUTION} SELECT narrative_id, dimension, ROUND(CASE WHEN s IS NULL THEN latest ELSE greatest(0.0, least(10.0, s * (last + 7) + c)) END, 6) AS yhat, ROUND(slope, 6) AS slope, ROUND(r2, 6) AS r2, {_BANDS} AS direction, CASE WHEN slope > 0 AND latest < 8.5 AND (8.5 - latest) / slope < 30 THEN last_day + CAST(floor(ROUND((8.5 - latest) / slope, 6)) AS INT) END AS peak_day FROM e", dates="peak_day")
+def _(t: Tables):
+    return _R(P.predict_evolution(long_scores(t), 7), "yhat", "slope", "r2")
+
+
+@query("t21_evolution_factors", f"WITH {_EVOLUTION}, n AS (SELECT narrative_id, slope, CASE dimension WHEN 'linguistic' THEN 0 WHEN 'logical' THEN 1 WHEN 'rhetorical' THEN 2 WHEN 'emotional' THEN 3 END AS k, ['linguistic_complexity', 'logical_structure', 'rhetorical_techniques', 'emotional_manipulation'] AS names FROM e), g AS (SELECT narrative_id, CAST(ROW_NUMBER() OVER (PARTITION BY narrative_id ORDER BY abs(slope) DESC, k) - 1 AS INT) AS place, names[k + 1] || CASE WHEN slope > 0 THEN ' is increasing' ELSE ' is decreasing' END || ' significantly' AS factor FROM n WHERE k IS NOT NULL AND abs(slope) > 0.05) SELECT * FROM g UNION ALL SELECT DISTINCT narrative_id, 0, 'complexity is relatively stable across all dimensions' FROM e WHERE narrative_id NOT IN (SELECT narrative_id FROM g)")
 def _(t: Tables):
-    return _R(P.predict_evolution(P.trend_metrics(long_scores(t)), 7), "yhat").withColumn("days_to_limit", F.col("days_to_limit").cast("double"))
+    return P.evolution_factors(P.predict_evolution(long_scores(t), 7))
 
 
 @query("t22_trending_complexity", f"WITH {_METRICS} SELECT narrative_id, ROUND(slope, 6) AS slope, ROUND(acceleration, 6) AS acceleration, latest, CASE WHEN latest < 8.5 THEN CAST(ceil(round((8.5 - latest) / slope, 6)) AS BIGINT) ELSE 0 END AS days_to_limit FROM metrics WHERE dimension = 'overall' AND slope > 0.05 ORDER BY metrics.slope DESC, narrative_id LIMIT 20")

@@ -16,13 +16,13 @@ from storyweft.plans.texts import _TFIDF, _texts, _w
 from storyweft.plans.vectors import _D, _NEAR, _TWO, _centroids, _vectors
 from storyweft.sources.tables import Tables
 
-_MATCH = f"w AS (SELECT narrative_id, language, last_updated, description, list_distinct({_w('description')}) AS w FROM narratives), r AS (SELECT * FROM w QUALIFY ROW_NUMBER() OVER (PARTITION BY language ORDER BY last_updated DESC, narrative_id) <= 10), p AS (SELECT i.narrative_id AS item_id, r.narrative_id, ROUND(len(list_intersect(i.w, r.w)) / greatest(1, len(list_distinct(list_concat(i.w, r.w)))), 6) AS similarity FROM w i JOIN r USING (language)), best AS (SELECT item_id, narrative_id, similarity FROM p WHERE similarity > 0.15 QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY similarity DESC, p.narrative_id) = 1)"
+_MATCH = f"w AS (SELECT narrative_id, language, last_updated, description, list_distinct({_w('description')}) AS w FROM narratives), r AS (SELECT * FROM w QUALIFY ROW_NUMBER() OVER (PARTITION BY language ORDER BY last_updated DESC, narrative_id) <= 10), p AS (SELECT i.narrative_id AS item_id, r.narrative_id, ROUND(len(list_intersect(i.w, r.w)) / greatest(1, len(list_distinct(list_concat(i.w, r.w)))), 6) AS similarity FROM w i JOIN r USING (language)), best AS (SELECT item_id, narrative_id, similarity FROM p WHERE similarity > 0.85 QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY similarity DESC, p.narrative_id) = 1)"
 
 
 def _linked(t: Tables):
     rows = _texts(t)
     items = t.narratives.select(F.col("narrative_id").alias("item_id"), F.col("description").alias("text"), "language", F.col("confidence_score").alias("confidence"), F.col("last_updated").alias("at"))
-    matches = T.best_match(items.select("item_id", "text", "language"), rows, 10, 0.15)
+    matches = T.best_match(items.select("item_id", "text", "language"), rows, 10, 0.85)
     return L.link_to_narrative(items, matches, t.narratives)
 
 
@@ -36,10 +36,28 @@ def _(t: Tables):
     return _linked(t)["updated"]
 
 
-@query("g10_belief_network", f"WITH {_TFIDF}, s AS (SELECT x.narrative_id AS a, y.narrative_id AS b, ROUND(SUM(x.weight * y.weight), 6) AS weight FROM tf x JOIN tf y ON y.word = x.word AND x.narrative_id < y.narrative_id GROUP BY 1, 2 HAVING SUM(x.weight * y.weight) > 0.8) SELECT a, b, 'similar' AS relation, weight FROM s WHERE a % 4 <> 0")
+@query("x9_belief_nodes", f"WITH {_MATCH} SELECT 'narrative' AS node_type, title AS content FROM (SELECT DISTINCT title FROM narratives WHERE narrative_id IN (SELECT narrative_id FROM best)) WHERE title NOT IN (SELECT title FROM narratives WHERE narrative_id % 2 = 0) UNION ALL SELECT 'instance', substr(description, 1, 200) FROM narratives JOIN best ON item_id = narratives.narrative_id")
 def _(t: Tables):
-    similar = _R(T.similar_pairs(T.tfidf(_texts(t), 300), 0.8), "similarity")
-    known = similar.filter("a % 4 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    """Nodes of matched narratives and items; titles of narratives with an even id are known already, those of new ones are tested by hand."""
+    rows = _texts(t)
+    items = t.narratives.select(F.col("narrative_id").alias("item_id"), F.col("description").alias("text"), "language", F.col("confidence_score").alias("confidence"), F.col("last_updated").alias("at"))
+    matches = T.best_match(items.select("item_id", "text", "language"), rows, 10, 0.85)
+    known = t.narratives.filter("narrative_id % 2 = 0").select(F.lit("narrative").alias("node_type"), F.col("title").alias("content"))
+    return L.link_to_narrative(items.join(matches.select("item_id"), "item_id", "left_semi"), matches, t.narratives, known_nodes=known)["nodes"]
+
+
+@query("g10_belief_nodes", "SELECT narrative_id AS node FROM narratives WHERE status = 'active' AND narrative_id % 3 <> 0")
+def _(t: Tables):
+    known = t.narratives.filter("narrative_id % 3 = 0").select(F.col("narrative_id").alias("node"))
+    none = known.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity")).filter("false")
+    return L.belief_network(t.narratives, none, known, none.select("a", "b"), 0.5)[0]
+
+
+@query("g10_belief_network", f"WITH live AS (SELECT * FROM narratives WHERE status = 'active'), {_TFIDF.replace('FROM narratives', 'FROM live')}, s AS (SELECT x.narrative_id AS a, y.narrative_id AS b, ROUND(SUM(x.weight * y.weight), 6) AS weight FROM tf x JOIN tf y ON y.word = x.word AND x.narrative_id < y.narrative_id GROUP BY 1, 2 HAVING SUM(x.weight * y.weight) > 0.8) SELECT a, b, 'similar' AS relation, weight FROM s WHERE a % 8 <> 0")
+def _(t: Tables):
+    live = t.narratives.filter("status = 'active'").select("narrative_id", F.col("description").alias("text"))
+    similar = _R(T.similar_pairs(T.tfidf(live, 300), 0.8), "similarity")
+    known = similar.filter("a % 8 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))
     nodes = t.narratives.select(F.col("narrative_id").alias("node"))
     return L.belief_network(t.narratives, similar, nodes, known, 0.8)[1]
 
@@ -49,10 +67,19 @@ def _(t: Tables):
     return _R(L.campaigns_by_text(t.narratives.select("narrative_id", F.col("source").alias("cluster")), t.narratives), "threat")
 
 
-@query("t30_temporal_map", "SELECT source AS cluster, narrative_id, strftime(last_updated, '%Y-%m-%d 00:00:00') AS at FROM narratives WHERE narrative_id % 3 <> 0")
+@query("t30_temporal_map", "SELECT source AS cluster, narrative_id, strftime(CASE narrative_id % 8 WHEN 0 THEN last_updated + INTERVAL 30 HOUR WHEN 1 THEN last_updated + INTERVAL 1 HOUR WHEN 2 THEN last_updated + INTERVAL 90 MINUTE WHEN 5 THEN date_trunc('week', last_updated) + INTERVAL 2 DAY WHEN 6 THEN last_updated + INTERVAL 250 MILLISECOND ELSE last_updated END, '%Y-%m-%d %H:%M:%S') AS at FROM narratives WHERE narrative_id % 8 <> 7")
 def _(t: Tables):
-    at = F.when(F.col("narrative_id") % 3 != 0, F.concat(F.col("last_updated").cast("string"), F.lit("T00:00:00"))).otherwise("no date")
-    return L.temporal_map(t.narratives.select("narrative_id", F.col("source").alias("cluster")), t.narratives.select("narrative_id", at.alias("at")))
+    """All forms of ISO times in turn; every eighth time is none."""
+    day = F.col("last_updated")
+    d, n = day.cast("string"), F.col("narrative_id") % 8
+    forms = (F.concat(F.date_add(day, 1).cast("string"), F.lit("T08:00:00+02:00")), F.concat(d, F.lit("T01:00:00Z")), F.concat(d, F.lit(" 0130")), d, F.date_format(day, "yyyyMMdd"), None, F.concat(d, F.lit("T00:00:00.250000")))
+    at = F.lit("2024-13-01")
+    for k, form in enumerate(forms):
+        if form is not None:
+            at = F.when(n == k, form).otherwise(at)
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"), F.lit("-3"))
+    members = t.narratives.select("narrative_id", F.when(n == 5, week).otherwise(at).alias("at"))
+    return L.temporal_map(t.narratives.select("narrative_id", F.col("source").alias("cluster")), members).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
 _FIRST = "f AS (SELECT doc_id // 50 AS narrative_id, text FROM documents QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) <= 20)"
@@ -82,6 +109,21 @@ def _(t: Tables):
     return t.instances.select("narrative_id", "platform").distinct()
 
 
+@query("o7_stored_predictions", "WITH r AS (SELECT narrative_id, instance_id AS prediction_id, platform AS model_type, detected_at AS predicted_at, CASE WHEN instance_id % 5 = 0 THEN NULL ELSE [CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS DOUBLE), CAST(value AS DOUBLE)] END AS forecast FROM events JOIN instances ON instance_id = event_id QUALIFY ROW_NUMBER() OVER (PARTITION BY narrative_id ORDER BY detected_at DESC, instance_id DESC) <= 5) SELECT narrative_id, prediction_id, model_type, predicted_at, ROUND(forecast[1], 6) AS first, ROUND(forecast[2], 6) AS last FROM r WHERE forecast IS NOT NULL".replace("FROM events JOIN instances ON instance_id = event_id", "FROM (SELECT event_id AS instance_id, user_id AS narrative_id, event_type AS platform, ts AS detected_at, value, props FROM events)"), dates="predicted_at")
+def _(t: Tables):
+    """Events as stored forecasts of their count and value; those of every fifth are malformed."""
+    k = F.get_json_object("props", "$.k")
+    forecast = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), k)).otherwise(F.concat(F.lit("["), k, F.lit(", "), F.col("value").cast("string"), F.lit("]")))
+    rows = t.raw("events").select(F.col("user_id").alias("narrative_id"), F.col("event_id").alias("prediction_id"), F.col("event_type").alias("model_type"), F.col("ts").cast("timestamp_ntz").alias("predicted_at"), forecast.alias("forecast"))
+    return _R(P.stored_predictions(rows, 5).select("narrative_id", "prediction_id", "model_type", "predicted_at", F.element_at("forecast", 1).alias("first"), F.element_at("forecast", -1).alias("last")), "first", "last")
+
+
+@query("o7_active_models", "SELECT source_id AS model_id, name, source_type AS model_type, 'c' || source_id % 5 AS category FROM sources WHERE is_active")
+def _(t: Tables):
+    models = t.sources.select(F.col("source_id").alias("model_id"), "name", F.col("source_type").alias("model_type"), "is_active", F.col("config").alias("parameters"))
+    return P.active_models(models, "category string").select("model_id", "name", "model_type", "parameters.category")
+
+
 @query("o7_recent_runs", "SELECT instance_id AS run_id, narrative_id, detected_at FROM instances WHERE platform = 'purchase' ORDER BY detected_at DESC, instance_id LIMIT 20", dates="detected_at")
 def _(t: Tables):
     runs = t.instances.filter("platform = 'purchase'").select(F.col("instance_id").alias("run_id"), "narrative_id", "detected_at")

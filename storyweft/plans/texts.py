@@ -22,7 +22,12 @@ def _w(column: str) -> str:
     return _WORDS.format(column)
 
 
-@query("f1_clean_text", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^ ]+', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS cleaned FROM documents")
+def _clean(column: str) -> str:
+    marks = X.PUNCTUATION.replace("'", "''")
+    return f"trim(regexp_replace(translate(regexp_replace(regexp_replace(lower(COALESCE({column}, '')), 'https?://\\S+|www\\.\\S+', '', 'g'), '<[^\\n]*?>', '', 'g'), '{marks}', ''), '\\s+', ' ', 'g'))"
+
+
+@query("f1_clean_text", f"SELECT doc_id, md5({_clean('text')}) AS cleaned FROM documents")
 def _(t: Tables):
     return t.raw("documents").select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("cleaned"))
 
@@ -50,7 +55,7 @@ def _(t: Tables):
 _MARKERS = "[" + ", ".join(f"'{m}'" for m in X.ENGLISH_MARKERS) + "]"
 
 
-@query("f6_detect_language", f"SELECT doc_id, CASE WHEN len(list_intersect({_w('text')}, {_MARKERS})) > 3 THEN 'en' ELSE 'unknown' END AS language FROM documents")
+@query("f6_detect_language", f"SELECT doc_id, CASE WHEN len(list_intersect(list_distinct(string_split({_clean('text')}, ' ')), {_MARKERS})) > 3 THEN 'en' ELSE 'unknown' END AS language FROM documents")
 def _(t: Tables):
     return t.raw("documents").select("doc_id", X.detect_language(F.col("text")).alias("language"))
 

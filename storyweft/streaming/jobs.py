@@ -43,10 +43,10 @@ def first_posts(posts: DataFrame, key: str = "title", late: str = "1 day") -> Da
 
 def detect_stream(posts: DataFrame, verbs: Sequence[str], phrases: dict[str, Sequence[str]] | None = None, threshold: float = 0.75) -> DataFrame:
     """Language, score and flag of each post as it arrives, by the phrases of its language (a narrow job)."""
-    from storyweft.functions.text import detect_language, sentences
-    from storyweft.operators.text import INDICATORS, _is_claim, score_columns
+    from storyweft.functions.text import detect_language, is_claim, sentences
+    from storyweft.operators.text import INDICATORS, score_columns
 
-    claims = F.size(F.filter(sentences(F.col("text")), lambda s: _is_claim(s, verbs)))
+    claims = F.size(F.filter(sentences(F.col("text")), lambda s: is_claim(s, verbs)))
     rows = posts if "language" in posts.columns else posts.withColumn("language", detect_language(F.col("text")))
     return rows.withColumn("score", score_columns(claims, phrases or INDICATORS)).withColumn("flagged", F.col("score") >= threshold)
 
