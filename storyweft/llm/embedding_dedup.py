@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from storyweft.llm.components import components
 from storyweft.llm.hilbert import _units, usable
@@ -135,9 +136,15 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     })
 
 
+def _code(vectors: DataFrame, label_col: str) -> Column:
+    """A number for each label: an integer as it is, any other by its 64-bit hash; null stays null."""
+    label = F.col(label_col)
+    return label.cast("long") if isinstance(vectors.schema[label_col].dataType, IntegralType) else F.when(label.isNotNull(), F.xxhash64(label))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, cell: int = CELL, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """One row per row: id, n_links, component_id, kept (the one with the component's smallest id)."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("long").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), _code(vectors, label_col).alias("label"))
     able = usable(F.col("vector")) & F.col("label").isNotNull()
     rows = rows.withColumn("node", F.when(able, F.xxhash64("label", "vector")))
     nodes = rows.filter("node is not null").groupBy("node", "label", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))

@@ -33,14 +33,14 @@ ORDER = 4
 SAMPLE_TEXTS = 800
 SAMPLE_CHARS = 20_000
 #: Each so-manieth sampled text is held back to calibrate rejection.
-CALIBRATION = 5
-#: From so many characters on, entropies scatter by text rather than by length.
+CALIBRATION = 3
+#: From so many letters on, entropies scatter by text rather than by length.
 LONG = 400
-#: The quantile of held-back scatter that a text may exceed so many times before it is rejected.
-QUANTILE, TIMES = 0.99, 2.0
-#: Usual scale in nats (times the root of 1 / length + 1 / LONG) and quantile, and as how many held-back texts they count
-#: (the quantile as more, as only the share beyond it tells of it).
-USUAL_SCALE, USUAL_QUANTILE, WEIGHT = 0.6, 6.0, 20
+#: The quantile of held-back texts' excess over their language's median, how many deviations a short text may add, and
+#: how many times both a text may exceed before it is rejected.
+QUANTILE, DEVIATIONS, TIMES = 0.99, 2.33, 2.0
+#: Usual scale in nats (times the root of 1 / length + 1 / LONG) and excess of long texts, and as how many held-back texts they count.
+USUAL_SCALE, USUAL_EXCESS, WEIGHT = 0.6, 0.2, 20
 #: Nats of log-likelihood ratio count for the score as if a text had this many characters.
 SCORE_CHARS = 20.0
 _BASE = 0x100000001B3
@@ -110,11 +110,12 @@ class Models:
     backoff: list[np.ndarray]
     floor: float
     medians: np.ndarray
-    spread: float
+    excess: float
+    narrow: float
 
     def limits(self, best: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """Highest cross-entropy accepted for texts of the given languages and lengths."""
-        return self.medians[best] + self.spread * _width(letters)
+        return self.medians[best] + self.excess + self.narrow / np.sqrt(np.maximum(letters, 1))
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy in nats per character by language, letters) of each text."""
@@ -161,19 +162,21 @@ def _width(letters: np.ndarray) -> np.ndarray:
     return np.sqrt(1 / np.maximum(letters, 1) + 1 / LONG)
 
 
-def _calibrated(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """(median by language, spread) from the held-back (entropies, letters) of each language."""
+def _calibrated(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float, float]:
+    """(median by language, excess, narrow) from the held-back (entropies, letters) of each language.
+
+    ``excess`` is how far long texts lie above their median, of all languages together; ``narrow`` over the
+    root of its length is what a short text may add by chance. Few held-back texts are joined by usual values.
+    """
     pooled = np.concatenate([e for e, _ in held]) if held else np.zeros(0)
     middle = float(np.median(pooled)) if pooled.size else 0.0
     medians = np.array([(len(e) * np.median(e) + WEIGHT / 4 * middle) / (len(e) + WEIGHT / 4) if len(e) else middle for e, _ in held])
-    scatter = np.concatenate([(e - m) / _width(n) for (e, n), m in zip(held, medians, strict=True)]) if held else np.zeros(0)
-
-    def shrunk(value: float, usual: float, weight: float) -> float:
-        return (scatter.size * value + weight * usual) / (scatter.size + weight)
-
-    scale = shrunk(1.4826 * float(np.median(np.abs(scatter))) if scatter.size else 0.0, USUAL_SCALE, WEIGHT)
-    quantile = shrunk(float(np.quantile(scatter / scale, QUANTILE)) if scatter.size else 0.0, USUAL_QUANTILE, WEIGHT / (1 - QUANTILE))
-    return medians, TIMES * quantile * scale
+    above = np.concatenate([e - m for (e, _), m in zip(held, medians, strict=True)]) if held else np.zeros(0)
+    letters = np.concatenate([n for _, n in held]) if held else np.zeros(0)
+    far = above[letters >= LONG]
+    excess = (far.size * (float(np.quantile(far, QUANTILE)) if far.size else 0.0) + WEIGHT * USUAL_EXCESS) / (far.size + WEIGHT)
+    scale = (above.size * (1.4826 * float(np.median(np.abs(above / _width(letters)))) if above.size else 0.0) + WEIGHT * USUAL_SCALE) / (above.size + WEIGHT)
+    return medians, TIMES * max(0.0, excess), TIMES * DEVIATIONS * scale
 
 
 def _counts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +206,8 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Models:
     languages = sorted(texts)
     fitted, held = {}, {}
     for name in languages:
-        kept = [t for i, t in enumerate(texts[name]) if i % CALIBRATION or len(texts[name]) < 2 * CALIBRATION]
-        held[name] = texts[name][::CALIBRATION]
+        held[name] = texts[name][::CALIBRATION] if len(texts[name]) > 1 else []  # a single text can't be held back
+        kept = [t for i, t in enumerate(texts[name]) if i % CALIBRATION or not held[name]]
         codes, first, _ = folded(pa.array(kept, pa.string()))
         fitted[name] = _language_tables(codes, first, order)
     floor = -np.log(max(2, len(np.unique(np.concatenate([fitted[x][0]["keys"] for x in languages])))) * 4.0) if languages else 0.0
@@ -242,31 +245,29 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Models:
             backoff.append(weights)
         else:
             floor += float(weights[0].mean())
-    models = Models(languages, keys, logp, contexts, backoff, floor, np.zeros(len(languages)), 0.0)
+    models = Models(languages, keys, logp, contexts, backoff, floor, np.zeros(len(languages)), 0.0, 0.0)
     measured = []
     for j, x in enumerate(languages):
         entropy, letters = models.entropies(pa.array(held[x], pa.string()))
         measured.append((entropy[letters > 0, j], letters[letters > 0]))
-    models.medians, models.spread = _calibrated(measured)
+    models.medians, models.excess, models.narrow = _calibrated(measured)
     return models
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Models:
-    """Models from about ``sample_texts`` texts of each language, drawn by a hash of the id: a fixed bound, whatever the table's size."""
-    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    """Models from about ``sample_texts`` different texts of each language, drawn by a hash of id and text: a fixed bound, whatever the table's size or its most frequent id.
+
+    Copies are dropped in Spark, before the sample comes to the driver.
+    """
+    draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40))
     excess = F.greatest(F.length(text_col) - sample_chars, F.lit(0))
     excerpt = F.substring(F.col(text_col), (F.pmod(draw, excess + 1) + 1).cast("int"), F.lit(sample_chars))
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(lang_col).alias("lang"), excerpt.alias("text"), draw.alias("draw"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return fit({})
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_texts / n))).otherwise(share)
-    rows = usable.filter(F.col("draw") < share * float(1 << 40)).select("lang", "text").toArrow().to_pylist()
-    texts: dict[str, set[str]] = {}
-    for r in rows:
-        texts.setdefault(r["lang"], set()).add(r["text"])  # copies count once
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row a language
+    drawn = usable.join(sizes, "lang").filter(F.col("draw") < F.least(F.lit(1.0), sample_texts / F.col("n")) * float(1 << 40))
+    texts: dict[str, list[str]] = {}
+    for r in drawn.select("lang", "text").distinct().toArrow().to_pylist():
+        texts.setdefault(r["lang"], []).append(r["text"])
     return fit({lang: sorted(own) for lang, own in texts.items()}, order)
 
 
