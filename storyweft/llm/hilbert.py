@@ -12,10 +12,11 @@ the block and compares it with a few visitors at a time, so a task's memory does
 table. Equal vectors are one point of the index that keeps its smallest ids, so a vector of which
 there are many copies fills no window, and all queries with one vector are one search.
 
-Many curves with narrow windows find more than few with wide ones. With the defaults a query is
-compared with at most ``2 * CURVES * REACH`` = 0.86 times as many vectors as there are, on vectors without
-any structure, where no projection keeps neighbours together; on vectors that cluster a far smaller
-reach is enough.
+Many curves with narrow windows find more than few with wide ones. With the defaults a query among n
+vectors is compared with at most ``2 * CURVES * (REACH * n + MARGIN + k + 1)`` of all orderings together: 0.86 n
+and some 1800. So below about 13,000 vectors it may meet each more than once, and at any size a share of
+all, which vectors without structure need, as no projection keeps their neighbours together; on
+vectors that cluster a far smaller reach is enough.
 
 Defined cases: a vector that is null, empty or zero, or holds null or non-finite components takes no
 part, nor does a row without id; vectors of another length than a query's are no candidates; equal
@@ -33,8 +34,8 @@ from pyspark.sql.window import Window
 from storyweft.llm.storage import stored
 
 CURVES = 24
-#: Share of all points that a query looks at on either side of its place in an ordering, and points at least.
-REACH, LEAST = 0.018, 64
+#: Share of all points that a query looks at on either side of its place in an ordering, and points besides.
+REACH, MARGIN = 0.018, 32
 DIRECTIONS, BITS = 6, 10
 #: Points of a block; visitors of a task; visitors compared at a time.
 BLOCK, VISITORS, SLICE = 4096, 4096, 256
@@ -173,7 +174,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id",
     pts = stored(points(vectors, id_col, vector_col, k + 1), "curve-points")
     ranked = stored(order_points(pts, curves), "curve-ranks")
     total = pts.count()
-    window = max(k + 1, LEAST, int(np.ceil(reach * total)))
+    window = k + 1 + MARGIN + int(np.ceil(reach * total))
     asked = vectors.filter(queries).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("vector")).filter(F.col("query_id").isNotNull() & usable(F.col("vector"))).distinct()
     asked = stored(asked.join(pts.select("point", "vector"), "vector").select("query_id", F.col("point").alias("asked")), "curve-asked")
     # A query stands where its own point stands; one search for each point.
