@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a broadcast side, checked before it is sent.
 MAX_BROADCAST = 64_000_000
@@ -27,3 +28,19 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * LIGHT_SCAN else df
+
+
+#: The folder of a local session that has no setting.
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """URI of a new folder name below ``spark.checkpoint.dir``, which on a cluster must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='storyweft-')}")
+        base = _OWN[0]
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
