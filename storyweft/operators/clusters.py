@@ -103,23 +103,47 @@ def daily_clusters(rows: DataFrame, least: int = 3) -> DataFrame:
     return mean_vectors(rows.select("day", "vector"), "day").filter(F.col("size") >= least)
 
 
-def merged_by_centre(centres: DataFrame, limit: float) -> DataFrame:
-    """(key, cluster): centres (key, vector) whose cosine distance is below a limit share a cluster, named by the smallest key.
+def merged_by_centre(centres: DataFrame, limit: float, metric: str = "cosine") -> DataFrame:
+    """(key, cluster): centres (key, vector) whose distance is below a limit share a cluster, named by the smallest key.
 
     Centres are one for each day or sequence; pairs are found by a checked broadcast list.
     """
     from storyweft.functions.lineage import cut
     from storyweft.operators.graph import connected_components
-    from storyweft.operators.vectors import _listed, cosine_distance
+    from storyweft.operators.vectors import _listed, distance
 
     centres = cut(centres.select("key", "vector"))
     listed = _listed(centres.select(F.col("key").alias("b"), F.col("vector").alias("v")), 10_000, "centres", "b", "v")
-    near = F.filter("listed", lambda c: (c["b"] > F.col("key")) & (F.round(cosine_distance(F.col("vector"), c["v"]), 9) < limit))
+    near = F.filter("listed", lambda c: (c["b"] > F.col("key")) & (F.round(distance(metric, F.col("vector"), c["v"]), 9) < limit))
     pairs = centres.join(F.broadcast(listed)).select(F.col("key").alias("a"), F.explode(near).alias("c")).select("a", "c.b")
     labels = connected_components(pairs).select(F.col("node").alias("key"), "component")
     return centres.select("key").join(labels, "key", "left").select("key", F.coalesce("component", "key").alias("cluster"))
 
 
+def sequence_clusters(items: DataFrame, gap_hours: float = 24, least: int = 3, limit: float = 0.3) -> DataFrame:
+    """Sequences of items (key, id, vector, at) as clusters: (sequence, key, items, cluster, confidence).
+
+    A sequence is a run of a key's items with less than the gap between neighbours, named by its smallest
+    id. Sequences whose mean vectors lie less than ``limit`` apart share a cluster, whatever their order;
+    confidence is 1 / (1 + distance of the sequence's mean from that of all the cluster's items).
+    """
+    from storyweft.functions.lineage import cut
+    from storyweft.operators.vectors import euclidean, mean_vectors
+
+    w = Window.partitionBy("key").orderBy("at", "id")
+    seconds = F.unix_micros(F.col("at").cast("timestamp")) / 1e6
+    starts = F.coalesce((seconds - F.lag(seconds).over(w) >= gap_hours * 3600).cast("int"), F.lit(1))
+    runs = items.withColumn("starts", starts).withColumn("run", F.sum("starts").over(w))
+    sizes = runs.groupBy("key", "run").agg(F.min("id").alias("sequence"), F.count(F.lit(1)).alias("items")).filter(F.col("items") >= least)
+    rows = cut(runs.join(sizes, ["key", "run"]).select("sequence", "key", "items", F.col("vector").cast("array<double>").alias("vector")))
+    means = cut(mean_vectors(rows, "sequence").select("sequence", F.col("vector").alias("mean")))
+    merged = cut(merged_by_centre(means.select(F.col("sequence").alias("key"), F.col("mean").alias("vector")), limit, "l2").select(F.col("key").alias("sequence"), "cluster"))
+    centres = mean_vectors(rows.join(merged, "sequence"), "cluster").select("cluster", F.col("vector").alias("centre"))
+    facts = rows.select("sequence", "key", "items").distinct()
+    out = facts.join(merged, "sequence").join(means, "sequence").join(centres, "cluster")
+    return out.select("sequence", "key", "items", "cluster", (1 / (1 + euclidean(F.col("mean"), F.col("centre")))).alias("confidence"))
+
+
 def coordinated_profiles(profiles: DataFrame, radius: float = 1.5, least: int = 3) -> DataFrame:
     """(narrative_id, cluster, size): groups of at least ``least`` narratives with close profiles (narrative_id, p: array).
 

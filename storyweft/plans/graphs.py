@@ -104,6 +104,23 @@ def _(t: Tables):
     return G.label_communities(_edges(t))
 
 
+@query("g13_louvain_communities")
+def _(t: Tables):
+    return G.louvain_communities(_edges(t))
+
+
+@query("g13_modularity_gain", "SELECT TRUE AS not_below_propagation")
+def _(t: Tables):
+    edges = _edges(t)
+    before, after = G.modularity(edges, G.label_communities(edges)), G.modularity(edges, G.louvain_communities(edges))
+    return before.select(F.col("modularity").alias("m")).join(F.broadcast(after)).select((F.col("modularity") >= F.col("m") - 1e-9).alias("not_below_propagation"))  # one row each
+
+
+@query("g15_central_narratives")
+def _(t: Tables):
+    return _R(G.central_nodes(_edges(t), 5), "score")
+
+
 @query("g14_coordinated_campaigns", f"WITH {_SPARSE}, {_COMPONENTS}, d AS (SELECT source_id AS node, MIN(detected_at) AS first_at, MAX(detected_at) AS last_at FROM shares GROUP BY 1), l AS (SELECT component, COUNT(*) AS links FROM edges JOIN comp ON comp.node = edges.a GROUP BY 1), f AS (SELECT component, COUNT(*) AS size, MIN(first_at) AS first_at, date_diff('day', MIN(first_at), MAX(last_at)) AS span_days FROM comp LEFT JOIN d USING (node) GROUP BY 1 HAVING COUNT(*) >= 2) SELECT component, size, first_at, CAST(span_days AS INT) AS span_days, ROUND(2 * links / (size * (size - 1)), 6) AS density FROM f JOIN l USING (component)", dates="first_at")
 def _(t: Tables):
     dates = t.shares.groupBy(F.col("source_id").alias("node")).agg(F.min("detected_at").alias("first_at"), F.max("detected_at").alias("last_at"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyweft.functions import text as X
+from storyweft.operators import birch as B
 from storyweft.operators import clusters as C
+from storyweft.operators import density as D
 from storyweft.operators import forecast as P
 from storyweft.operators import linking as L
 from storyweft.operators import text as T
@@ -13,7 +15,7 @@ from storyweft.operators import vectors as V
 from storyweft.plans.registry import query
 from storyweft.plans.series import _R
 from storyweft.plans.texts import _TFIDF, _texts, _w
-from storyweft.plans.vectors import _D, _NEAR, _TWO, _centroids, _vectors
+from storyweft.plans.vectors import _C, _D, _NEAR, _TWO, _centroids, _vectors
 from storyweft.sources.tables import Tables
 
 _MATCH = f"w AS (SELECT narrative_id, language, last_updated, description, list_distinct({_w('description')}) AS w FROM narratives), r AS (SELECT * FROM w QUALIFY ROW_NUMBER() OVER (PARTITION BY language ORDER BY last_updated DESC, narrative_id) <= 10), p AS (SELECT i.narrative_id AS item_id, r.narrative_id, ROUND(len(list_intersect(i.w, r.w)) / greatest(1, len(list_distinct(list_concat(i.w, r.w)))), 6) AS similarity FROM w i JOIN r USING (language)), best AS (SELECT item_id, narrative_id, similarity FROM p WHERE similarity > 0.85 QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY similarity DESC, p.narrative_id) = 1)"
@@ -217,3 +219,57 @@ def _(t: Tables):
 def _(t: Tables):
     rows = _vectors(t)
     return _R(V.feature_importance(rows.drop("cluster"), rows.select("id", "cluster")), "importance")
+
+
+@query("k3_signature_search")
+def _(t: Tables):
+    rows = _vectors(t).drop("cluster")
+    return _R(V.signature_search(rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), rows, 5), "distance")
+
+
+@query("k7_birch_totals", "WITH x AS (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT CAST(i - 1 AS INT) AS dimension, (SELECT COUNT(*) FROM embeddings)::BIGINT AS n, ROUND(SUM(v), 4) AS total, ROUND((SELECT SUM(v * v) FROM x), 4) AS squares, TRUE AS within FROM x GROUP BY i")
+def _(t: Tables):
+    """Features add up to the table, and none is wider than the threshold."""
+    features = B.clustering_features(_vectors(t), 0.9)
+    sums = features.select(F.posexplode("ls").alias("dimension", "x")).groupBy("dimension").agg(F.round(F.sum("x"), 4).alias("total"))
+    whole = features.agg(F.sum("n").alias("n"), F.round(F.sum("ss"), 4).alias("squares"), F.bool_and(F.col("radius") <= 0.9 + 1e-6).alias("within"))  # one row
+    return sums.join(F.broadcast(whole)).select("dimension", "n", "total", "squares", "within")
+
+
+@query("k7_birch")
+def _(t: Tables):
+    rows = _vectors(t)
+    return B.birch(rows, B.clustering_features(rows, 0.9), 5)
+
+
+_SEQUENCES = "it AS (SELECT label AS key, vec_id AS id, embedding, vec_id % 30 AS day FROM embeddings), st AS (SELECT *, CASE WHEN day - LAG(day) OVER (PARTITION BY key ORDER BY day, id) < 1 THEN 0 ELSE 1 END AS starts FROM it), ru AS (SELECT *, SUM(starts) OVER (PARTITION BY key ORDER BY day, id) AS run FROM st), sq AS (SELECT key, run, MIN(id) AS sequence, COUNT(*) AS items FROM ru GROUP BY 1, 2 HAVING COUNT(*) >= 3), ro AS (SELECT sequence, key, items, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM ru JOIN sq USING (key, run)), me AS (SELECT sequence, list(m ORDER BY i) AS mean FROM (SELECT sequence, i, AVG(v) AS m FROM ro GROUP BY 1, 2) GROUP BY 1), nr AS (SELECT a.sequence AS a, b.sequence AS b FROM me a JOIN me b ON a.sequence <> b.sequence WHERE ROUND(list_distance(a.mean, b.mean), 9) < 0.8), walk AS (SELECT sequence AS node, sequence AS other FROM me UNION SELECT w.node, n.b FROM walk w JOIN nr n ON n.a = w.other), cl AS (SELECT node AS sequence, MIN(other) AS cluster FROM walk GROUP BY 1), ce AS (SELECT cluster, list(m ORDER BY i) AS centre FROM (SELECT cluster, i, AVG(v) AS m FROM ro JOIN cl USING (sequence) GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query("k32_sequence_clusters", f"WITH {_SEQUENCES} SELECT sequence, key, items, cluster, ROUND(1 / (1 + list_distance(mean, centre)), 6) AS confidence FROM sq JOIN cl USING (sequence) JOIN me USING (sequence) JOIN ce USING (cluster)")
+def _(t: Tables):
+    at = F.timestamp_add("DAY", (F.col("id") % 30).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    items = _vectors(t).select(F.col("cluster").cast("long").alias("key"), "id", "vector", at.alias("at"))
+    return _R(C.sequence_clusters(items, limit=0.8), "confidence")
+
+
+def _fading_state(t: Tables):
+    """Labels' means as cores, every 25th vector as an outlier."""
+    day = F.lit("2024-01-01").cast("timestamp")
+    cores = V.mean_vectors(_vectors(t), "cluster").select(F.col("cluster").cast("long").alias("cluster"), F.lit("core").alias("kind"), "vector", F.col("size").cast("double").alias("weight"), day.alias("created"), day.alias("at"))
+    outliers = _vectors(t).filter("id % 25 = 0").select((-F.col("id") - 1000).cast("long").alias("cluster"), F.lit("outlier").alias("kind"), F.col("vector").cast("array<double>").alias("vector"), F.lit(1.0).alias("weight"), day.alias("created"), day.alias("at"))
+    return cores.unionByName(outliers)
+
+
+@query("k33_reassess_outliers", f"WITH {_C}, d AS (SELECT -vec_id - 1000 AS id, c.cluster, ROUND(list_distance(CAST(embedding AS DOUBLE[]), c.vector), 9) AS distance FROM embeddings CROSS JOIN centroids c WHERE vec_id % 25 = 0), m AS (SELECT id, arg_min(cluster, (distance, cluster)) AS cluster, MIN(distance) AS distance FROM d GROUP BY 1) SELECT id AS cluster, CASE WHEN distance <= 0.95 THEN m.cluster END AS merged_into, ROUND(distance, 6) AS distance FROM m")
+def _(t: Tables):
+    return _R(D.reassess_outliers(_fading_state(t), 0.95), "distance")
+
+
+@query("k33_fading_micro_clusters")
+def _(t: Tables):
+    """Three micro-batches of vectors, ten days apart; the last has twice the usual number."""
+    rows = _vectors(t).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    state, n = _fading_state(t), rows.count() / 4
+    for day, part in ((11, "id % 4 = 0"), (21, "id % 4 = 1"), (31, "id % 4 >= 2")):
+        state = D.step(state, rows.filter(part).withColumn("at", F.lit(f"2024-01-{day}").cast("timestamp")), 0.9, rate=0.1, usual=n)
+    return _R(state.select("cluster", "kind", "weight"), "weight")
