@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from storyweft.llm.storage import stored
 from storyweft.llm.words import split_by_bytes, string_buffers, word_hashes, word_spans
 
-VOCABULARY, CLASSES, HIDDEN = 4096, 32, 32
+VOCABULARY, CLASSES, HIDDEN = 4096, 32, 16
 #: Averages over all partitions; copies averaged at a time.
 ROUNDS, FAN = 4, 64
 #: Most lanes in training, tokens that a lane is to have, steps of a window, Adagrad's rate, longest part of a text.
-LANES, LANE_TOKENS, WINDOW, RATE, LONGEST = 256, 512, 24, 0.05, 2048
+LANES, LANE_TOKENS, WINDOW, RATE, LONGEST = 256, 512, 24, 0.15, 2048
 SCORING_LANES, SCORING_WINDOW = 512, 32
 FREQUENT_SHARE = 1e-6
 #: Tokens between flushes of counts; rare words that a bucket is to hold.
@@ -316,7 +316,7 @@ class Gru:
     def _learn(self, name: str, where: slice | np.ndarray, gradient: np.ndarray, rate: float) -> None:
         """One Adagrad step of a part of one parameter; the gradient is used up."""
         total = self.sums[name][where]
-        total = total + ((gradient * gradient).mean(axis=1, keepdims=True) if self.sums[name].shape[1] < gradient.shape[1] else gradient * gradient)
+        total = total + (np.einsum("ij,ij->i", gradient, gradient)[:, None] / np.float32(gradient.shape[1]) if self.sums[name].shape[1] < gradient.shape[1] else gradient * gradient)
         self.sums[name][where] = total
         gradient *= np.float32(rate) / np.sqrt(total + np.float32(1e-8))
         self.p[name][where] -= gradient
