@@ -127,7 +127,7 @@ def iso_time(text: Column) -> Column:
     out = F.when(own.rlike(week_of), F.concat(day, F.regexp_replace(own, week_of, ""))).otherwise(F.regexp_replace(own, r"^(\d{4})(\d\d)(\d\d)(?=\D|$)", "$1-$2-$3"))
     for pattern, form in (
         (r"^(.{10}).(\d\d)(\d\d)(\d\d)", "$1T$2:$3:$4"), (r"^(.{10}).(\d\d)(\d\d)(?=\D|$)", "$1T$2:$3"), (r"^(.{10}).(\d\d)(?=\D|$)", "$1T$2"),
-        (r"^(.{10}T\d\d)(?=[+-]|$)", "$1:00"), (r"[.,](\d{1,6})\d*", ".$1"), (r"(T.*[+-]\d\d)(\d\d)$", "$1:$2"), (r"(T.*[+-]\d\d)$", "$1:00"),
+        (r"^(.{10}T\d\d)(?=[+-]|$)", "$1:00"), (r"^(.{10}T\d\d:\d\d)(?=[+-]|$)", "$1:00"), (r"[.,](\d{1,6})\d*", ".$1"), (r"(T.*[+-]\d\d)(\d\d)$", "$1:$2"), (r"(T.*[+-]\d\d)$", "$1:00"),
     ):
         out = F.regexp_replace(out, pattern, form)
     return F.when(valid, F.try_to_timestamp(out))

@@ -66,7 +66,7 @@ def step(state: DataFrame, batch: DataFrame, epsilon: float = EPSILON, beta: flo
     rest = cut(batch.join(cores, "id", "left_anti"))
     outliers = cut(within(rest, "outlier"))
     new = dbscan(rest.join(outliers, "id", "left_anti").select("id", "vector"), epsilon, 1)
-    placed = cores.unionByName(outliers).unionByName(new.select("id", (-F.col("cluster") - 2).alias("cluster")))
+    placed = cores.unionByName(outliers).unionByName(new.select("id", (-F.when(F.col("cluster") == -1, F.col("id")).otherwise(F.col("cluster")) - 2).alias("cluster")))
     rows = batch.join(placed, "id")
     # Sums by dimension, so no cluster's rows are gathered.
     old_sums = old.select("cluster", F.posexplode("vector").alias("i", "x"), F.col("weight").alias("w")).select("cluster", "i", (F.col("x") * F.col("w")).alias("x"), "w")
