@@ -265,13 +265,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     excess = F.greatest(F.length(text_col) - sample_chars, F.lit(0))
     excerpt = F.substring(F.col(text_col), (F.pmod(draw, excess + 1) + 1).cast("int"), F.lit(sample_chars))
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(lang_col).alias("lang"), excerpt.alias("text"), draw.alias("draw"))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return fit({})
     # Shares as a literal, so that no text is shuffled for its language.
-    share = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_texts / r["n"])))), F.col("lang"))
+    share = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_texts / max(r["n"], 1))))), F.col("lang"))
     drawn = usable.filter(F.col("draw") < share * float(1 << 40))
     texts: dict[str, list[str]] = {}
     for r in drawn.select("lang", "text").distinct().toArrow().to_pylist():
