@@ -45,7 +45,7 @@ def test_query(spark, db, data, name):
         assert len(got.columns) and len(got)
         numbers = got.select_dtypes("number")
         assert np.isfinite(numbers.dropna().to_numpy(float)).all()
-        keys = [c for c in ("id", "narrative_id", "node", "doc_id", "query_id", "place", "rank", "step", "day", "lag", "topic", "word", "dimension") if c in got.columns]
+        keys = [c for c in ("id", "measure", "narrative_id", "node", "doc_id", "query_id", "place", "rank", "step", "day", "lag", "topic", "word", "dimension") if c in got.columns]
         assert keys or len(got) <= 50
         if keys and not got[keys].isna().any().any():
             assert not got.astype(str).duplicated(keys).any()  # one row for each key
