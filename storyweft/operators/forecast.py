@@ -306,6 +306,13 @@ def seasonality(series: DataFrame, max_period: int = 30, least: float = 0.3) ->
     return rows.select(KEY, (F.coalesce("p_value", F.lit(1.0)) < 0.05).alias("seasonal"), "period", F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("p_value", F.lit(1.0)).alias("p_value"), F.coalesce("peaks", F.lit("")).alias("peaks"))
 
 
+def cyclic_segments(series: DataFrame, max_period: int = 30) -> DataFrame:
+    """Segments of kind ``cyclic``, as ``detect_patterns`` gives them: each series that is seasonal, from its first day on."""
+    found = seasonality(series, max_period).filter("seasonal").select(KEY)
+    whole_series = series.groupBy(KEY).agg(F.min(DAY).alias("first_day"), F.count(F.lit(1)).alias("days"))
+    return whole_series.join(found, KEY, "left_semi").select(KEY, F.lit("cyclic").alias("kind"), "first_day", "days")
+
+
 def common_periods(series: DataFrame, max_period: int = 30, common: tuple[int, ...] = (1, 7, 14, 30)) -> DataFrame:
     """Strength and significance of the usual periods (daily, weekly, two weeks, monthly) below a third of the series; 0 for a lag beyond ``max_period``. Days are regular."""
     acf = _season_acf(series, max_period)

@@ -271,6 +271,14 @@ def detect_patterns(daily: DataFrame, deviations: float = 2.0, least: int = 3) -
     return runs.filter((F.col("kind") == "spike") | (F.col("days") >= least)).select("narrative_id", "kind", "first_day", "days")
 
 
+def step_segments(daily: DataFrame, m: int = 5, limit: float = 2.0) -> DataFrame:
+    """Segments of kind ``step``, as ``detect_patterns`` gives them: from each change of level to the day before the next one, or the series' end."""
+    ends = daily.groupBy(KEY).agg(F.max(DAY).alias("end"))
+    points = change_points(daily, m, limit).select(KEY, DAY).join(ends, KEY)
+    last = F.coalesce(F.date_sub(F.lead(DAY).over(over()), 1), F.col("end"))
+    return points.withColumn("last", last).select(KEY, F.lit("step").alias("kind"), F.col(DAY).alias("first_day"), (F.datediff("last", DAY) + 1).cast("long").alias("days"))
+
+
 def pattern_table(segments: DataFrame) -> DataFrame:
     """Occurrences of each kind of segment in each narrative, mean length, and mean days between their starts (null for one)."""
     gap = F.datediff("first_day", F.lag("first_day").over(Window.partitionBy("narrative_id", "kind").orderBy("first_day")))

@@ -48,13 +48,21 @@ def _p(z: str) -> str:
     return f"CASE WHEN {z} = 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln({x}) - lgamma(k + 1.5) - {x} * {x})))) END"
 
 
-@query("t4_seasonality", f"""WITH {_SEASON}, e AS (SELECT *, CASE WHEN acf = LAG(acf) OVER (PARTITION BY narrative_id ORDER BY lag) THEN 0 ELSE 1 END AS new FROM acf), r AS (SELECT *, SUM(new) OVER (PARTITION BY narrative_id ORDER BY lag) AS run FROM e), g AS (SELECT narrative_id, len, run, MAX(acf) AS acf, (MIN(lag) + MAX(lag)) // 2 AS lag FROM r GROUP BY 1, 2, 3), n AS (SELECT *, LAG(acf) OVER (PARTITION BY narrative_id ORDER BY run) AS before, LEAD(acf) OVER (PARTITION BY narrative_id ORDER BY run) AS after FROM g), peaks AS (SELECT * FROM n WHERE acf >= 0.3 AND acf > before AND acf > after),
+_T4 = f"""WITH {_SEASON}, e AS (SELECT *, CASE WHEN acf = LAG(acf) OVER (PARTITION BY narrative_id ORDER BY lag) THEN 0 ELSE 1 END AS new FROM acf), r AS (SELECT *, SUM(new) OVER (PARTITION BY narrative_id ORDER BY lag) AS run FROM e), g AS (SELECT narrative_id, len, run, MAX(acf) AS acf, (MIN(lag) + MAX(lag)) // 2 AS lag FROM r GROUP BY 1, 2, 3), n AS (SELECT *, LAG(acf) OVER (PARTITION BY narrative_id ORDER BY run) AS before, LEAD(acf) OVER (PARTITION BY narrative_id ORDER BY run) AS after FROM g), peaks AS (SELECT * FROM n WHERE acf >= 0.3 AND acf > before AND acf > after),
 best AS (SELECT narrative_id, len, arg_min(lag, (-acf, lag)) AS period, MAX(acf) AS strength, string_agg(CAST(lag AS VARCHAR), ',' ORDER BY lag) AS peaks FROM peaks GROUP BY 1, 2), z AS (SELECT *, strength * sqrt(len) AS z FROM best), p AS (SELECT *, {_p("z")} AS p_value FROM z)
-SELECT k.narrative_id, COALESCE(p_value, 1) < 0.05 AS seasonal, CAST(period AS INT) AS period, ROUND(COALESCE(strength, 0), 6) AS strength, ROUND(COALESCE(p_value, 1), 6) AS p_value, COALESCE(peaks, '') AS peaks FROM (SELECT DISTINCT narrative_id FROM daily) k LEFT JOIN p ON p.narrative_id = k.narrative_id""")
+SELECT k.narrative_id, COALESCE(p_value, 1) < 0.05 AS seasonal, CAST(period AS INT) AS period, ROUND(COALESCE(strength, 0), 6) AS strength, ROUND(COALESCE(p_value, 1), 6) AS p_value, COALESCE(peaks, '') AS peaks FROM (SELECT DISTINCT narrative_id FROM daily) k LEFT JOIN p ON p.narrative_id = k.narrative_id"""
+
+
+@query("t4_seasonality", _T4)
 def _(t: Tables):
     return _R(P.seasonality(t.daily, 14), "strength", "p_value")
 
 
+@query("t28_cyclic_segments", f"SELECT narrative_id, 'cyclic' AS kind, MIN(day) AS first_day, COUNT(*) AS days FROM daily JOIN ({_T4}) s USING (narrative_id) WHERE seasonal GROUP BY 1", dates="first_day")
+def _(t: Tables):
+    return P.cyclic_segments(t.daily, 14)
+
+
 @query("t4_common_periods", f"WITH {_SEASON}, k AS (SELECT DISTINCT narrative_id, len, period FROM acf, (SELECT unnest([1, 7, 14, 30]) AS period) WHERE period < len // 3), s AS (SELECT k.narrative_id, len, period, COALESCE((SELECT acf FROM acf a WHERE a.narrative_id = k.narrative_id AND a.lag = k.period), 0) AS strength FROM k), z AS (SELECT *, strength * sqrt(len) AS z FROM s), p AS (SELECT *, {_p('z')} AS p_value FROM z) SELECT narrative_id, CAST(period AS INT) AS period, ROUND(strength, 6) AS strength, p_value < 0.05 AS significant, ROUND(p_value, 6) AS p_value FROM p")
 def _(t: Tables):
     return _R(P.common_periods(t.daily, 14), "strength", "p_value")

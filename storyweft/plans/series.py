@@ -69,11 +69,19 @@ def _(t: Tables):
     return _R(S.change_scores(t.daily, 5).select("narrative_id", "day", "score"), "score")
 
 
-@query("w7_change_points", f"""WITH RECURSIVE {_SCORES}, h AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY narrative_id ORDER BY i) AS k FROM t WHERE score > 2), g AS (SELECT narrative_id, k, i AS last, TRUE AS kept FROM h WHERE k = 1 UNION ALL SELECT h.narrative_id, h.k, CASE WHEN h.i - g.last >= 5 THEN h.i ELSE g.last END, h.i - g.last >= 5 FROM g JOIN h ON h.narrative_id = g.narrative_id AND h.k = g.k + 1) SELECT h.narrative_id, h.day, ROUND(h.score, 6) AS score, CASE WHEN after > before THEN 'increase' ELSE 'decrease' END AS direction, ROUND(CASE WHEN before <> 0 THEN (after - before) / before * 100 ELSE 0.0 END, 6) AS change_pct FROM h JOIN g ON g.narrative_id = h.narrative_id AND g.k = h.k WHERE g.kept""", dates="day")
+_KEPT = "h AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY narrative_id ORDER BY i) AS k FROM t WHERE score > 2), g AS (SELECT narrative_id, k, i AS last, TRUE AS kept FROM h WHERE k = 1 UNION ALL SELECT h.narrative_id, h.k, CASE WHEN h.i - g.last >= 5 THEN h.i ELSE g.last END, h.i - g.last >= 5 FROM g JOIN h ON h.narrative_id = g.narrative_id AND h.k = g.k + 1)"
+
+
+@query("w7_change_points", f"""WITH RECURSIVE {_SCORES}, {_KEPT} SELECT h.narrative_id, h.day, ROUND(h.score, 6) AS score, CASE WHEN after > before THEN 'increase' ELSE 'decrease' END AS direction, ROUND(CASE WHEN before <> 0 THEN (after - before) / before * 100 ELSE 0.0 END, 6) AS change_pct FROM h JOIN g ON g.narrative_id = h.narrative_id AND g.k = h.k WHERE g.kept""", dates="day")
 def _(t: Tables):
     return _R(S.change_points(t.daily, 5, 2.0), "score", "change_pct")
 
 
+@query("t28_step_segments", f"WITH RECURSIVE {_SCORES}, {_KEPT}, p AS (SELECT h.narrative_id, h.day FROM h JOIN g ON g.narrative_id = h.narrative_id AND g.k = h.k WHERE g.kept), l AS (SELECT *, LEAD(day) OVER (PARTITION BY narrative_id ORDER BY day) AS next FROM p) SELECT l.narrative_id, 'step' AS kind, l.day AS first_day, date_diff('day', l.day, COALESCE(next, e.day + 1)) AS days FROM l JOIN (SELECT narrative_id, MAX(day) AS day FROM daily GROUP BY 1) e ON e.narrative_id = l.narrative_id", dates="first_day")
+def _(t: Tables):
+    return S.step_segments(t.daily, 5, 2.0)
+
+
 @query("w8_piecewise_trend", """WITH w AS (SELECT unnest(range(0, 21, 5)) AS w), f AS (SELECT narrative_id, w, regr_slope(n, i - w) AS slope, regr_r2(n, i - w) AS r2 FROM series, w WHERE i >= w AND i < w + 10 GROUP BY 1, 2), g AS (SELECT narrative_id, w, ROUND(COALESCE(slope, 0.0), 9) AS slope, r2 FROM f) SELECT narrative_id, w, ROUND(slope, 6) AS slope, COALESCE(sign(slope) * sign(LAG(slope) OVER (PARTITION BY narrative_id ORDER BY w)) < 0, FALSE) AS turns FROM g""")
 def _(t: Tables):
     return _R(S.piecewise_trend(t.daily, 10).drop("r2"), "slope")
