@@ -272,4 +272,4 @@ def _(t: Tables):
     state, n = _fading_state(t), rows.count() / 4
     for day, part in ((11, "id % 4 = 0"), (21, "id % 4 = 1"), (31, "id % 4 >= 2")):
         state = D.step(state, rows.filter(part).withColumn("at", F.lit(f"2024-01-{day}").cast("timestamp")), 0.9, rate=0.1, usual=n)
-    return _R(state.select("cluster", "kind", "weight"), "weight")
+    return _R(state.select(F.col("cluster").alias("id"), "kind", "weight"), "weight")
