@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from storyweft.operators import graph as G
 from storyweft.operators import series as S
 from storyweft.operators.clusters import cluster_listing, cluster_overview, cluster_stats, evolved_flag, stage_deltas
 from storyweft.plans.aggregates import _members
@@ -39,10 +40,7 @@ def _(t: Tables):
 @query("p19_category_tree", "WITH RECURSIVE tree AS (SELECT 2::BIGINT AS id UNION SELECT c.s_suppkey FROM tree JOIN supplier c ON c.s_suppkey // 3 = tree.id AND c.s_suppkey <> tree.id) SELECT s.source_id, s.name FROM sources s JOIN tree ON tree.id = s.source_id")
 def _(t: Tables):
     edges = t.sources.select(F.floor(F.col("source_id") / 3).alias("a"), F.col("source_id").alias("b")).filter("a <> b")
-    # Towards children only: a hop's new nodes are those whose parent is already there.
-    found = t.sources.filter("source_id = 2").select(F.col("source_id").alias("node"))
-    for _ in range(5):
-        found = found.unionByName(edges.join(found.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))).distinct()
+    found = G.descendants(edges, t.sources.filter("source_id = 2").select(F.col("source_id").alias("node")))
     return t.sources.join(found.select(F.col("node").alias("source_id")), "source_id", "left_semi").select("source_id", "name")
 
 
