@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyweft.functions.lineage import cut
-from storyweft.operators.vectors import dbscan, nearest_centroid
+from storyweft.operators.vectors import dbscan, nearest_centroid, nearest_within
 
 #: Radius, core share and weight, and rate of fading a day.
 EPSILON, BETA, MU, RATE = 0.3, 0.5, 2.5, 0.01
@@ -59,8 +59,7 @@ def step(state: DataFrame, batch: DataFrame, epsilon: float = EPSILON, beta: flo
     old = cut(faded(state, now, own_rate))
 
     def within(rows: DataFrame, kind: str) -> DataFrame:
-        near = nearest_centroid(rows.select("id", "vector"), old.filter(F.col("kind") == kind).select("cluster", "vector"), "l2")
-        return near.filter(F.col("distance") <= epsilon).select("id", "cluster")
+        return nearest_within(rows, old.filter(F.col("kind") == kind), epsilon).select("id", "cluster")
 
     cores = cut(within(batch, "core"))
     rest = cut(batch.join(cores, "id", "left_anti"))
