@@ -2,20 +2,24 @@
 
 A feature absorbs a vector, or another feature, while the radius of all it holds stays within the threshold.
 Partitions build their trees apart; features that meet in a cell of a few projections are then merged
-by the same rule, in two rounds, so that no task gathers all of them. Totals are exact whatever the grouping.
+by the same rule, in two rounds, so that no task gathers all of them; a cell with more features than a tree holds is merged
+in parts. Totals are exact whatever the grouping.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a node, and features that a tree holds before it is given out.
-BRANCHING, MOST = 50, 50_000
+from storyweft.functions.lineage import cut
+
+#: Entries of a node, features that a tree holds before it is given out, and features given out at once.
+BRANCHING, MOST, AT_ONCE = 50, 20_000, 4_096
 _FEATURE = "n long, ls array<double>, ss double"
 
 
@@ -101,12 +105,16 @@ class Tree:
         self.added += 1
 
     def drained(self) -> pd.DataFrame:
-        rows = list(self.root.features()) if self.root else []
+        return pd.concat([pd.DataFrame({"n": [], "ls": [], "ss": []}), *self.parts()])
+
+    def parts(self) -> Iterator[pd.DataFrame]:
+        rows = self.root.features() if self.root else iter(())
         self.root, self.added = None, 0
-        return pd.DataFrame(rows, columns=["n", "ls", "ss"])
+        while part := list(islice(rows, AT_ONCE)):
+            yield pd.DataFrame(part, columns=["n", "ls", "ss"])
 
 
-def clustering_features(rows: DataFrame, threshold: float = 0.5, branching: int = BRANCHING, cells: int = 4, seed: int = 42) -> DataFrame:
+def clustering_features(rows: DataFrame, threshold: float = 0.5, branching: int = BRANCHING, cells: int = 4, seed: int = 42, most: int = MOST) -> DataFrame:
     """Features (n, ls, ss, radius) of all rows' vectors, each within the threshold. Rows without vector take no part; all vectors have one length."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,9 +123,9 @@ def clustering_features(rows: DataFrame, threshold: float = 0.5, branching: int
             for vector in batch["vector"]:
                 v = np.asarray(vector, float)
                 tree.add(1, v, float(v @ v))
-                if tree.added >= MOST:
-                    yield tree.drained()
-        yield tree.drained()
+                if tree.added >= most:
+                    yield from tree.parts()
+        yield from tree.parts()
 
     def merge(features: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(threshold, branching)
@@ -134,9 +142,13 @@ def clustering_features(rows: DataFrame, threshold: float = 0.5, branching: int
                 yield batch[["n", "ls", "ss", "cell"]]
 
     built = rows.filter("vector IS NOT NULL").select(F.col("vector").cast("array<double>").alias("vector")).mapInPandas(build, _FEATURE)
-    placed = built.mapInPandas(celled, f"{_FEATURE}, cell string").withColumn("part", F.spark_partition_id() % 64)
-    once = placed.groupBy("cell", "part").applyInPandas(merge, _FEATURE)
-    merged = once.mapInPandas(celled, f"{_FEATURE}, cell string").groupBy("cell").applyInPandas(merge, _FEATURE)
+    def met(features: DataFrame, part: Column) -> DataFrame:
+        placed = cut(features.mapInPandas(celled, f"{_FEATURE}, cell string").withColumn("part", part))
+        parts = placed.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+        dealt = placed.join(parts, ["cell", "part"]).withColumn("of", F.pmod(F.xxhash64("ls"), F.col("parts")))
+        return dealt.groupBy("cell", "part", "of").applyInPandas(merge, _FEATURE)
+
+    merged = met(met(built, F.spark_partition_id() % 64), F.lit(0))
     mean2 = F.aggregate("ls", F.lit(0.0), lambda s, x: s + x * x) / (F.col("n") * F.col("n"))
     return merged.withColumn("radius", F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean2)))
 
