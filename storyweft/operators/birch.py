@@ -114,8 +114,14 @@ class Tree:
             yield pd.DataFrame(part, columns=["n", "ls", "ss"])
 
 
+def sound(rows: DataFrame) -> DataFrame:
+    """Rows whose vector (as doubles) has components, all of them finite: a mean with any other is no point."""
+    whole = rows.withColumn("vector", F.col("vector").cast("array<double>"))
+    return whole.filter((F.size("vector") > 0) & F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+
+
 def clustering_features(rows: DataFrame, threshold: float = 0.5, branching: int = BRANCHING, cells: int = 4, seed: int = 42, most: int = MOST) -> DataFrame:
-    """Features (n, ls, ss, radius) of all rows' vectors, each within the threshold. Rows without vector take no part; all vectors have one length."""
+    """Features (n, ls, ss, radius) of all rows' vectors, each within the threshold. Rows without vector, or with components that are null or not finite, take no part; all vectors have one length."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = Tree(threshold, branching)
@@ -141,7 +147,7 @@ def clustering_features(rows: DataFrame, threshold: float = 0.5, branching: int
                 batch = batch.assign(cell=[",".join(map(str, c)) for c in np.floor(centre @ direction / (4 * threshold)).astype(int)])
                 yield batch[["n", "ls", "ss", "cell"]]
 
-    built = rows.filter("vector IS NOT NULL").select(F.col("vector").cast("array<double>").alias("vector")).mapInPandas(build, _FEATURE)
+    built = sound(rows).select("vector").mapInPandas(build, _FEATURE)
     def met(features: DataFrame, part: Column) -> DataFrame:
         placed = cut(features.mapInPandas(celled, f"{_FEATURE}, cell string").withColumn("part", part))
         parts = placed.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
@@ -158,7 +164,9 @@ def birch(rows: DataFrame, features: DataFrame, k: int, seed: int = 42) -> DataF
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = features.select(array_to_vector(F.transform("ls", lambda x: x / F.col("n"))).alias("features"), F.col("n").cast("double").alias("weight"))
-    model = KMeans(k=k, seed=seed, weightCol="weight").fit(data)
-    own = rows.filter("vector IS NOT NULL").select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    means = cut(features.select(F.transform("ls", lambda x: x / F.col("n")).alias("mean"), F.col("n").cast("double").alias("weight")))
+    own = sound(rows).select("id", array_to_vector("vector").alias("features"))
+    if means.select("mean").distinct().limit(2).count() < 2:  # k-means needs two points
+        return own.select("id", F.lit(0).alias("cluster"))
+    model = KMeans(k=k, seed=seed, weightCol="weight").fit(means.select(array_to_vector("mean").alias("features"), "weight"))
     return model.transform(own).select("id", F.col("prediction").alias("cluster"))
