@@ -147,41 +147,20 @@ def sequence_clusters(items: DataFrame, gap_hours: float = 24, least: int = 3, l
 def coordinated_profiles(profiles: DataFrame, radius: float = 1.5, least: int = 3) -> DataFrame:
     """(narrative_id, cluster, size): groups of at least ``least`` narratives with close profiles (narrative_id, p: array).
 
-    Two profiles link when their distance is at most the radius; groups are the components, whatever
-    the order. Profiles share a cell only if any two such do link, so a cell counts as its smallest member (leader), and
-    cells that may hold a link are compared by their leaders. Only cells that leaders leave apart are compared by all
-    their members. So pairs grow with the cells, not with the profiles in them.
+    Two profiles link when their distance, rounded to nine digits, is at most the radius; groups are the components, whatever
+    the order. Equal profiles count as one, the smallest. Blocks of profiles meet in twos and give a spanning forest of their links,
+    so no pair is ever a row. Its work is quadratic in the different profiles.
     """
     from storyweft.functions.lineage import cut
     from storyweft.operators.graph import connected_components
-    from storyweft.operators.joins import pairs_within
-    from storyweft.operators.vectors import euclidean
-
-    side = radius / F.sqrt(F.size("p"))
-    points = cut(profiles.select("narrative_id", F.col("p").cast("array<double>").alias("p")).withColumn("cell", F.transform("p", lambda x: F.floor(x / side))))
-    cells = cut(points.groupBy("cell").agg(F.min("narrative_id").alias("leader"), F.min_by("p", "narrative_id").alias("p")))
-    place = lambda i: F.floor(F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)) / (2 * radius))
-    block = lambda x, y, z: F.struct((place(0) + x).alias("x"), (place(1) + y).alias("y"), (place(2) + z).alias("z"))
-    home = cells.select(block(0, 0, 0).alias("block")).distinct()
-    # Leaders of cells that may hold a link differ by less than 1.9 radii along each dimension: the same block, or one beside.
-    beside = F.array(*(block(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)))
-    spread_out = cells.select("leader", F.explode(beside).alias("block")).join(home, "block", "left_semi")
-    near = pairs_within(spread_out, "block", "leader").select("a", "b").distinct()
-    end = lambda name: cells.select(F.col("leader").alias(name), F.col("cell").alias(f"c{name}"), F.col("p").alias(f"p{name}"))
-    gap = F.aggregate(F.zip_with("ca", "cb", lambda a, b: F.greatest(F.lit(0).cast("long"), F.abs(a - b) - 1)), F.lit(0).cast("long"), lambda s, x: s + x * x)
-    close = lambda a, b: F.round(euclidean(F.col(a), F.col(b)), 9) <= radius
-    met = cut(near.join(end("a"), "a").join(end("b"), "b").filter(gap <= F.size("ca")).select("a", "b", close("pa", "pb").alias("linked")))
-    every = cells.select(F.col("leader").alias("a"), F.col("leader").alias("b"))
-    links = every.unionByName(met.filter("linked").select("a", "b"))
-    labels = connected_components(links)
-    name = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    apart = cut(met.filter("NOT linked").join(name("a"), "a").join(name("b"), "b").filter("of_a <> of_b").select("a", "b"))
-    if not apart.isEmpty():
-        members = points.join(cells.select("cell", "leader"), "cell").select("leader", "p").distinct()
-        side_of = lambda end: members.select(F.col("leader").alias(end), F.col("p").alias(f"p{end}"))
-        found = apart.join(side_of("a"), "a").join(side_of("b"), "b").filter(close("pa", "pb")).select("a", "b").distinct()
-        labels = connected_components(links.unionByName(found))
-    own = cut(points.join(cells.select("cell", "leader"), "cell").join(labels.withColumnRenamed("node", "leader"), "leader").select("narrative_id", F.col("component").alias("cluster")))
+    from storyweft.operators.vectors import _density_links, _meet, _usable
+
+    points = cut(profiles.select("narrative_id", F.col("p").cast("array<double>").alias("p")))
+    data = cut(_usable(points.groupBy(F.col("p").alias("vector")).agg(F.min("narrative_id").alias("id"))).select("id", "vector", F.lit(True).alias("core")))
+    links = cut(_meet(data, _density_links(radius + 5e-10), "a long, b long, d double"))  # as it is: a choice of columns here would take them from the blocks, too
+    labels = connected_components(data.select(F.col("id").alias("a"), F.col("id").alias("b")).unionByName(links.select("a", "b")))
+    named = data.join(labels.withColumnRenamed("node", "id"), "id").select(F.col("vector").alias("p"), F.col("component").alias("cluster"))
+    own = cut(points.join(named, "p").select("narrative_id", "cluster"))
     sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= max(least, 2))
     return own.join(sizes, "cluster").select("narrative_id", "cluster", "size")
 
